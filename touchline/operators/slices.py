@@ -90,7 +90,8 @@ def preceded_by_loss(rows: DataFrame) -> DataFrame:
 
 
 def after_loss(rows: DataFrame) -> DataFrame:
-    """Per team and league: games and points, in all and right after a loss.
+    """Per team and league: games and points right after a loss, next to the
+    team's games and points in all leagues.
 
     Same meaning as summing over ``preceded_by_loss``, folded slice by slice:
     no slice has to be joined back to its games.
@@ -113,12 +114,20 @@ def after_loss(rows: DataFrame) -> DataFrame:
     )
     earlier = across_slices("team_id").rangeBetween(*_BEFORE)
     handed = F.last("slice_end", ignorenulls=True).over(earlier)
-    carried = folded.withColumn("carry", F.coalesce(handed, F.lit(0)))
-    return carried.groupBy("team_id", "competition").agg(
-        F.sum("games").alias("games"),
-        F.sum("points").alias("points"),
-        F.sum(F.col("after_games") + F.col("carry") * F.col("head_games")).alias("after_games"),
-        F.sum(F.col("after_points") + F.col("carry") * F.col("head_points")).alias("after_points"),
+    carry = F.coalesce(F.col("handed"), F.lit(0))
+    whole_team = Window.partitionBy("team_id")
+    return (
+        folded.withColumn("handed", handed)
+        .groupBy("team_id", "competition")
+        .agg(
+            F.sum("games").alias("games"),
+            F.sum("points").alias("points"),
+            F.sum(F.col("after_games") + carry * F.col("head_games")).alias("after_games"),
+            F.sum(F.col("after_points") + carry * F.col("head_points")).alias("after_points"),
+        )
+        .withColumn("all_games", F.sum("games").over(whole_team))
+        .withColumn("all_points", F.sum("points").over(whole_team))
+        .drop("games", "points")
     )
 
 

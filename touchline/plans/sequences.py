@@ -55,22 +55,15 @@ def baseline_ppg(tables: MatchTables, code: str | None = None) -> DataFrame:
 def bounce_back(tables: MatchTables, code: str | None = None, limit: int = 10) -> DataFrame:
     """Points per game right after a loss against the team's own baseline."""
     folded = after_loss(appearances(tables, code, sliced=True))
-    totals = folded.groupBy("team_id").agg(
-        F.sum("games").alias("all_games"), F.sum("points").alias("all_points")
-    )
     n, s = F.col("after_games"), F.col("after_points")
     all_n, all_s = F.col("all_games"), F.col("all_points")
-    rated = (
-        folded.filter(n >= MIN_AFTER_LOSS)
-        .join(totals, "team_id")
-        .select(
-            "competition",
-            "team_id",
-            n.alias("games_after_loss"),
-            ratio(s, n).alias("bounce_back_ppg"),
-            ratio(all_s, all_n).alias("overall_ppg"),
-            ratio_minus_rounded(s, n, all_s, all_n).alias("resilience_delta"),
-        )
+    rated = folded.filter(n >= MIN_AFTER_LOSS).select(
+        "competition",
+        "team_id",
+        n.alias("games_after_loss"),
+        ratio(s, n).alias("bounce_back_ppg"),
+        ratio(all_s, all_n).alias("overall_ppg"),
+        ratio_minus_rounded(s, n, all_s, all_n).alias("resilience_delta"),
     )
     return (
         tables.named(rated)
@@ -103,27 +96,52 @@ def competitive_balance(tables: MatchTables, code: str | None = None) -> DataFra
     )
 
 
-def attack_tier(tables: MatchTables, code: str | None = None) -> DataFrame:
-    """Rank of each team's attack in its league, and the league's size."""
-    per_team = goal_lines(tables, code).groupBy("competition_id", "team_id").agg(
-        (F.sum("gf") / F.count("gf")).alias("scored")
+def pairings(tables: MatchTables, code: str | None = None) -> DataFrame:
+    """Games of each team against each opponent, folded to one row."""
+    counts = ["games", "conceded", "blanks"]
+    return (
+        goal_lines(tables, code)
+        .groupBy("competition_id", "team_id", "opponent_id")
+        .agg(
+            F.count("*").alias("games"),
+            F.sum("ga").alias("conceded"),
+            F.count_if(F.col("ga") == 0).alias("blanks"),
+        )
+        # Read several times below. Asking for every column each time keeps the
+        # readings alike, so Spark folds the games only once.
+        .dropna(subset=["team_id", "opponent_id"])
+        .filter(" AND ".join(f"{name} >= 0" for name in counts))
+    )
+
+
+def _attack_tier(pairs: DataFrame) -> DataFrame:
+    """What a team's opponents conceded is what the team scored."""
+    attacks = pairs.groupBy("competition_id", F.col("opponent_id").alias("team_id")).agg(
+        (F.sum("conceded") / F.sum("games")).alias("scored")
     )
-    # The coarse step only spreads the ranking over tasks; the order is the same.
-    stepped = per_team.withColumn("step", F.floor(F.col("scored") * 256))
-    ranked = rank_within(stepped, ["competition_id"], ["step", "scored"], "attack_rank")
-    sizes = per_team.groupBy("competition_id").agg(F.count("*").alias("league_size"))
+    # The grade only spreads the ranking over tasks; the order is the same.
+    graded = attacks.withColumn("grade", F.floor(F.col("scored") * 256))
+    ranked = rank_within(graded, ["competition_id"], ["grade", "scored"], "attack_rank")
+    sizes = attacks.groupBy("competition_id").agg(F.count("*").alias("league_size"))
     return ranked.join(sizes, "competition_id").select(
         "competition_id", "team_id", "attack_rank", "league_size"
     )
 
 
+def attack_tier(tables: MatchTables, code: str | None = None) -> DataFrame:
+    """Rank of each team's attack in its league, and the league's size."""
+    return tables.in_league(_attack_tier(pairings(tables, code))).select(
+        "competition_code", "team_id", "attack_rank", "league_size"
+    )
+
+
 def tier_name(rank: Column, size: Column) -> Column:
     """Top or bottom five attacks; in a small league the top comes first."""
     return F.when(rank <= TIER_SIZE, "top").when(rank > size - TIER_SIZE, "bottom")
 
 
-def _tiers(tables: MatchTables, code: str | None) -> DataFrame:
-    named = attack_tier(tables, code).select(
+def _graded_opponents(pairs: DataFrame) -> DataFrame:
+    named = _attack_tier(pairs).select(
         "competition_id",
         F.col("team_id").alias("opponent_id"),
         tier_name(F.col("attack_rank"), F.col("league_size")).alias("opponent_tier"),
@@ -133,7 +151,8 @@ def _tiers(tables: MatchTables, code: str | None) -> DataFrame:
 
 def opponent_grade(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Every appearance against a top or bottom attack, with that tier."""
-    return goal_lines(tables, code).join(_tiers(tables, code), ["competition_id", "opponent_id"])
+    tiers = _graded_opponents(pairings(tables, code))
+    return goal_lines(tables, code).join(tiers, ["competition_id", "opponent_id"])
 
 
 def defensive_solidity(tables: MatchTables, code: str | None = None,
@@ -143,16 +162,10 @@ def defensive_solidity(tables: MatchTables, code: str | None = None,
     Games are folded per pairing before the tiers are joined, so an opponent
     with very many games is one row per pairing there.
     """
-    pairings = (
-        goal_lines(tables, code)
-        .groupBy("competition_id", "competition", "team_id", "opponent_id")
-        .agg(
-            F.count("*").alias("games"),
-            F.sum("ga").alias("conceded"),
-            F.count_if(F.col("ga") == 0).alias("blanks"),
-        )
+    pairs = pairings(tables, code)
+    graded = tables.in_league(
+        pairs.join(_graded_opponents(pairs), ["competition_id", "opponent_id"])
     )
-    graded = pairings.join(_tiers(tables, code), ["competition_id", "opponent_id"])
     top, bottom = F.col("opponent_tier") == "top", F.col("opponent_tier") == "bottom"
 
     def total(side, name):

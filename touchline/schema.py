@@ -6,28 +6,32 @@ reports sum flags, and Spark does not sum booleans.
 
 from pyspark.sql import types as T
 
+LONG, TEXT, DAY = T.LongType(), T.StringType(), T.DateType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
 # Score fields are read as text so that a bad value can become 0 rather than
 # turn the whole match into a corrupt record.
-RAW_MATCH = T.StructType.fromDDL(
-    """
-    id BIGINT,
-    competition STRUCT<code: STRING, name: STRING>,
-    season STRUCT<startDate: STRING, endDate: STRING>,
-    utcDate STRING,
-    status STRING,
-    matchday BIGINT,
-    homeTeam STRUCT<id: BIGINT, name: STRING>,
-    awayTeam STRUCT<id: BIGINT, name: STRING>,
-    score STRUCT<
-        fullTime: STRUCT<home: STRING, away: STRING>,
-        halfTime: STRUCT<home: STRING, away: STRING>,
-        winner: STRING>,
-    referees ARRAY<STRUCT<name: STRING, type: STRING>>
-    """
+_SIDES = _struct(home=TEXT, away=TEXT)
+
+RAW_MATCH = _struct(
+    id=LONG,
+    competition=_struct(code=TEXT, name=TEXT),
+    season=_struct(startDate=TEXT, endDate=TEXT),
+    utcDate=TEXT,
+    status=TEXT,
+    matchday=LONG,
+    homeTeam=_struct(id=LONG, name=TEXT),
+    awayTeam=_struct(id=LONG, name=TEXT),
+    score=_struct(fullTime=_SIDES, halfTime=_SIDES, winner=TEXT),
+    referees=T.ArrayType(_struct(name=TEXT, type=TEXT)),
 )
 
 # One response of the feed: an envelope around many matches.
-ENVELOPE = T.StructType([T.StructField("matches", T.ArrayType(RAW_MATCH))])
+ENVELOPE = _struct(matches=T.ArrayType(RAW_MATCH))
 
 # Statuses that carry a final result.
 COMPLETED_STATUSES = ("FINISHED", "AWARDED")
@@ -60,24 +64,27 @@ METRICS = (
     "match_weekday",
 )
 
-COMPETITIONS = T.StructType.fromDDL("id BIGINT, code STRING, name STRING")
+COMPETITIONS = _struct(id=LONG, code=TEXT, name=TEXT)
 
-TEAMS = T.StructType.fromDDL("id BIGINT, name STRING")
+TEAMS = _struct(id=LONG, name=TEXT)
 
-MATCHES = T.StructType.fromDDL(
-    """
-    id BIGINT, competition_id BIGINT, home_team_id BIGINT, away_team_id BIGINT,
-    match_date DATE, matchday BIGINT, status STRING,
-    home_score_ft BIGINT, away_score_ft BIGINT,
-    home_score_ht BIGINT, away_score_ht BIGINT,
-    winner STRING, referee STRING
-    """
+MATCHES = _struct(
+    id=LONG,
+    competition_id=LONG,
+    home_team_id=LONG,
+    away_team_id=LONG,
+    match_date=DAY,
+    matchday=LONG,
+    status=TEXT,
+    home_score_ft=LONG,
+    away_score_ft=LONG,
+    home_score_ht=LONG,
+    away_score_ht=LONG,
+    winner=TEXT,
+    referee=TEXT,
 )
 
-MATCH_METRICS = T.StructType(
-    [T.StructField("match_id", T.LongType())]
-    + [T.StructField(name, T.LongType()) for name in METRICS]
-)
+MATCH_METRICS = _struct(match_id=LONG, **{name: LONG for name in METRICS})
 
 # A match with its metrics on one row: how the store keeps both tables.
 MATCH_FACTS = T.StructType(MATCHES.fields + MATCH_METRICS.fields[1:])

@@ -23,7 +23,9 @@ from touchline.sources.scratch import materialize
 from touchline.tables import MatchTables
 
 _SCHEMAS = {"competitions": COMPETITIONS, "teams": TEAMS, "matches": MATCH_FACTS}
-_PLACE = T.StructType.fromDDL("league STRING, snapshot_date DATE")
+_PLACE = T.StructType(
+    [T.StructField("league", T.StringType()), T.StructField("snapshot_date", T.DateType())]
+)
 
 
 def write_league_snapshot(base: str, matches: DataFrame, day: date,
