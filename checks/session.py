@@ -7,8 +7,8 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str = "8") -> SparkSession:
-    spark = (
+def local_session(cpus: str = "8", **settings: str) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("touchline-checks")
         .config("spark.ui.enabled", "false")
@@ -16,7 +16,9 @@ def local_session(cpus: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CHECKS_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -20,10 +20,8 @@ def absent(incoming: DataFrame, existing: DataFrame, key: str, existing_key: str
     allows) instead of shuffling every stored key.
     """
     batch_keys = incoming.select(F.col(key).alias("batch_key"))
-    known = (
-        existing.select(F.col(existing_key).alias("known_key"))
-        .join(batch_keys, F.col("known_key") == F.col("batch_key"), "left_semi")
-        .distinct()
+    known = existing.select(F.col(existing_key).alias("known_key")).join(
+        batch_keys, F.col("known_key") == F.col("batch_key"), "left_semi"
     )
     return incoming.join(known, F.col(key) == F.col("known_key"), "left_anti")
 

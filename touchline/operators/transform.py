@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.calendar import parse_utc, utc_day
@@ -57,20 +57,25 @@ def coerce_scores(matches: DataFrame) -> DataFrame:
     return matches.withColumns({name: whole(name) for name in SCORES})
 
 
-def dedupe_matches(matches: DataFrame) -> DataFrame:
-    """One row per match id, the first in feed order; null ids count as one id.
+def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key; null is a key like any other.
 
     ``row_number() = 1`` plans as a group limit before the shuffle: each task
-    forwards at most one row per id, however many copies of a match there are.
+    forwards at most one row per key, however many rows a key has.
     """
-    first = Window.partitionBy("match_id").orderBy(ORDINAL)
+    first = Window.partitionBy(key).orderBy(*order)
     return (
-        matches.withColumn("copy", F.row_number().over(first))
-        .filter(F.col("copy") == 1)
-        .drop("copy")
+        rows.withColumn("nth", F.row_number().over(first))
+        .filter(F.col("nth") == 1)
+        .drop("nth")
     )
 
 
+def dedupe_matches(matches: DataFrame) -> DataFrame:
+    """One row per match id, the first in feed order; null ids count as one id."""
+    return first_per_key(matches, "match_id", [ORDINAL])
+
+
 def clean_matches(matches: DataFrame) -> DataFrame:
     dated = matches.withColumn("utc_date", parse_utc(F.col("utc_date")))
     return dedupe_matches(coerce_scores(drop_incomplete(completed_only(dated))))
@@ -87,20 +92,10 @@ def transform_matches(raw: DataFrame, threshold: int = HIGH_SCORE_THRESHOLD) ->
     return derive_metrics(clean.withColumn("match_date", utc_day(F.col("utc_date"))), threshold)
 
 
-def _first_label(rows: DataFrame, key: str, label: str, order: list[str]) -> DataFrame:
-    """One row per key with the label that comes first in ``order``.
-
-    The rows hold few distinct labels per key, so equal ones are folded before
-    the group limit picks the first; neither step gathers a key's rows.
-    """
-    *outer, last = order
-    folded = rows.groupBy(key, label, *outer).agg(F.min(last).alias(last))
-    first = Window.partitionBy(key).orderBy(*order)
-    return (
-        folded.withColumn("pick", F.row_number().over(first))
-        .filter(F.col("pick") == 1)
-        .select(key, label)
-    )
+def _feed_order(matches: DataFrame) -> Column:
+    """Without feed positions the smallest match id stands for the first match."""
+    place = ORDINAL if ORDINAL in matches.columns else "match_id"
+    return F.col(place).alias("place")
 
 
 def extract_teams(matches: DataFrame) -> DataFrame:
@@ -111,15 +106,15 @@ def extract_teams(matches: DataFrame) -> DataFrame:
         F.when(home, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("team_id"),
         F.when(home, F.col("home_team_name")).otherwise(F.col("away_team_name")).alias("team_name"),
         "side",
-        *_ordinal_columns(matches),
+        _feed_order(matches),
     )
-    return _first_label(rows, "team_id", "team_name", ["side", *ORDINAL_PARTS])
+    return first_per_key(rows, "team_id", ["side", "place"]).select("team_id", "team_name")
 
 
 def extract_competitions(matches: DataFrame) -> DataFrame:
     """Unique competitions, first name per code, ids 1..n in code order."""
-    rows = matches.select("competition_code", "competition_name", *_ordinal_columns(matches))
-    named = _first_label(rows, "competition_code", "competition_name", list(ORDINAL_PARTS))
+    rows = matches.select("competition_code", "competition_name", _feed_order(matches))
+    named = first_per_key(rows, "competition_code", ["place"])
     # One row per league reaches this window.
     by_code = Window.orderBy("competition_code")
     return named.select(
@@ -129,22 +124,6 @@ def extract_competitions(matches: DataFrame) -> DataFrame:
     )
 
 
-# Parts of the ordinal, as read by ``touchline.sources.feed``.
-ORDINAL_PARTS = ("file", "block", "line", "pos")
-
-
-def _ordinal_columns(matches: DataFrame):
-    if ORDINAL in matches.columns:
-        return [F.col(f"{ORDINAL}.{part}").alias(part) for part in ORDINAL_PARTS]
-    # Without feed order the smallest match id stands for the first occurrence.
-    return [
-        F.lit("").alias("file"),
-        F.lit(0).cast("bigint").alias("block"),
-        F.lit(0).cast("bigint").alias("line"),
-        F.col("match_id").alias("pos"),
-    ]
-
-
 def run_summary(matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Counts of one run: transformed matches, teams and competitions."""
     counted = matches.agg(

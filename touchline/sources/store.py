@@ -2,13 +2,13 @@
 
 Layout under one base path::
 
-    competitions/load_id=…   teams/load_id=…   matches/load_id=…/competition_id=…
+    competitions/batch=…   teams/batch=…   matches/batch=…/competition_id=…
     commits/load_id=…
 
-``matches`` keeps a match and its metrics on one row. A load first writes its
-three tables and then its commit; readers see only committed loads, so a load
-that fails half-way leaves nothing visible and can be repeated. Stored data is
-never rewritten. One writer at a time.
+``matches`` keeps a match and its metrics on one row. A load writes its three
+tables under a new batch and then a commit that names the batch. Readers see
+only committed batches, so a load that fails half-way leaves nothing visible
+and can be repeated. Stored files are never rewritten. One writer at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from touchline.sources.scratch import materialize
 from touchline.tables import MatchTables
 
 _SCHEMAS = {"competitions": COMPETITIONS, "teams": TEAMS, "matches": MATCH_FACTS}
-_COMMIT = T.StructType([T.StructField("load_id", T.StringType())])
+_BATCH = T.StructField("batch", T.StringType())
+_COMMIT = T.StructType([_BATCH, T.StructField("load_id", T.StringType())])
 
 
 class MatchStore:
@@ -35,19 +36,22 @@ class MatchStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
+    def _commits(self) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/commits"):
+            return self.spark.createDataFrame([], _COMMIT)
+        return self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
+
+    def is_committed(self, load_id: str) -> bool:
+        return not self._commits().filter(F.col("load_id") == load_id).isEmpty()
+
     def _read(self, name: str) -> DataFrame:
         schema = _SCHEMAS[name]
         base = f"{self.path}/{name}"
-        if not exists(self.spark, f"{self.path}/commits") or not exists(self.spark, base):
+        if not exists(self.spark, base):
             return self.spark.createDataFrame([], schema)
-        dated = T.StructType([*schema.fields, *_COMMIT.fields])
-        rows = self.spark.read.schema(dated).parquet(base)
-        # One row per load: the join prunes uncommitted partitions from the scan.
-        commits = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
-        return rows.join(F.broadcast(commits), "load_id", "left_semi").select(*schema.names)
-
-    def is_committed(self, load_id: str) -> bool:
-        return exists(self.spark, f"{self.path}/commits/load_id={load_id}/_SUCCESS")
+        rows = self.spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(base)
+        # One row per load: the join prunes other batches from the scan.
+        return rows.join(F.broadcast(self._commits()), "batch", "left_semi").select(*schema.names)
 
     def tables(self) -> MatchTables:
         return MatchTables.from_wide(
@@ -63,39 +67,39 @@ class MatchStore:
         """
         return self.load_written(materialize(matches, "batch"), teams, load_id)
 
-    def load_written(self, batch: DataFrame, teams: DataFrame | None = None,
+    def load_written(self, matches: DataFrame, teams: DataFrame | None = None,
                      load_id: str | None = None) -> int:
         """``load`` for matches that are already read from a written table."""
         load_id = load_id or uuid.uuid4().hex
-        if self.is_committed(load_id) or batch.isEmpty():
+        if self.is_committed(load_id) or matches.isEmpty():
             return 0
-        require_keys(batch)
+        require_keys(matches)
+        batch = uuid.uuid4().hex
         stored = self.tables()
-        self._write("competitions", load_id,
-                    new_competitions(stored.competitions, extract_competitions(batch)))
+        self._write("competitions", batch,
+                    new_competitions(stored.competitions, extract_competitions(matches)))
         # Read the new ids back: the numbering is then fixed for the matches.
-        competitions = stored.competitions.unionByName(self._written("competitions", load_id))
-        self._write("teams", load_id,
-                    new_teams(stored.teams, extract_teams(batch) if teams is None else teams))
-        added = new_matches(stored.matches, competitions, batch).select(*MATCH_FACTS.names)
-        self._write("matches", load_id, added, by="competition_id")
-        count = self._written("matches", load_id).count()
-        self._commit(load_id)
+        competitions = stored.competitions.unionByName(self._written("competitions", batch))
+        self._write("teams", batch,
+                    new_teams(stored.teams, extract_teams(matches) if teams is None else teams))
+        added = new_matches(stored.matches, competitions, matches).select(*MATCH_FACTS.names)
+        self._write("matches", batch, added, by="competition_id")
+        count = self._written("matches", batch).count()
+        self._commit(load_id, batch)
         return count
 
-    def _target(self, name: str, load_id: str) -> str:
-        return f"{self.path}/{name}/load_id={load_id}"
+    def _target(self, name: str, batch: str) -> str:
+        return f"{self.path}/{name}/batch={batch}"
 
-    def _write(self, name: str, load_id: str, rows: DataFrame, by: str | None = None) -> None:
+    def _write(self, name: str, batch: str, rows: DataFrame, by: str | None = None) -> None:
         # Rebalancing sizes the files at run time: it joins small ones, and it
         # splits a league that is much larger than the others.
-        rows = rows.hint("rebalance", *([by] if by else []))
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(self._target(name, load_id))
+        writer = rows.hint("rebalance", *([by] if by else [])).write
+        (writer.partitionBy(by) if by else writer).parquet(self._target(name, batch))
 
-    def _written(self, name: str, load_id: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(self._target(name, load_id))
+    def _written(self, name: str, batch: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(self._target(name, batch))
 
-    def _commit(self, load_id: str) -> None:
-        mark = self.spark.range(1).select(F.col("id").alias("marker"))
+    def _commit(self, load_id: str, batch: str) -> None:
+        mark = self.spark.range(1).select(F.lit(batch).alias("batch"))
         mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/load_id={load_id}")

@@ -1,7 +1,7 @@
 """Feed files loaded as they land: the scheduled run as a stream.
 
-Each micro-batch is one load. Its id comes from the batch number, so a batch
-that is repeated after a failure is not loaded twice.
+Each micro-batch is one load. A batch that is repeated after a failure adds
+only what is not stored yet, so nothing is loaded twice.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def ingest_landed(spark: SparkSession, landing: str, store: MatchStore, checkpoi
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        run(unpack_responses(batch), store, league, season, load_id=f"batch-{batch_id}")
+        run(unpack_responses(batch), store, league, season)
 
     return (
         responses.select("matches", "_metadata")
