@@ -98,10 +98,11 @@ def competitive_balance(tables: MatchTables, code: str | None = None) -> DataFra
 
 def pairings(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Games of each team against each opponent, folded to one row."""
-    counts = ["games", "conceded", "blanks"]
+    key, counts = ["competition_id", "team_id", "opponent_id"], ["games", "conceded", "blanks"]
     return (
         goal_lines(tables, code)
-        .groupBy("competition_id", "team_id", "opponent_id")
+        .filter(" AND ".join(f"{name} IS NOT NULL" for name in key))
+        .groupBy(*key)
         .agg(
             F.count("*").alias("games"),
             F.sum("ga").alias("conceded"),
@@ -109,7 +110,6 @@ def pairings(tables: MatchTables, code: str | None = None) -> DataFrame:
         )
         # Read several times below. Asking for every column each time keeps the
         # readings alike, so Spark folds the games only once.
-        .dropna(subset=["team_id", "opponent_id"])
         .filter(" AND ".join(f"{name} >= 0" for name in counts))
     )
 
