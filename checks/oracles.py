@@ -396,7 +396,7 @@ ORACLES: dict[str, str] = {
     "transform_matches": sql(TRANSFORMED),
     "match_date": sql("SELECT match_id, match_date FROM m"),
     **{name: sql(f"SELECT match_id, {name} FROM m") for name in METRICS},
-    "month_names": sql(f"SELECT match_id, {MONTH.format('match_month')} AS month_name FROM m"),
+    "month_name": sql(f"SELECT match_id, {MONTH.format('match_month')} AS month_name FROM m"),
     "extract_teams": sql(
         """
         SELECT team_id, CASE WHEN BOOL_OR(venue = 'home') THEN team
@@ -545,7 +545,7 @@ ORACLES: dict[str, str] = {
         "WHERE recency <= 4"
     ),
     "rest_days": sql("SELECT team_id, match_id, rest_days FROM rd", density()),
-    "rest_bands": sql("SELECT team_id, match_id, rest_band FROM rb", density()),
+    "rest_band": sql("SELECT team_id, match_id, rest_band FROM rb", density()),
     "preceded_by_loss": sql("SELECT team_id, match_id, preceded_by_loss FROM sq", bounce(10)),
     "baseline_ppg": sql(
         f"SELECT team_id, {r2('SUM(points)')} AS overall_ppg FROM a GROUP BY team_id"

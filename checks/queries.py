@@ -284,10 +284,8 @@ for _metric in METRICS:
     over_tables(_metric, lambda t, name=_metric: t.match_metrics.select("match_id", name))
 
 
-@query
-def month_names(spark, sf_dir):
-    facts = fixture.tables(spark, sf_dir).facts
-    return facts.select("match_id", month_name(F.col("match_month")).alias("month_name"))
+over_tables("month_name", lambda t: t.facts.select(
+    "match_id", month_name(F.col("match_month")).alias("month_name")))
 
 
 def _with_away_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,7 +516,7 @@ over_tables("recent_matches", lambda t: outcomes.recent_matches(t, window=4).sel
     "team_id", "match_id", "recency"))
 over_tables("rest_days", lambda t: slices.rest_days(_sliced(t)).select(
     "team_id", "match_id", "rest_days"))
-over_tables("rest_bands", lambda t: slices.rest_days(_sliced(t)).select(
+over_tables("rest_band", lambda t: slices.rest_days(_sliced(t)).select(
     "team_id", "match_id", sequences.rest_band(F.col("rest_days")).alias("rest_band")))
 over_tables("preceded_by_loss", lambda t: slices.preceded_by_loss(_sliced(t)).select(
     "team_id", "match_id", "preceded_by_loss"))

@@ -77,13 +77,24 @@ def slice_rows(request, monkeypatch):
 
 
 def test_slices_follow_the_order_and_bound_every_team(tables, slice_rows):
-    cut = sorted((r["match_date"], r["match_id"], r["slice"])
-                 for r in rows(slices.with_slices(tables.facts)))
-    numbers = [number for _, _, number in cut]
-    assert numbers == sorted(numbers)
-    sizes = [numbers.count(number) for number in set(numbers)]
-    # Ids of a day are spread evenly here up to chance, so slices are near their size.
-    assert max(sizes) <= 3 * slice_rows + 5
+    cut = defaultdict(list)
+    for r in rows(appearances(tables, sliced=True)):
+        cut[r["team_id"]].append((r["match_date"], r["match_id"], r["slice"]))
+    for games in cut.values():
+        numbers = [number for _, _, number in sorted(games)]
+        assert numbers == sorted(numbers)
+        if len(games) <= slice_rows / 2:
+            assert set(numbers) == {0}
+        # Ids of a day are spread evenly here up to chance, so slices are near their size.
+        assert max(map(numbers.count, set(numbers))) <= 3 * slice_rows + 5
+    if slice_rows <= 50:
+        assert len({number for _, _, number in cut[HOT_TEAM]}) >= 600 / slice_rows / 4
+
+
+def test_only_large_teams_are_cut(tables, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_ROWS", 250)
+    large = {r["team_id"] for r in rows(appearances(tables, sliced=True)) if r["slice"] > 0}
+    assert large == {HOT_TEAM}
 
 
 def test_rest_days(tables, data, slice_rows):

@@ -1,11 +1,11 @@
 """Ordered computations per team that survive one very large team.
 
-A window over all games of a team puts them into one task. Here the season
-history is first cut into time slices of about equal size, the same for every
-team: windows run per (team, slice), and what one slice hands to the next is
-worked out over one row per (team, slice). A team with a third of all games is
-spread over as many tasks as there are slices; a small data set is one slice,
-where all of this costs no more than the plain window.
+A window over all games of a team puts them into one task. That is fine for
+nearly every team, so nearly every team is one slice. The history of a team
+with very many games is cut into time slices of bounded size: windows run per
+(team, slice), and what one slice hands to the next is worked out over one row
+per (team, slice). A team with a third of all games is spread over as many
+tasks as it has slices, and every result stays exact.
 """
 
 from __future__ import annotations
@@ -13,38 +13,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Matches per slice: what one task can sort with ease.
+# Games that one task can sort with ease; larger teams are cut.
 SLICE_ROWS = 8_000_000
 
 _BEFORE = Window.unboundedPreceding, -1
 
 
-def with_slices(matches: DataFrame, slice_rows: int | None = None) -> DataFrame:
-    """Add ``slice``, which never falls as (match_date, match_id) rises.
+def with_position(matches: DataFrame) -> DataFrame:
+    """Add ``position``, which never falls as (match_date, match_id) rises.
 
-    Days are laid end to end by their match counts, a day's matches are spread
-    over its stretch by id, and the line is cut every ``slice_rows`` matches.
+    Days are laid end to end by their match counts, and a day's matches are
+    spread over its stretch by id.
     """
-    size = slice_rows or SLICE_ROWS
     days = matches.groupBy("match_date").agg(
         F.count("*").alias("day_n"),
         F.min("match_id").cast("double").alias("day_lo"),
         F.max("match_id").cast("double").alias("day_hi"),
     )
-    # One row per calendar day: small enough for one task and for a broadcast,
-    # however many matches there are.
+    # One row per calendar day, and DATE has less than four million of them:
+    # small enough for one task and for a broadcast, whatever the matches.
     earlier = F.sum("day_n").over(Window.orderBy("match_date").rowsBetween(*_BEFORE))
     days = days.withColumn("day_start", F.coalesce(earlier, F.lit(0)))
     days = days.withColumnRenamed("match_date", "day")
     inside = (F.col("match_id") - F.col("day_lo")) / (F.col("day_hi") - F.col("day_lo") + 1)
-    position = F.col("day_start") + F.col("day_n") * inside
     return (
         matches.join(F.broadcast(days), F.col("match_date").eqNullSafe(F.col("day")))
-        .withColumn("slice", F.floor(position / F.lit(float(size))))
+        .withColumn("position", F.col("day_start") + F.col("day_n") * inside)
         .drop("day", "day_n", "day_lo", "day_hi", "day_start")
     )
 
 
+def large_teams(rows: DataFrame) -> DataFrame:
+    """Teams with about ``SLICE_ROWS`` games or more.
+
+    Counted on a fixed share of the matches, picked by a hash of their id: the
+    answer only decides how the work is split, never what is computed, and it
+    is the same each time it is asked. No more teams can pass than there are
+    multiples of half a slice in the data, so the list fits in a broadcast.
+    """
+    share = max(1, SLICE_ROWS // 8192)
+    picked = rows.filter(F.pmod(F.xxhash64("match_id"), F.lit(share)) == 0)
+    counted = picked.groupBy("team_id").agg(F.count("*").alias("picked"))
+    return counted.filter(F.col("picked") * F.lit(2 * share) > SLICE_ROWS).select(
+        F.col("team_id").alias("large_id")
+    )
+
+
+def with_slices(rows: DataFrame) -> DataFrame:
+    """Add ``slice``: 0 for most teams, a cut of ``position`` for large ones."""
+    cut = F.floor(F.col("position") / F.lit(float(SLICE_ROWS)))
+    return (
+        rows.join(F.broadcast(large_teams(rows)), F.col("team_id") == F.col("large_id"), "left")
+        .withColumn("slice", F.when(F.col("large_id").isNotNull(), cut).otherwise(F.lit(0)))
+        .drop("large_id", "position")
+    )
+
+
 def in_slice(*key: str):
     """Chronological window over one key within one slice."""
     return Window.partitionBy(*key, "slice").orderBy("match_date", "match_id")

@@ -82,10 +82,9 @@ def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str]
         raise FileNotFoundError(f"No league snapshots under {base} for {list(leagues)}")
 
     def newest(name: str) -> DataFrame:
-        # One row per league: the join prunes older snapshots from the scan.
-        rows = _read(spark, base, name).join(
-            F.broadcast(latest), ["league", "snapshot_date"], "left_semi"
-        )
+        # One row per league: while that is small, Spark broadcasts it and
+        # prunes older snapshots from the scan.
+        rows = _read(spark, base, name).join(latest, ["league", "snapshot_date"], "left_semi")
         return rank_leagues(rows.drop("snapshot_date"), tuple(order))
 
     return {name: newest(name) for name in _SCHEMAS}

@@ -50,8 +50,9 @@ class MatchStore:
         if not exists(self.spark, base):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(base)
-        # One row per load: the join prunes other batches from the scan.
-        return rows.join(F.broadcast(self._commits()), "batch", "left_semi").select(*schema.names)
+        # One row per load: while that is small, Spark broadcasts it and prunes
+        # all other batches from the scan.
+        return rows.join(self._commits(), "batch", "left_semi").select(*schema.names)
 
     def tables(self) -> MatchTables:
         return MatchTables.from_wide(
