@@ -122,7 +122,7 @@ def load_metrics(spark, sf_dir):
 def load_atomicity(spark, sf_dir):
     """A load that fails before its commit leaves the stored tables as they were."""
     class FailsAtCommit(MatchStore):
-        def _commit(self, load_id):
+        def _commit(self, load_id, batch):
             raise OSError("lost the storage")
 
     path = scratch_path(spark, "store")
