@@ -4,8 +4,8 @@ A window over all games of a team puts them into one task. That is fine for
 nearly every team, so nearly every team is one slice. The history of a team
 with very many games is cut into time slices of bounded size: windows run per
 (team, slice), and what one slice hands to the next is worked out over one row
-per (team, slice). A team with a third of all games is spread over as many
-tasks as it has slices, and every result stays exact.
+per (large team, slice). A team with a third of all games is spread over as
+many tasks as it has slices, and every result stays exact.
 """
 
 from __future__ import annotations
@@ -60,11 +60,12 @@ def large_teams(rows: DataFrame) -> DataFrame:
 
 
 def with_slices(rows: DataFrame) -> DataFrame:
-    """Add ``slice``: 0 for most teams, a cut of ``position`` for large ones."""
+    """Add ``large`` and ``slice``: 0 for most teams, a cut of ``position`` for large ones."""
     cut = F.floor(F.col("position") / F.lit(float(SLICE_ROWS)))
     return (
         rows.join(F.broadcast(large_teams(rows)), F.col("team_id") == F.col("large_id"), "left")
-        .withColumn("slice", F.when(F.col("large_id").isNotNull(), cut).otherwise(F.lit(0)))
+        .withColumn("large", F.col("large_id").isNotNull())
+        .withColumn("slice", F.when(F.col("large"), cut).otherwise(F.lit(0)))
         .drop("large_id", "position")
     )
 
@@ -85,7 +86,8 @@ def previous_value(rows: DataFrame, key: str, value: str, last: Column, into: st
     ``last`` is the aggregate that finds the last value of a slice; the first
     game of a slice takes it from the key's slice before.
     """
-    ends = rows.groupBy(key, "slice").agg(last.alias("slice_end"))
+    # Only large teams have a slice before: no other game is read for this.
+    ends = rows.filter("large").groupBy(key, "slice").agg(last.alias("slice_end"))
     handed = ends.select(
         key, "slice", F.lag("slice_end").over(across_slices(key)).alias("handed")
     )
@@ -93,9 +95,9 @@ def previous_value(rows: DataFrame, key: str, value: str, last: Column, into: st
     return (
         rows.withColumn("game", F.row_number().over(local))
         .withColumn("before", F.lag(value).over(local))
-        .join(handed, [key, "slice"])
+        .join(handed, [key, "slice"], "left")
         .withColumn(into, F.when(F.col("game") == 1, F.col("handed")).otherwise(F.col("before")))
-        .drop("game", "before", "handed")
+        .drop("game", "before", "handed", "large")
     )
 
 
@@ -158,23 +160,24 @@ def after_loss(rows: DataFrame) -> DataFrame:
 def running_points(rows: DataFrame) -> DataFrame:
     """Add the game's number and the team's points up to it, per league and team."""
     key = ["competition_id", "team_id"]
-    sums = rows.groupBy(*key, "slice").agg(
+    # Only large teams have a slice before: no other game is read for this.
+    sums = rows.filter("large").groupBy(*key, "slice").agg(
         F.count("*").alias("slice_games"), F.sum("points").alias("slice_points")
     )
     earlier = across_slices(*key).rowsBetween(*_BEFORE)
     handed = sums.select(
         *key,
         "slice",
-        F.coalesce(F.sum("slice_games").over(earlier), F.lit(0)).alias("games_before"),
-        F.coalesce(F.sum("slice_points").over(earlier), F.lit(0)).alias("points_before"),
+        F.sum("slice_games").over(earlier).alias("games_before"),
+        F.sum("slice_points").over(earlier).alias("points_before"),
     )
     local = in_slice(*key)
     so_far = F.sum("points").over(local.rowsBetween(Window.unboundedPreceding, 0))
     return (
         rows.withColumn("game", F.row_number().over(local))
         .withColumn("so_far", so_far)
-        .join(handed, [*key, "slice"])
-        .withColumn("matchweek", F.col("game") + F.col("games_before"))
-        .withColumn("cumulative_points", F.col("so_far") + F.col("points_before"))
-        .drop("game", "so_far", "games_before", "points_before")
+        .join(handed, [*key, "slice"], "left")
+        .withColumn("matchweek", F.col("game") + F.coalesce("games_before", F.lit(0)))
+        .withColumn("cumulative_points", F.col("so_far") + F.coalesce("points_before", F.lit(0)))
+        .drop("game", "so_far", "games_before", "points_before", "large")
     )
