@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import packing, simhash, substring_dedup, suffix_quality
-
-#: Where the public tokenizers' files are; a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
+from touchline.llm import byte_bpe, packing, simhash, substring_dedup, suffix_quality, token_files
 
 
 def tokenizer_file(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    """Where a public tokenizer's file is; the operators take it as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +24,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_files.token_file(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return rows.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    rows = byte_bpe.encode_decode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens",
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -42,5 +54,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_suffix_quality, op7_simhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_token_files, op5_suffix_quality, op6_byte_bpe, op7_simhash, op10_packing)}
 ORACLES: dict[str, str] = {}

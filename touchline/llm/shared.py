@@ -8,12 +8,15 @@ per chunk is a few packed arrays instead of a row for each word.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.sources.scratch import materialize, scratch_path
@@ -27,9 +30,25 @@ CHUNK_SCHEMA = "chunk long, n_bytes long, payload binary"
 __all__ = ["materialize", "scratch_path", "internal", "stage_chunks", "read_chunk", "mix"]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: Python workers import the
+    operators' modules, and need not be started where the package is installed."""
+    context = spark.sparkContext
+    if getattr(context, "_touchline_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="touchline-code-")) / "touchline_package.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for module in sorted(root.rglob("*.py")):
+            out.write(module, module.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._touchline_shipped = True
+
+
 def internal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id``, ``text`` and, when there are others, ``rest``: a struct of all
     other columns, so that no name of theirs can meet a name used here."""
+    ship_package(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     quoted = lambda c: F.col(f"`{c}`")
     columns = [quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")]

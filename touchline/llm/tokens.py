@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -35,9 +36,9 @@ def tokenizer(path: str):
 class Encoder(dict):
     """part -> its number in the table of ids."""
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], spaces: bool):
         super().__init__()
-        self.tokenizer = tokenizer(path)
+        self.encode_many = encode_many
         # With spaces, a part keeps those before it; without, they are dropped.
         self.parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if spaces else r"[^ \n]+").findall
         self.forget()
@@ -57,8 +58,7 @@ class Encoder(dict):
         """Encode the parts met for the first time."""
         known = len(self) - len(self.pending)
         for at in range(0, len(self.pending), 10_000):
-            got = self.tokenizer.encode_batch_fast(self.pending[at:at + 10_000], add_special_tokens=False)
-            lists = [e.ids for e in got]
+            lists = self.encode_many(self.pending[at:at + 10_000])
             bounds = np.cumsum([len(x) for x in lists]) + self.bounds[known]
             while bounds[-1] > self.ids.size:
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -72,7 +72,7 @@ class Encoder(dict):
 
     def encode(self, text: str) -> np.ndarray:
         if _OTHER_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(self.encode_many([text])[0], np.uint32)
         parts = self.parts(text)
         out = []
         for at in range(0, len(parts), STEP):
@@ -91,13 +91,18 @@ class Encoder(dict):
 
 def encoder(path: str, spaces: bool) -> Encoder:
     if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = Encoder(path, spaces)
+        own = tokenizer(path)
+        _encoders[path, spaces] = Encoder(
+            lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)], spaces)
     return _encoders[path, spaces]
 
 
 def encode_texts(texts: list[str], path: str, spaces: bool) -> tuple[np.ndarray, np.ndarray]:
     """The ids of several texts together, and each text's bounds among them."""
-    own = encoder(path, spaces)
+    return encode_with(encoder(path, spaces), texts)
+
+
+def encode_with(own: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     plain = [not _OTHER_SPACE.search(t) for t in texts]
     if all(plain) and sum(map(len, texts)) < 4 * STEP:
         # One pass for all texts: a number per part, then all ids at once.
