@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import byte_bpe, packing, simhash, substring_dedup, suffix_quality, token_files
+from touchline.llm import (
+    bwt_dedup, byte_bpe, imatch, packing, simhash, substring_dedup, suffix_quality, token_files)
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,6 +38,20 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = imatch.edited_likeness(documents(spark, sf_dir))
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256",
+                       F.lower(F.hex("own")).alias("fingerprint"),
+                       F.lower(F.hex("edited")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bwt_dedup.remove_repeats(documents(spark, sf_dir))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                       F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_quality.quality(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -55,5 +70,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_token_files, op5_suffix_quality, op6_byte_bpe, op7_simhash, op10_packing)}
+    op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash, op10_packing)}
 ORACLES: dict[str, str] = {}

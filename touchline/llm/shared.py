@@ -140,8 +140,8 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # --- hashing -------------------------------------------------------------------------
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = _RANDOM.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -167,10 +167,12 @@ def _series(name: str, base: int, n: int) -> np.ndarray:
 class Spans:
     """Hashes of any spans of an array of bytes, from one running sum."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
+        """Hashes of different families (0, 1) are independent."""
+        base = _BASE[family]
         self.total = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _series("up", _BASE, data.size), out=self.total[1:])
-        self.down = _series("down", pow(_BASE, -1, 1 << 64), data.size + 1)
+        np.cumsum(_BYTE[family][data] * _series(f"up{family}", base, data.size), out=self.total[1:])
+        self.down = _series(f"down{family}", pow(base, -1, 1 << 64), data.size + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.total[ends] - self.total[starts]) * self.down[starts]

@@ -181,12 +181,12 @@ def named(words, at, ids, width):
     return keys, check[first], least, place
 
 
-def improved(least: np.ndarray, keys: np.ndarray, got: dict, buckets: int) -> np.ndarray:
-    """The smallest ids after the buckets' answers."""
+def improved(least: np.ndarray, keys: np.ndarray, got: dict, buckets: int, shift: int = 0) -> np.ndarray:
+    """The smallest ids after the answers of the buckets (numbered from ``shift``)."""
     least = least.copy()
     for bucket, at in by_bucket(bucket_of(keys, buckets).astype(np.int64)):
-        if bucket in got:
-            where, ids = got[bucket]
+        if bucket + shift in got:
+            where, ids = got[bucket + shift]
             least[np.frombuffer(where, np.int32) + at.start] = np.frombuffer(ids, np.int64)
     return least
 
