@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import (
-    bwt_dedup, byte_bpe, imatch, packing, simhash, substring_dedup, suffix_quality, token_files)
+    bwt_dedup, byte_bpe, imatch, license_scan, packing, quote_linking, simhash, substring_dedup,
+    suffix_quality, token_files)
 
 
 def tokenizer_file(name: str) -> str:
@@ -63,6 +64,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("component").alias("component_id"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, written as replies that quote, are linked and freed of quotes."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return quote_linking.link(quote_linking.as_replies(messages))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
     return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32",
@@ -70,5 +81,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash, op10_packing)}
-ORACLES: dict[str, str] = {}
+    op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash,
+    op8_license_scan, op9_quote_linking, op10_packing)}
+ORACLES = {"op8_license_scan": license_scan.oracle(), "op9_quote_linking": quote_linking.ORACLE}
