@@ -370,30 +370,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         keys, _, count = small(Anchors(chunk, width))
         return X.send_small(number, keys, count > 1)
 
-    shared = X.shared_keys(X.each_chunk(chunks, ask, "bytes-anchors"), hot)
+    shared = X.shared_keys(X.each_chunk(chunks, ask), hot)
 
     def segments(number: int, chunk: Chunk, got: dict) -> pa.Table:
         found = Anchors(chunk, width)
         keys, place, _ = small(found)
-        state = np.zeros(keys.size, np.uint8)
-        for bucket, at in by_bucket((keys >> np.uint64(32)).astype(np.int64)):
-            state[at] = np.frombuffer(got[bucket][0], np.uint8)
+        state = X.states(keys, got)
         each = state[place]
-        sent = [(X.OWN, number, zstandard.compress(blob(state)), b"")]
+        sent = [X.to_itself(number, blob(state))]
         if (each == 1).any():
             sent += Entries(chunk, found, np.flatnonzero(each == 1), width).messages(number, buckets)
         spread = np.flatnonzero(each == 2)
         if spread.size:
             at = strings_of(found.low[spread], found.high[spread])
             keys, check, least, _, _ = string_names(chunk, at, width)
-            sent += [(b + buckets, *rest) for b, *rest in X.send_full(number, keys, check, least, buckets)]
+            sent += X.send_full(number, keys, check, least, buckets, buckets)
         return X.messages(sent)
 
-    asked = X.materialize(X.with_answers(chunks, shared, segments, X.MESSAGE), "bytes-segments")
-    solved = asked.where(f"bucket >= 0 and bucket < {buckets}").groupBy("bucket").applyInArrow(
-        solve(width), X.MESSAGE)
-    owners = solved.union(X.first_owners(asked.where(f"bucket >= {buckets}"))).union(
-        asked.where(f"bucket = {X.OWN}"))
+    owners = X.answered(X.with_answers(chunks, shared, segments, X.MESSAGE),
+                        (0, solve(width)), (buckets, X.first_owners))
 
     def remove(number: int, chunk: Chunk, got: dict) -> pa.Table:
         n, data, bounds = chunk.data.size, chunk.data, chunk.starts
@@ -402,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if found.key.size:
             starts, stops = repeats_inside(found, chunk, width)
             keys, place, _ = small(found)
-            each = np.frombuffer(zstandard.decompress(got[X.OWN][0]), np.uint8)[place]
+            each = np.frombuffer(X.from_itself(got), np.uint8)[place]
             chosen = np.flatnonzero(each == 1)
             if chosen.size:
                 entries = Entries(chunk, found, chosen, width)

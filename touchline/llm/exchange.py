@@ -12,19 +12,29 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
-from touchline.llm.shared import CHUNK_SCHEMA, blob, bucket_of, by_bucket, materialize, read_chunk
+from touchline.llm.shared import blob, bucket_of, by_bucket, read_chunk
 
-MESSAGE = "bucket int, chunk long, keys binary, vals binary"
-#: Buckets of messages from a chunk to itself, which are not exchanged.
+MESSAGE = "bucket long, chunk long, keys binary, vals binary"
+#: The bucket of what a chunk tells itself, as it comes back.
 OWN = -1
 
 
+def to_itself(chunk: int, data: bytes) -> tuple:
+    """A message that comes back unchanged: a bucket of its own."""
+    return (-1 - chunk, chunk, zstandard.compress(data, 3), b"")
+
+
+def from_itself(got: dict) -> bytes:
+    return zstandard.decompress(got[OWN][0])
+
+
 def messages(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table({
-        "bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()),
+        "bucket": pa.array(cols[0], pa.int64()), "chunk": pa.array(cols[1], pa.int64()),
         "keys": pa.array(cols[2], pa.binary()), "vals": pa.array(cols[3], pa.binary())})
 
 
@@ -55,46 +65,80 @@ def shared_keys(sent: DataFrame, hot: int = 0) -> DataFrame:
         if hot:
             state[count > hot] = 2
         each = np.split(state[place], np.cumsum(sizes)[:-1])
-        return messages([(b, c, blob(s), b"") for b, c, s in zip(
+        return messages([(b, c, zstandard.compress(blob(s), 3), b"") for b, c, s in zip(
             table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), each)])
 
     return sent.groupBy("bucket").applyInArrow(answer, MESSAGE)
 
 
-#: A full key and a check of it: 96 bits of hash.
-FULL = np.dtype([("key", "<u8"), ("check", "<u4"), ("least", "<i8")])
+def states(keys: np.ndarray, got: dict) -> np.ndarray:
+    """The answered byte of each of a chunk's small keys."""
+    out = np.zeros(keys.size, np.uint8)
+    for bucket, at in by_bucket((keys >> np.uint64(32)).astype(np.int64)):
+        out[at] = np.frombuffer(zstandard.decompress(got[bucket][0]), np.uint8)
+    return out
+
+
+def press(*columns: np.ndarray) -> bytes:
+    """Columns of one length, compressed byte plane by byte plane: sorted keys and ids
+    that repeat take less room that way."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(c.size, -1).T.tobytes() for c in columns]
+    return zstandard.compress(b"".join(planes), 3)
+
+
+def unpress(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = raw.size // sum(widths), 0, []
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(raw[at:at + n * width].reshape(width, n).T).view(kind).reshape(-1))
+        at += n * width
+    return out
 
 
-def send_full(chunk: int, keys: np.ndarray, checks: np.ndarray, least: np.ndarray, n: int) -> list[tuple]:
-    """Messages of sorted distinct keys with the smallest id that has each."""
-    entries = np.empty(keys.size, FULL)
-    entries["key"], entries["check"], entries["least"] = keys, checks, least
-    return [(b, chunk, blob(entries[at]), b"") for b, at in by_bucket(bucket_of(keys, n).astype(np.int64))]
+def send_full(chunk: int, keys: np.ndarray, checks: np.ndarray, least: np.ndarray, n: int,
+              shift: int = 0) -> list[tuple]:
+    """Messages of sorted distinct keys (64 bits and a check of 32) with the smallest id
+    that has each, to buckets numbered from ``shift``."""
+    return [(b + shift, chunk, press(keys[at], checks[at], least[at]), b"")
+            for b, at in by_bucket(bucket_of(keys, n).astype(np.int64))]
 
 
-def first_owners(sent: DataFrame) -> DataFrame:
-    """Answers to ``send_full``: the entries whose key a smaller id has, with that id."""
+def first_owners(table: pa.Table) -> pa.Table:
+    """A bucket's answers to ``send_full``: the entries whose key a smaller id has."""
+    lists = [unpress(x, "<u8", "<u4", "<i8") for x in table.column("keys").to_pylist()]
+    key, check, least = (np.concatenate(x) for x in zip(*lists))
+    order = np.lexsort((least, check, key))
+    new = np.ones(key.size, bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    found = np.empty(key.size, np.int64)
+    found[order] = least[order][np.maximum.accumulate(np.where(new, np.arange(key.size), 0))]
+    rows, at = [], 0
+    for b, c, (own, _, _) in zip(table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), lists):
+        here = slice(at, at + own.size)
+        better = np.flatnonzero(found[here] < least[here])
+        if better.size:
+            rows.append((b, c, press(better.astype("<i4"), found[here][better]), b""))
+        at += own.size
+    return messages(rows)
+
+
+def better_owners(message: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that an answer of ``first_owners`` is about, and their smaller ids."""
+    entry, ids = unpress(message, "<i4", "<i8")
+    return entry, ids
+
+
+def answered(sent: DataFrame, *answers: tuple[int, Callable[[pa.Table], pa.Table]]) -> DataFrame:
+    """Let buckets answer; ``answers``: from which bucket on which function does it."""
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, FULL) for x in table.column("keys").to_pylist()]
-        all_ = np.concatenate(lists)
-        order = np.lexsort((all_["least"], all_["check"], all_["key"]))
-        key, check, least = (all_[f][order] for f in ("key", "check", "least"))
-        new = np.ones(all_.size, bool)
-        new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
-        lead = least[np.maximum.accumulate(np.where(new, np.arange(all_.size), 0))]
-        found = np.empty(all_.size, np.int64)
-        found[order] = lead
-        rows, at = [], 0
-        for b, c, x in zip(table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), lists):
-            own = found[at:at + x.size]
-            better = np.flatnonzero(own < x["least"])
-            if better.size:
-                rows.append((b, c, blob(better.astype(np.int32)), blob(own[better])))
-            at += x.size
-        return messages(rows)
-
-    return sent.where(f"bucket <> {OWN}").groupBy("bucket").applyInArrow(answer, MESSAGE)
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table.set_column(0, "bucket", pa.array([OWN] * table.num_rows, pa.int64()))
+        return next(f for low, f in reversed(answers) if bucket >= low)(table)
+
+    return sent.groupBy("bucket").applyInArrow(answer, MESSAGE)
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable, schema: str) -> DataFrame:
@@ -102,26 +146,23 @@ def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable, schema: s
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {b: (k, v) for b, k, v in zip(*(right.column(c).to_pylist() for c in ("bucket", "keys", "vals")))}
-        out = [use(number, read_chunk(payload), got) for number, payload in zip(
-            left.column("chunk").to_pylist(), left.column("payload").to_pylist())]
-        return pa.concat_tables(out) if out else None
-
-    def safe(left: pa.Table, right: pa.Table) -> pa.Table:
-        return meet(left, right)
+        return pa.concat_tables([use(number, read_chunk(payload), got) for number, payload in zip(
+            left.column("chunk").to_pylist(), left.column("payload").to_pylist())])
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(safe, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema)
 
 
-def each_chunk(chunks: DataFrame, make: Callable, label: str) -> DataFrame:
-    """Messages made from every chunk, written to the shared folder."""
+def each_chunk(chunks: DataFrame, make: Callable) -> DataFrame:
+    """Messages made from every chunk."""
 
     def run(batches):
         for batch in batches:
             for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
                 yield from messages(make(number, read_chunk(payload))).to_batches()
 
-    return materialize(chunks.select("chunk", "payload").mapInArrow(run, MESSAGE), label)
+    return chunks.select("chunk", "payload").mapInArrow(run, MESSAGE)
 
 
-__all__ = ["CHUNK_SCHEMA", "MESSAGE", "OWN", "each_chunk", "first_owners", "messages", "send_full",
-           "send_small", "shared_keys", "small_keys", "with_answers"]
+__all__ = ["MESSAGE", "OWN", "answered", "better_owners", "each_chunk", "first_owners", "from_itself",
+           "messages", "press", "send_full", "send_small", "shared_keys", "small_keys", "states",
+           "to_itself", "unpress", "with_answers"]

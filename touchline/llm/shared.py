@@ -174,6 +174,15 @@ class Spans:
         np.cumsum(_BYTE[family][data] * _series(f"up{family}", base, data.size), out=self.total[1:])
         self.down = _series(f"down{family}", pow(base, -1, 1 << 64), data.size + 1)
 
+    @classmethod
+    def over(cls, values: np.ndarray) -> Spans:
+        """Hashes of spans of an array of 64-bit values."""
+        made = cls.__new__(cls)
+        made.total = np.zeros(values.size + 1, np.uint64)
+        np.cumsum(values * _series("up0", _BASE[0], values.size), out=made.total[1:])
+        made.down = _series("down0", pow(_BASE[0], -1, 1 << 64), values.size + 1)
+        return made
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.total[ends] - self.total[starts]) * self.down[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -6,7 +6,8 @@ that changes with the round). Names are hashes of what they stand for, so a roun
 globally: equal parts get equal names everywhere, in whatever task they are. For every
 symbol the words that settle it are known, its *support*. Wherever a window of
 ``words`` words occurs, the symbols whose support lies inside it are the same, so the
-longest of them (ties: the smallest name) is an anchor that equal windows share.
+longest of them (ties: the smallest name) is an anchor that equal windows share, and so
+are the words of its support, by which anchors are told apart.
 
 1. Spark round over symbols: chunks send their windows' anchors to buckets, which say
    which are shared. Windows without a shared anchor occur once, and are done.
@@ -112,20 +113,27 @@ def anchors(words: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
     """For each place the anchor of the window that starts there (any, if none does)."""
     n = words.size
     best = np.zeros(n + width, np.uint64)
+    where = np.zeros(n + width, np.int64)  # the anchor's support: start and size
     for name, span, low, high in rounds(words, bounds, ROUNDS, width):
         key = (span.astype(np.uint64) << np.uint64(56)) | (~name >> np.uint64(8))
-        slack = width - (high - low)
+        size = high - low
+        support = low * 256 + size
         for back in range(width):
             if back:
-                keep = slack >= back
-                name, key, low, slack = name[keep], key[keep], low[keep], slack[keep]
+                keep = size + back <= width
+                key, low, size, support = key[keep], low[keep], size[keep], support[keep]
             if not low.size:
                 break
             at = low - back
             ok = at >= 0
-            np.maximum.at(best, at[ok], key[ok])
+            at, own = at[ok], key[ok]
+            np.maximum.at(best, at, own)
+            won = best[at] == own
+            where[at[won]] = support[ok][won]
     # A window inside one run, or between unsettled symbols, is known by its words alone.
     bare = best[:n] == 0
+    low = where[:n] >> 8
+    best[:n] = Spans.over(mix(words, 12)).of(low, low + (where[:n] & 255))
     if bare.any():
         least = mix(words, 11)
         padded = np.concatenate([least, np.full(width, ~np.uint64(0))])
@@ -186,8 +194,8 @@ def improved(least: np.ndarray, keys: np.ndarray, got: dict, buckets: int, shift
     least = least.copy()
     for bucket, at in by_bucket(bucket_of(keys, buckets).astype(np.int64)):
         if bucket + shift in got:
-            where, ids = got[bucket + shift]
-            least[np.frombuffer(where, np.int32) + at.start] = np.frombuffer(ids, np.int64)
+            entry, ids = X.better_owners(got[bucket + shift][0])
+            least[entry + at.start] = ids
     return least
 
 
@@ -205,22 +213,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, _, _, doc, keys, place = anchor_keys(chunk, width, buckets)
         return X.send_small(number, keys, several_documents(place, doc, keys.size))
 
-    shared = X.shared_keys(X.each_chunk(chunks, ask, "substring-anchors"))
+    shared = X.shared_keys(X.each_chunk(chunks, ask))
 
     def name(number: int, chunk: Chunk, got: dict) -> pa.Table:
         words, _, at, doc, keys, place = anchor_keys(chunk, width, buckets)
-        state = np.zeros(keys.size, bool)
-        for bucket, where in by_bucket((keys >> np.uint64(32)).astype(np.int64)):
-            state[where] = np.frombuffer(got[bucket][0], np.uint8) > 0
-        open_ = state[place]
-        sent = [(X.OWN, number, blob(np.packbits(open_)), b"")]
+        open_ = X.states(keys, got)[place] > 0
+        sent = [X.to_itself(number, blob(np.packbits(open_)))]
         if open_.any():
             keys, check, least, _ = named(words, at[open_], chunk.ids[doc[open_]], width)
             sent += X.send_full(number, keys, check, least, buckets)
         return X.messages(sent)
 
-    asked = X.materialize(X.with_answers(chunks, shared, name, X.MESSAGE), "substring-windows")
-    owners = X.first_owners(asked).union(asked.where(f"bucket = {X.OWN}"))
+    owners = X.answered(X.with_answers(chunks, shared, name, X.MESSAGE), (0, X.first_owners))
     carried = rows.columns if carry else ["id"]
     schema = ", ".join([f"{c} {t}" for c, t in rows.dtypes if c in carried]
                        + ["n_words long, n_removed long, kept string",
@@ -229,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def remove(number: int, chunk: Chunk, got: dict) -> pa.Table:
         words, bounds = parse(chunk)
         at = windows(bounds, width)
-        open_ = np.unpackbits(np.frombuffer(got[X.OWN][0], np.uint8), count=at.size).astype(bool)
+        open_ = np.unpackbits(np.frombuffer(X.from_itself(got), np.uint8), count=at.size).astype(bool)
         at = at[open_]
         gone = np.zeros(words.size, bool)
         if at.size:
