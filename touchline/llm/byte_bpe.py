@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -143,8 +144,10 @@ class ByteBpe:
                 out.append(one)
         return out
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode(t) for t in texts]
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [self.encode(t) for t in texts]
+        return (np.fromiter(chain.from_iterable(lists), np.uint32),
+                np.fromiter(map(len, lists), np.int64, len(lists)))
 
 
 class Decoder:

@@ -15,8 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Parts that a worker remembers (some 60 MB).
-CACHE = 400_000
+#: Parts that a worker remembers (some 200 MB).
+CACHE = 1_200_000
 #: Parts that are turned into ids at a time.
 STEP = 500_000
 
@@ -36,7 +36,7 @@ def tokenizer(path: str):
 class Encoder(dict):
     """part -> its number in the table of ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], spaces: bool):
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], spaces: bool):
         super().__init__()
         self.encode_many = encode_many
         # With spaces, a part keeps those before it; without, they are dropped.
@@ -58,21 +58,35 @@ class Encoder(dict):
         """Encode the parts met for the first time."""
         known = len(self) - len(self.pending)
         for at in range(0, len(self.pending), 10_000):
-            lists = self.encode_many(self.pending[at:at + 10_000])
-            bounds = np.cumsum([len(x) for x in lists]) + self.bounds[known]
+            ids, sizes = self.encode_many(self.pending[at:at + 10_000])
+            bounds = np.cumsum(sizes) + self.bounds[known]
             while bounds[-1] > self.ids.size:
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while known + len(lists) + 1 > self.bounds.size:
+            while known + sizes.size + 1 > self.bounds.size:
                 self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-            self.ids[self.bounds[known]:bounds[-1]] = np.concatenate(
-                [np.array(x, np.uint32) for x in lists])
-            self.bounds[known + 1:known + 1 + len(lists)] = bounds
-            known += len(lists)
+            self.ids[self.bounds[known]:bounds[-1]] = ids
+            self.bounds[known + 1:known + 1 + sizes.size] = bounds
+            known += sizes.size
         self.pending = []
 
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts in a row, and how many there are before each part."""
+        first = self.bounds[numbers]
+        sizes = self.bounds[numbers + 1] - first
+        ends = np.zeros(numbers.size + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        # Steps of one inside a part, a jump where the next part begins.
+        steps = np.ones(int(ends[-1]), np.int64)
+        some = sizes > 0
+        first, sizes, at = first[some], sizes[some], ends[:-1][some]
+        if at.size:
+            steps[at] = first
+            steps[at[1:]] -= first[:-1] + sizes[:-1] - 1
+        return self.ids[np.cumsum(steps)], ends
+
     def encode(self, text: str) -> np.ndarray:
         if _OTHER_SPACE.search(text):
-            return np.array(self.encode_many([text])[0], np.uint32)
+            return self.encode_many([text])[0]
         parts = self.parts(text)
         out = []
         for at in range(0, len(parts), STEP):
@@ -82,18 +96,28 @@ class Encoder(dict):
             numbers = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
             if self.pending:
                 self.settle()
-            first = self.bounds[numbers]
-            sizes = self.bounds[numbers + 1] - first
-            ends = np.cumsum(sizes)
-            out.append(self.ids[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])])
+            out.append(self.gather(numbers)[0])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def _by_words(own) -> Callable:
+    """Encode parts as the words of one sequence; word numbers tell the ids apart."""
+
+    def encode_many(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [], []
+        for at in range(0, len(parts), 1_000):
+            some = parts[at:at + 1_000]
+            got = own.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return encode_many
+
+
 def encoder(path: str, spaces: bool) -> Encoder:
     if (path, spaces) not in _encoders:
-        own = tokenizer(path)
-        _encoders[path, spaces] = Encoder(
-            lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)], spaces)
+        _encoders[path, spaces] = Encoder(_by_words(tokenizer(path)), spaces)
     return _encoders[path, spaces]
 
 
@@ -106,22 +130,17 @@ def encode_with(own: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     plain = [not _OTHER_SPACE.search(t) for t in texts]
     if all(plain) and sum(map(len, texts)) < 4 * STEP:
         # One pass for all texts: a number per part, then all ids at once.
-        lists = [own.parts(t) for t in texts]
         if len(own) > CACHE:
             own.forget()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(sizes.sum())
-        numbers = np.fromiter((n for x in lists for n in map(own.__getitem__, x)), np.int64, total)
+        parts, ends = [], [0]
+        for text in texts:
+            parts += own.parts(text)
+            ends.append(len(parts))
+        numbers = np.fromiter(map(own.__getitem__, parts), np.int64, len(parts))
         if own.pending:
             own.settle()
-        first = own.bounds[numbers]
-        widths = own.bounds[numbers + 1] - first
-        ends = np.zeros(total + 1, np.int64)
-        np.cumsum(widths, out=ends[1:])
-        ids = own.ids[np.repeat(first - ends[:-1], widths) + np.arange(ends[-1])]
-        bounds = np.zeros(len(lists) + 1, np.int64)
-        np.cumsum(sizes, out=bounds[1:])
-        return ids, ends[bounds]
+        ids, after = own.gather(numbers)
+        return ids, after[ends]
     each = [own.encode(t) for t in texts]
     bounds = np.zeros(len(each) + 1, np.int64)
     np.cumsum([x.size for x in each], out=bounds[1:])
