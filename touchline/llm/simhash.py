@@ -228,12 +228,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = found.where("id <=> component")
     key = ["component", F.when(F.col("component").isNull(), F.col("fp")).alias("own")]
     first = named.groupBy("component", *key[1:]).agg(F.min("mark").alias("mark"))
-    copies = named.groupBy("id", "mark").agg(F.count("*").alias("copies"))
-    chosen = first.join(copies, (first.component.eqNullSafe(copies.id)) & (first.mark == copies.mark)).select(
-        copies.id.alias("chosen"), copies.mark.alias("chosen_mark"), "copies").distinct()
+    copies = named.groupBy(F.col("id").alias("chosen"), F.col("mark").alias("chosen_mark")).agg(
+        F.count("*").alias("copies"))
+    chosen = first.join(copies, F.expr("component <=> chosen and mark = chosen_mark")).select(
+        "chosen", "chosen_mark", "copies").distinct()
     chosen = materialize(chosen, "simhash-kept")
     rows = internal(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    kept = rows.join(chosen, (rows.id.eqNullSafe(chosen.chosen)) & (rows.mark == chosen.chosen_mark))
+    kept = rows.join(chosen, F.expr("id <=> chosen and mark = chosen_mark"))
     fields = [c for c in rows.columns if c != "mark"]
     once = kept.where("copies = 1").select(*fields)
     again = kept.where("copies > 1").groupBy("id", "mark").agg(
