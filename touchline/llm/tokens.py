@@ -15,8 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Parts that a worker remembers (some 200 MB).
-CACHE = 1_200_000
+#: Parts that a worker remembers (some 150 MB).
+CACHE = 900_000
 #: Parts that are turned into ids at a time.
 STEP = 500_000
 
