@@ -178,3 +178,16 @@ def test_teams_may_be_given(store, transformed):
     matches = transformed(raw_match(1))
     store.load(matches, extract_teams(matches))
     assert store.tables().teams.count() == 2
+
+
+def test_failed_repeat_leaves_the_snapshot(spark, tmp_path, transformed, monkeypatch):
+    base, day = str(tmp_path / "snaps"), dt.date(2026, 1, 1)
+    snapshots.write_league_snapshot(base, transformed(raw_match(1), raw_match(2)), day, "PL")
+
+    def fails(rows):
+        raise OSError("lost the storage")
+
+    monkeypatch.setattr(snapshots, "extract_teams", fails)
+    with pytest.raises(OSError):
+        snapshots.write_league_snapshot(base, transformed(raw_match(3)), day, "PL")
+    assert scores(snapshots.read_merged(spark, base)) == {1: 1, 2: 1}

@@ -2,6 +2,7 @@ import pytest
 
 from tests.conftest import raw_match, rows
 from touchline.operators.appearances import appearances
+from touchline.operators.ranking import rank_within
 from touchline.plans import console, documented, goals, outcomes, sequences, shape
 from touchline.plans.dispatch import CachedReports, report
 from touchline.tables import MatchTables
@@ -261,3 +262,15 @@ def test_parameterized_sql(spark):
     sql = "SELECT COUNT(*) AS n FROM matches m JOIN competitions c ON c.id = m.competition_id " \
           "WHERE (:code IS NULL OR c.code = :code)"
     assert [rows(t.query(sql, code=code))[0]["n"] for code in (None, "PL", "SA")] == [1, 1, 0]
+
+
+def test_negative_scores_stay(tables):
+    t = tables(raw_match(1), raw_match(2, home=(3, "Third"), away=(4, "Fourth"), ft=(-1, 2), winner="AWAY_TEAM"))
+    assert {row["team"] for row in outcomes.standings(t).collect()} == {"Home", "Away", "Third", "Fourth"}
+    assert sum(row["games"] for row in sequences.pairings(t).collect()) == 4
+
+
+def test_unknown_scores_are_ranked_last(spark):
+    table = spark.createDataFrame([("x", 3, 1), ("x", 3, None), ("x", None, 5)], "league string, pts long, gd long")
+    ranked = rank_within(table, ["league"], ["pts", "gd"], "place")
+    assert {(row["pts"], row["gd"]): row["place"] for row in ranked.collect()} == {(3, 1): 1, (3, None): 2, (None, 5): 3}

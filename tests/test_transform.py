@@ -186,3 +186,23 @@ def test_league_scope(landed):
     raw = landed(raw_match(1, code="PL"), raw_match(2, code="SA"))
     assert [r["id"] for r in rows(feed.league_scope(raw, "SA"))] == [2]
     assert feed.league_scope(raw, None).count() == 2
+
+
+def test_unreadable_responses_are_counted(spark, tmp_path):
+    good = json.dumps({"matches": [raw_match(1)]})
+    (tmp_path / "feed.json").write_text(good + "\n" + good[:40] + "\n")
+    path = str(tmp_path / "feed.json")
+    assert feed.unreadable_responses(spark, path).count() == 1
+    assert feed.read_matches_json(spark, path).count() == 1
+    with pytest.raises(ValueError):
+        feed.read_matches_json(spark, path, strict=True)
+
+
+def test_first_league_asked_for_wins(spark, tmp_path):
+    for code, goals in (("PL", 1), ("BL1", 2)):
+        folder = tmp_path / f"league={code}"
+        folder.mkdir()
+        (folder / "feed.json").write_text(json.dumps({"matches": [raw_match(1, ft=(goals, 0))]}) + "\n")
+    for codes, goals in ((["PL", "BL1"], 1), (["BL1", "PL"], 2)):
+        read = transform_matches(feed.union_leagues(spark, str(tmp_path), codes)).collect()
+        assert [row["home_score_ft"] for row in read] == [goals]

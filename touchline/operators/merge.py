@@ -74,13 +74,13 @@ def merge_league_snapshots(competitions: DataFrame, teams: DataFrame, matches: D
     ``metrics`` may be missing altogether: with wide matches they come along,
     otherwise the merged table is empty.
     """
-    if matches.isEmpty():
-        raise ValueError("No match data found in any snapshot.")
     sources = competitions.select("league").distinct()
 
     def known(rows: DataFrame) -> DataFrame:
         return rows.join(sources, "league", "left_semi")
 
+    if known(matches).isEmpty():
+        raise ValueError("No match data found in any snapshot.")
     merged = merge_competitions(competitions)
     kept_teams = merge_teams(known(teams))
     kept_matches = merge_matches(known(matches), competitions)

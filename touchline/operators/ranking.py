@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys in which an unknown value equals another."""
+    renamed = right.withColumnsRenamed({key: f"_{key}" for key in keys})
+    alike = [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
+    return left.join(renamed, alike).drop(*[f"_{key}" for key in keys])
+
+
 def rank_within(table: DataFrame, group: list[str], order: list[str], into: str) -> DataFrame:
     """Add the exact RANK() of each row in its group, by ``order`` descending.
 
@@ -31,11 +38,11 @@ def rank_within(table: DataFrame, group: list[str], order: list[str], into: str)
     )
     ranks = (
         scores.withColumn("above_tie", F.coalesce(F.sum("tied").over(inside), F.lit(0)))
-        .join(steps, [*group, first])
+        .transform(_meet, steps, [*group, first])
         .select(
             *group,
             *order,
             (F.lit(1) + F.col("above_step") + F.col("above_tie")).cast("bigint").alias(into),
         )
     )
-    return table.join(ranks, [*group, *order])
+    return _meet(table, ranks, [*group, *order])

@@ -87,7 +87,13 @@ def derive_metrics(matches: DataFrame, threshold: int = HIGH_SCORE_THRESHOLD) ->
 
 
 def transform_matches(raw: DataFrame, threshold: int = HIGH_SCORE_THRESHOLD) -> DataFrame:
-    """The whole chain from raw to clean, dated and measured matches."""
+    """The whole chain from raw to clean, dated and measured matches.
+
+    Needs the column ``ordinal`` that ``read_matches_json`` adds: it decides which
+    of several copies of a match comes first.
+    """
+    if ORDINAL not in raw.columns:
+        raise ValueError(f"Raw matches need the column {ORDINAL!r}; see read_matches_json.")
     clean = clean_matches(normalize_matches(raw))
     return derive_metrics(clean.withColumn("match_date", utc_day(F.col("utc_date"))), threshold)
 

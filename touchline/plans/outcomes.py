@@ -66,9 +66,10 @@ def standings(tables: MatchTables, code: str | None = None,
         tables.in_league(tables.named(per_id))
         .groupBy("competition", "competition_code", "team")
         .agg(*[F.sum(name).alias(name) for name in counts])
-        # Ranking reads this table twice. Asking for every count in both places
-        # keeps the two alike, so Spark computes the games' sums only once.
-        .dropna(subset=counts)
+        # Ranking reads this table twice. Naming every count in both places, in a
+        # test that holds for all rows, keeps the two alike, so Spark computes the
+        # games' sums only once. Nulls stay.
+        .filter(F.hash(*counts) >= F.lit(-(2**31)))
         .withColumn("gd", F.col("gf") - F.col("ga"))
         .withColumn("pts", F.col("won") * 3 + F.col("drawn"))
     )

@@ -98,26 +98,32 @@ def competitive_balance(tables: MatchTables, code: str | None = None) -> DataFra
 
 def pairings(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Games of each team against each opponent, folded to one row."""
-    key, counts = ["competition_id", "team_id", "opponent_id"], ["games", "conceded", "blanks"]
+    key, counts = ["competition_id", "team_id", "opponent_id"], ["games", "known", "conceded", "blanks"]
     return (
         goal_lines(tables, code)
         .filter(" AND ".join(f"{name} IS NOT NULL" for name in key))
         .groupBy(*key)
         .agg(
             F.count("*").alias("games"),
+            F.count("ga").alias("known"),
             F.sum("ga").alias("conceded"),
             F.count_if(F.col("ga") == 0).alias("blanks"),
         )
-        # Read several times below. Asking for every column each time keeps the
-        # readings alike, so Spark folds the games only once.
-        .filter(" AND ".join(f"{name} >= 0" for name in counts))
+        # Read several times below. Naming every column each time, in a test that
+        # holds for all rows, keeps the readings alike, so Spark folds the games
+        # only once. Negative and unknown scores stay.
+        .filter(F.hash(*counts) >= F.lit(-(2**31)))
     )
 
 
 def _attack_tier(pairs: DataFrame) -> DataFrame:
-    """What a team's opponents conceded is what the team scored."""
+    """What a team's opponents conceded is what the team scored.
+
+    The mean is over games with a known score; a team without any comes last.
+    """
+    mean = F.sum("conceded") / F.nullif(F.sum("known"), F.lit(0))
     attacks = pairs.groupBy("competition_id", F.col("opponent_id").alias("team_id")).agg(
-        (F.sum("conceded") / F.sum("games")).alias("scored")
+        F.coalesce(mean, F.lit(-1e9)).alias("scored")
     )
     # The grade only spreads the ranking over tasks; the order is the same.
     graded = attacks.withColumn("grade", F.floor(F.col("scored") * 256))

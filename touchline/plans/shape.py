@@ -59,11 +59,19 @@ def rest_band_pivot(density: DataFrame) -> DataFrame:
     )
 
 
-def parity_pivot(balance: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Spread of points per matchweek, one column per competition."""
+def parity_pivot(balance: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+    """Spread of points per matchweek, one column per competition.
+
+    Without ``names`` every competition gets a column; names that leave one out
+    are an error.
+    """
+    found = sorted(row[0] for row in balance.select("competition").distinct().collect())
+    names = found if names is None else list(names)
+    if missing := set(found) - set(names):
+        raise ValueError(f"No column for {sorted(missing)}")
     return (
         balance.groupBy("matchweek")
-        .pivot("competition", list(names))
+        .pivot("competition", names)
         .agg(F.first("points_stdev"))
         .orderBy("matchweek")
     )

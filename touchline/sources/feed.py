@@ -6,30 +6,54 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.schema import ENVELOPE, RAW_MATCH
 from touchline.sources.paths import exists
 
-def read_matches_json(spark: SparkSession, paths: str | list[str],
-                      multi_line: bool = False) -> DataFrame:
-    """Matches of all responses, each with its position in the feed.
+CORRUPT = "_unreadable"
 
-    One response per line splits across tasks; pretty-printed files need
-    ``multi_line`` and are read one file per task. An unreadable response
-    yields no matches and does not fail the rest.
-    """
-    responses = (
-        spark.read.schema(ENVELOPE)
+
+def _responses(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
+    kept = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
+    return (
+        spark.read.schema(kept)
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .json(paths)
     )
-    return unpack_responses(responses)
 
 
-def unpack_responses(responses: DataFrame) -> DataFrame:
+def unreadable_responses(spark: SparkSession, paths: str | list[str],
+                         multi_line: bool = False) -> DataFrame:
+    """``file`` and ``response`` of every response that is not valid JSON."""
+    return (
+        _responses(spark, paths, multi_line)
+        # Spark wants another column to be read beside the unreadable text.
+        .filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.size("matches"), F.lit(0)) >= -1))
+        .select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("response"))
+    )
+
+
+def read_matches_json(spark: SparkSession, paths: str | list[str], multi_line: bool = False,
+                      strict: bool = False, codes: Iterable[str] = ()) -> DataFrame:
+    """Matches of all responses, each with its position in the feed.
+
+    One response per line splits across tasks; pretty-printed files need
+    ``multi_line`` and are read one file per task. An unreadable response
+    yields no matches and does not fail the rest, see ``unreadable_responses``;
+    with ``strict`` it is an error.
+    """
+    if strict and (bad := unreadable_responses(spark, paths, multi_line).count()):
+        raise ValueError(f"{bad} unreadable responses")
+    return unpack_responses(_responses(spark, paths, multi_line), codes)
+
+
+def unpack_responses(responses: DataFrame, codes: Iterable[str] = ()) -> DataFrame:
     """One row per match of each envelope, with ``ordinal`` for first-wins rules.
 
+    Leagues come in the order of ``codes`` when their files lie under ``league=<code>``.
     Lines of one file block are read in order by one task, so the generated id
     only has to order lines inside a block; file and block order the rest.
     """
@@ -40,7 +64,11 @@ def unpack_responses(responses: DataFrame) -> DataFrame:
         F.posexplode("matches").alias("pos", "match"),
     )
     fields = [F.col(f"match.{name}").alias(name) for name in RAW_MATCH.names]
-    ordinal = F.struct("file", "block", "line", F.col("pos").cast("bigint").alias("pos"))
+    rank = F.lit(0)
+    for place, code in reversed(list(enumerate(codes))):
+        rank = F.when(F.col("file").contains(f"/league={code}/"), F.lit(place)).otherwise(rank)
+    ordinal = F.struct(rank.alias("league"), "file", "block", "line",
+                       F.col("pos").cast("bigint").alias("pos"))
     return placed.select(*fields, ordinal.alias("ordinal"))
 
 
@@ -48,18 +76,21 @@ def union_leagues(spark: SparkSession, base: str, codes: Iterable[str],
                   multi_line: bool = False) -> DataFrame:
     """Matches of all given leagues under ``base/league=<code>``.
 
-    A league that has not landed is skipped and the others still load.
+    A league that has not landed is skipped and the others still load. Of a match
+    that several leagues have, the copy of the league named first comes first.
     """
+    codes = list(codes)
     landed = [f"{base}/league={code}" for code in codes]
     present = [path for path in landed if exists(spark, path)]
     if not present:
         empty = spark.createDataFrame([], RAW_MATCH)
         nowhere = F.struct(
+            F.lit(0).alias("league"),
             F.lit("").alias("file"),
             *[F.lit(0).cast("bigint").alias(part) for part in ("block", "line", "pos")],
         )
         return empty.withColumn("ordinal", nowhere)
-    return read_matches_json(spark, present, multi_line)
+    return read_matches_json(spark, present, multi_line, codes=codes)
 
 
 def league_scope(raw: DataFrame, code: str | None) -> DataFrame:

@@ -1,12 +1,15 @@
 """Dated snapshots per league, and the merge of the latest ones.
 
-Layout: ``<base>/<table>/league=<code>/snapshot_date=<day>``. A run that is not
-scoped to one league is filed under ``all``. A run repeated on the same day
-replaces that day's snapshot; the latest snapshot of a league is its last day.
+Layout: ``<base>/<table>/league=<code>/snapshot_date=<day>/batch=<run>``. A run that
+is not scoped to one league is filed under ``all``. A run repeated on the same day
+adds a batch, and files are never overwritten: the latest snapshot of a league is
+the last batch of its last day whose competitions, written last, are there.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterable
 from datetime import date
 
@@ -24,7 +27,8 @@ from touchline.tables import MatchTables
 
 _SCHEMAS = {"competitions": COMPETITIONS, "teams": TEAMS, "matches": MATCH_FACTS}
 _PLACE = T.StructType(
-    [T.StructField("league", T.StringType()), T.StructField("snapshot_date", T.DateType())]
+    [T.StructField("league", T.StringType()), T.StructField("snapshot_date", T.DateType()),
+     T.StructField("batch", T.StringType())]
 )
 
 
@@ -41,7 +45,8 @@ def write_league_snapshot(base: str, matches: DataFrame, day: date,
     if count == 0:
         return 0
     require_keys(batch)
-    place = f"league={league or 'all'}/snapshot_date={day.isoformat()}"
+    batch_id = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    place = f"league={league or 'all'}/snapshot_date={day.isoformat()}/batch={batch_id}"
     competitions = extract_competitions(batch)
     none = batch.sparkSession.createDataFrame([], MATCH_FACTS)
     parts = {
@@ -50,7 +55,7 @@ def write_league_snapshot(base: str, matches: DataFrame, day: date,
         "competitions": competitions,
     }
     for name, rows in parts.items():
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{base}/{name}/{place}")
+        rows.hint("rebalance").write.parquet(f"{base}/{name}/{place}")
     return count
 
 
@@ -62,11 +67,12 @@ def _read(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 def latest_snapshots(spark: SparkSession, base: str,
                      leagues: Iterable[str] | None = None) -> DataFrame:
-    """The last day per league, from the small competitions table."""
+    """The last day and its last batch per league, from the small competitions table."""
     rows = _read(spark, base, "competitions")
     if leagues is not None:
         rows = rows.filter(F.col("league").isin(list(leagues)))
-    return rows.groupBy("league").agg(F.max("snapshot_date").alias("snapshot_date"))
+    last = rows.groupBy("league").agg(F.max(F.struct("snapshot_date", "batch")).alias("last"))
+    return last.select("league", "last.snapshot_date", "last.batch")
 
 
 def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str] = LEAGUE_ORDER,
@@ -84,8 +90,8 @@ def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str]
     def newest(name: str) -> DataFrame:
         # One row per league: while that is small, Spark broadcasts it and
         # prunes older snapshots from the scan.
-        rows = _read(spark, base, name).join(latest, ["league", "snapshot_date"], "left_semi")
-        return rank_leagues(rows.drop("snapshot_date"), tuple(order))
+        rows = _read(spark, base, name).join(latest, ["league", "snapshot_date", "batch"], "left_semi")
+        return rank_leagues(rows.drop("snapshot_date", "batch"), tuple(order))
 
     return {name: newest(name) for name in _SCHEMAS}
 

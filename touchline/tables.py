@@ -68,7 +68,19 @@ class MatchTables:
         return rows.join(names, key)
 
     def query(self, sql: str, **params) -> DataFrame:
-        """Run SQL with ``:name`` parameters over the four tables."""
+        """Run SQL with ``:name`` parameters over the four tables.
+
+        Temporary views of the session with their names are put back afterwards.
+        """
+        spark = self.competitions.sparkSession
+        own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+        before = {view: spark.table(view) for view in VIEWS if view in own}
         for view in VIEWS:
             getattr(self, view).createOrReplaceTempView(view)
-        return self.competitions.sparkSession.sql(sql, args=params)
+        try:
+            return spark.sql(sql, args=params)
+        finally:
+            for view in VIEWS:
+                spark.catalog.dropTempView(view)
+            for view, frame in before.items():
+                frame.createOrReplaceTempView(view)
