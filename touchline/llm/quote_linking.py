@@ -95,18 +95,22 @@ def _threads(links: DataFrame) -> DataFrame:
     up = links.where("reply_to is not null and conv_id is not null").groupBy(
         F.col("conv_id").alias("t_conv_id"), F.col("turn").alias("t_turn")).agg(
         F.max("reply_to").alias("root")).withColumn("steps", F.lit(1).cast("long"))
-    up = materialize(up, "quotes-threads")
+    open_, done = materialize(up, "quotes-threads"), None
     while True:
-        over = up.select(F.col("t_conv_id").alias("o_conv"), F.col("t_turn").alias("o_turn"),
-                         F.col("root").alias("o_root"), F.col("steps").alias("o_steps"))
-        joined = up.join(over, (up.t_conv_id == over.o_conv) & (up.root == over.o_turn), "left")
-        moved = joined.select(
+        # Messages whose root is known rest; they only answer those still looking.
+        every = open_ if done is None else open_.union(done)
+        over = every.select(F.col("t_conv_id").alias("o_conv"), F.col("t_turn").alias("o_turn"),
+                            F.col("root").alias("o_root"), F.col("steps").alias("o_steps"))
+        joined = open_.join(over, F.expr("t_conv_id = o_conv and root = o_turn"), "left")
+        moved = materialize(joined.select(
             "t_conv_id", "t_turn", F.coalesce("o_root", "root").alias("root"),
-            (F.col("steps") + F.coalesce("o_steps", F.lit(0))).alias("steps"), F.col("o_turn").isNotNull().alias("moved"))
-        moved = materialize(moved, "quotes-threads")
-        up = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
-            return up
+            (F.col("steps") + F.coalesce("o_steps", F.lit(0))).alias("steps"),
+            F.col("o_turn").isNotNull().alias("moved")), "quotes-threads")
+        rest = moved.where("not moved").drop("moved")
+        done = rest if done is None else done.union(rest)
+        open_ = moved.where("moved").drop("moved")
+        if open_.isEmpty():
+            return done
 
 
 def as_replies(messages: DataFrame) -> DataFrame:
