@@ -508,20 +508,16 @@ def home_away_splits_missing_metrics(spark, sf_dir):
 # Pieces of the reports -----------------------------------------------------
 
 
-def _sliced(t: MatchTables) -> DataFrame:
-    return appearances(t, sliced=True)
-
-
 over_tables("recent_matches", lambda t: outcomes.recent_matches(t, window=4).select(
     "team_id", "match_id", "recency"))
-over_tables("rest_days", lambda t: slices.rest_days(_sliced(t)).select(
+over_tables("rest_days", lambda t: slices.rest_days(appearances(t)).select(
     "team_id", "match_id", "rest_days"))
-over_tables("rest_band", lambda t: slices.rest_days(_sliced(t)).select(
+over_tables("rest_band", lambda t: slices.rest_days(appearances(t)).select(
     "team_id", "match_id", sequences.rest_band(F.col("rest_days")).alias("rest_band")))
-over_tables("preceded_by_loss", lambda t: slices.preceded_by_loss(_sliced(t)).select(
+over_tables("preceded_by_loss", lambda t: slices.preceded_by_loss(appearances(t)).select(
     "team_id", "match_id", "preceded_by_loss"))
 over_tables("baseline_ppg", sequences.baseline_ppg)
-over_tables("running_points", lambda t: slices.running_points(_sliced(t)).select(
+over_tables("running_points", lambda t: slices.running_points(appearances(t)).select(
     "competition_code", "team_id", "match_id", "matchweek", "cumulative_points"))
 over_tables("attack_tier", sequences.attack_tier)
 over_tables("opponent_grade", lambda t: sequences.opponent_grade(t).select(

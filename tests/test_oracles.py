@@ -1,4 +1,4 @@
-"""Reports next to their SQL on the smallest data, large teams cut into slices."""
+"""Reports next to their SQL on the smallest data, days cut into small blocks of ids."""
 
 import pytest
 
@@ -21,7 +21,7 @@ REPORTS = [
 
 @pytest.mark.parametrize("name", REPORTS)
 def test_report_equals_its_sql(spark, name, monkeypatch):
-    monkeypatch.setattr(slices, "SLICE_ROWS", 40)
+    monkeypatch.setattr(slices, "BLOCK_BITS", 4)
     assert difference(spark, SF, name) is None
 
 

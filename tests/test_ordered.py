@@ -70,36 +70,58 @@ def tables(spark, data):
     return MatchTables.from_wide(leagues, teams, wide(spark, data))
 
 
-@pytest.fixture(params=[1, 7, 50, 10_000])
-def slice_rows(request, monkeypatch):
-    monkeypatch.setattr(slices, "SLICE_ROWS", request.param)
+@pytest.fixture(params=[0, 3, 9, 22])
+def block_bits(request, monkeypatch):
+    monkeypatch.setattr(slices, "BLOCK_BITS", request.param)
     return request.param
 
 
-def test_slices_follow_the_order_and_bound_every_team(tables, slice_rows):
+def test_slices_follow_the_order_and_bound_every_team(tables, block_bits):
     cut = defaultdict(list)
-    for r in rows(appearances(tables, sliced=True)):
-        cut[r["team_id"]].append((r["match_date"], r["match_id"], r["slice"]))
+    for r in rows(slices.with_slices(appearances(tables))):
+        place = (r["month"], r["day"], r["block"])
+        cut[r["team_id"]].append((r["match_date"], r["match_id"], place))
     for games in cut.values():
-        numbers = [number for _, _, number in sorted(games)]
-        assert numbers == sorted(numbers)
-        if len(games) <= slice_rows / 2:
-            assert set(numbers) == {0}
-        # Ids of a day are spread evenly here up to chance, so slices are near their size.
-        assert max(map(numbers.count, set(numbers))) <= 3 * slice_rows + 5
-    if slice_rows <= 50:
-        assert len({number for _, _, number in cut[HOT_TEAM]}) >= 600 / slice_rows / 4
+        places = [place for _, _, place in sorted(games)]
+        assert places == sorted(places)
+        assert max(map(places.count, set(places))) <= 2 ** block_bits
 
 
-def test_only_large_teams_are_cut(tables, monkeypatch):
-    monkeypatch.setattr(slices, "SLICE_ROWS", 250)
-    large = {r["team_id"] for r in rows(appearances(tables, sliced=True)) if r["slice"] > 0}
-    assert large == {HOT_TEAM}
+def test_clustered_ids_stay_in_bounded_slices(spark, monkeypatch):
+    """One team plays 4,000 games on one day, with ids in a row and one far away."""
+    monkeypatch.setattr(slices, "BLOCK_BITS", 8)
+    ids = [*range(1000, 5000), 2**61]
+    frame = spark.createDataFrame(
+        [(1, 1, "One", mid, HOT_DAY, mid % 2, 3 * (1 - mid % 2)) for mid in ids],
+        "team_id long, competition_id long, competition string, match_id long, match_date date, "
+        "l int, points long")
+    sizes = [r["count"] for r in rows(
+        slices.with_slices(frame).groupBy("team_id", "month", "day", "block").count())]
+    assert sum(sizes) == len(ids) and max(sizes) <= 256
+    result, = rows(slices.after_loss(frame))
+    assert (result["after_games"], result["after_points"]) == (2000, 6000)
+    last = rows(slices.running_points(frame).filter(f"match_id = {2**61}"))[0]
+    assert (last["matchweek"], last["cumulative_points"]) == (4001, 2001 * 3)
+    rested = rows(slices.rest_days(frame).filter("rest_days = 0"))
+    assert len(rested) == 4000
+
+
+def test_games_without_a_date_come_first(spark):
+    days = [None, None, dt.date(2024, 1, 1), dt.date(2024, 1, 8)]
+    frame = spark.createDataFrame(
+        [(1, 1, "One", 10 - n, day, 1, 0) for n, day in enumerate(days)],
+        "team_id long, competition_id long, competition string, match_id long, match_date date, "
+        "l int, points long")
+    got = {r["match_id"]: r["rest_days"] for r in rows(slices.rest_days(frame))}
+    assert got == {10: None, 9: None, 8: None, 7: 7}
+    totals = rows(slices.rest_totals(frame, sequences.rest_band, "band", "points"))
+    assert [(r["band"], r["games"]) for r in totals] == [(sequences.RESTED, 1)]
+    assert rows(slices.after_loss(frame))[0]["after_games"] == 3
 
 
-def test_rest_days(tables, data, slice_rows):
+def test_rest_days(tables, data, block_bits):
     got = {(r["team_id"], r["match_id"]): r["rest_days"]
-           for r in rows(slices.rest_days(appearances(tables, sliced=True)))}
+           for r in rows(slices.rest_days(appearances(tables)))}
     want = {}
     for team, games in history(data).items():
         for i, game in enumerate(games):
@@ -107,9 +129,9 @@ def test_rest_days(tables, data, slice_rows):
     assert got == want
 
 
-def test_preceded_by_loss(tables, data, slice_rows):
+def test_preceded_by_loss(tables, data, block_bits):
     got = {(r["team_id"], r["match_id"]): r["preceded_by_loss"]
-           for r in rows(slices.preceded_by_loss(appearances(tables, sliced=True)))}
+           for r in rows(slices.preceded_by_loss(appearances(tables)))}
     want = {}
     for team, games in history(data).items():
         for i, game in enumerate(games):
@@ -117,10 +139,10 @@ def test_preceded_by_loss(tables, data, slice_rows):
     assert got == want
 
 
-def test_after_loss(tables, data, slice_rows):
+def test_after_loss(tables, data, block_bits):
     got = {(r["team_id"], r["competition"]):
            (r["after_games"], r["after_points"], r["all_games"], r["all_points"])
-           for r in rows(slices.after_loss(appearances(tables, sliced=True)))}
+           for r in rows(slices.after_loss(appearances(tables)))}
     want = {}
     for team, games in history(data).items():
         for league, name in ((1, "One"), (2, "Two")):
@@ -131,9 +153,9 @@ def test_after_loss(tables, data, slice_rows):
     assert got == want
 
 
-def test_running_points(tables, data, slice_rows):
+def test_running_points(tables, data, block_bits):
     got = {(r["team_id"], r["match_id"]): (r["matchweek"], r["cumulative_points"])
-           for r in rows(slices.running_points(appearances(tables, sliced=True)))}
+           for r in rows(slices.running_points(appearances(tables)))}
     want = {}
     for team, games in history(data).items():
         for league in (1, 2):
@@ -149,9 +171,9 @@ def test_reports_do_not_depend_on_the_slices(tables, monkeypatch):
         return [rows(build(tables)) for build in (
             sequences.schedule_density, sequences.bounce_back, sequences.competitive_balance)]
 
-    monkeypatch.setattr(slices, "SLICE_ROWS", 9)
+    monkeypatch.setattr(slices, "BLOCK_BITS", 2)
     many = reports()
-    monkeypatch.setattr(slices, "SLICE_ROWS", 10**6)
+    monkeypatch.setattr(slices, "BLOCK_BITS", 22)
     assert many == reports()
 
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.slices import with_position, with_slices
 from touchline.tables import MatchTables
 
 
@@ -47,18 +46,12 @@ def goal_lines(tables: MatchTables, code: str | None = None, league: bool = True
     )
 
 
-def appearances(tables: MatchTables, code: str | None = None, sliced: bool = False,
-                league: bool = True) -> DataFrame:
-    """Both sides of every measured match, with outcome and points.
-
-    ``sliced`` adds the time slice that the ordered operators partition by.
-    """
+def appearances(tables: MatchTables, code: str | None = None, league: bool = True) -> DataFrame:
+    """Both sides of every measured match, with outcome and points."""
     facts = tables.in_league(tables.facts, code) if league else tables.facts
-    if sliced:
-        facts = with_position(facts)
     rows, pick = _sides(facts)
     w, d = pick("home_win", "away_win"), F.col("is_draw")
-    sides = rows.select(
+    return rows.select(
         *(_LEAGUE if league else ()),
         "match_id", "match_date", "matchday", "venue",
         pick("home_team_id", "away_team_id").alias("team_id"),
@@ -72,6 +65,4 @@ def appearances(tables: MatchTables, code: str | None = None, sliced: bool = Fal
         pick("clean_sheet_home", "clean_sheet_away").alias("clean_sheet"),
         F.col("both_teams_scored").alias("btts"),
         "high_scoring",
-        *(["position"] if sliced else []),
     )
-    return with_slices(sides) if sliced else sides

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.rounding import percent, population_stdev, ratio, ratio_minus_rounded
 from touchline.operators.appearances import appearances, goal_lines
 from touchline.operators.ranking import rank_within
-from touchline.operators.slices import after_loss, rest_days, running_points
+from touchline.operators.slices import after_loss, rest_totals, running_points
 from touchline.tables import MatchTables
 
 # The two bands of rest and their labels.
@@ -29,11 +29,10 @@ def rest_band(days: Column) -> Column:
 
 def schedule_density(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Results on little and on much rest, per competition."""
-    n = F.count("*")
+    by_band = rest_totals(appearances(tables, code), rest_band, "rest_band", "w", "d", "gf")
+    n = F.sum("games")
     return (
-        rest_days(appearances(tables, code, sliced=True))
-        .withColumn("rest_band", rest_band(F.col("rest_days")))
-        .filter(F.col("rest_band").isNotNull())
+        tables.in_league(by_band)
         .groupBy("competition", "rest_band")
         .agg(
             n.alias("matches"),
@@ -54,7 +53,7 @@ def baseline_ppg(tables: MatchTables, code: str | None = None) -> DataFrame:
 
 def bounce_back(tables: MatchTables, code: str | None = None, limit: int = 10) -> DataFrame:
     """Points per game right after a loss against the team's own baseline."""
-    folded = after_loss(appearances(tables, code, sliced=True))
+    folded = after_loss(appearances(tables, code))
     n, s = F.col("after_games"), F.col("after_points")
     all_n, all_s = F.col("all_games"), F.col("all_points")
     rated = folded.filter(n >= MIN_AFTER_LOSS).select(
@@ -79,7 +78,7 @@ def competitive_balance(tables: MatchTables, code: str | None = None) -> DataFra
     # DECIMAL sums: squares of a long history's points pass the range of BIGINT.
     points = F.col("cumulative_points").cast("decimal(18,0)")
     spread = (
-        running_points(appearances(tables, code, sliced=True))
+        running_points(appearances(tables, code))
         .groupBy("competition_id", "matchweek")
         .agg(
             F.count("*").alias("teams"),
