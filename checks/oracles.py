@@ -350,7 +350,7 @@ ORACLES: dict[str, str] = {
                SUM(match_id)::BIGINT AS id_sum, 1::BIGINT AS top_competition_id
         FROM (SELECT code, match_id, DATE '2026-08-13' AS day FROM m
               JOIN c ON c.id = m.competition_id
-              WHERE code = 'EU' OR code = 'AF' AND match_id % 2 = 0
+              WHERE code <> 'AF' OR match_id % 2 = 0
               UNION ALL
               SELECT code, match_id, DATE '2026-08-14' FROM m
               JOIN c ON c.id = m.competition_id WHERE code = 'AF')
@@ -359,7 +359,7 @@ ORACLES: dict[str, str] = {
     ),
     "read_league_snapshots": sql(
         "SELECT code AS league, match_id AS id, home_score_ft, away_score_ft "
-        "FROM m JOIN c ON c.id = m.competition_id WHERE code IN ('AF', 'EU')"
+        "FROM m JOIN c ON c.id = m.competition_id WHERE code <> 'MI'"
     ),
     "skip_empty_run": sql(
         "SELECT COUNT(*) AS stored, COUNT(*) AS matches, COUNT(*) AS inserted "
@@ -370,6 +370,18 @@ ORACLES: dict[str, str] = {
         "GROUP BY code, team ORDER BY home_games DESC, team LIMIT 7"
     ),
     # Clean and derive
+    "unreadable_responses": sql(
+        f"SELECT COUNT(*) FILTER (match_id % 10 <> 3) AS matches, "
+        f"{big('SUM(match_id) FILTER (match_id % 10 <> 3)')} AS id_sum, "
+        f"COUNT(*) FILTER (match_id % 10 = 3) AS unreadable FROM ({FLAT})"
+    ),
+    "compact_store": sql(
+        stored_matches(
+            "m.match_id AS id, m.home_team_id, m.away_team_id, "
+            f"{MATCH_COLUMNS}, 'Referee ' || (m.match_id % 7) AS referee"
+        ),
+        NUMBERED,
+    ),
     "normalize_matches": sql(FLAT),
     "completed_filter": sql(
         "SELECT match_id, status FROM f WHERE status IN ('FINISHED', 'AWARDED')"
@@ -482,7 +494,7 @@ ORACLES: dict[str, str] = {
         SELECT ROW_NUMBER() OVER (ORDER BY code)::BIGINT AS competition_id,
                code AS competition_code, name AS competition, COUNT(*) AS matches,
                SUM(match_id)::BIGINT AS id_sum, SUM(total_goals)::BIGINT AS goals
-        FROM m JOIN c ON c.id = m.competition_id WHERE code IN ('AF', 'EU') GROUP BY code, name
+        FROM m JOIN c ON c.id = m.competition_id GROUP BY code, name
         """
     ),
     # The core primitive
@@ -492,7 +504,7 @@ ORACLES: dict[str, str] = {
     ),
     "appearances_without_metrics": sql(
         "SELECT competition_id, competition, code AS competition_code, match_id, match_date, "
-        "matchday, venue, team_id, opponent_id, gf, ga FROM a WHERE code = 'MI'"
+        "matchday, venue, team_id, opponent_id, gf, ga FROM a"
     ),
     # Reports
     "competitions": sql(
@@ -647,7 +659,7 @@ ORACLES: dict[str, str] = {
     "standings_view": sql(
         'SELECT competition, position AS "Pos", team AS "Team", played AS "P", won AS "W", '
         'drawn AS "D", lost AS "L", gf AS "GF", ga AS "GA", gd AS "GD", pts AS "Pts" FROM st',
-        table_rows("code = 'EU'"),
+        table_rows(),
     ),
     "form_view": sql(
         'SELECT team AS "Team", form AS "Form", wins AS "W", draws AS "D", losses AS "L", '
@@ -669,17 +681,28 @@ ORACLES: dict[str, str] = {
     "league_code_for_name": sql("SELECT code FROM c WHERE name = 'MIDDLE EAST'"),
     "report": sql("SELECT * FROM cb WHERE competition = 'EUROPE'", BALANCE),
     "cached_reports": sql(
-        f"SELECT {EFFICIENCY_COLUMNS} FROM ef WHERE code = 'AM'", EFFICIENCY
+        f"SELECT {EFFICIENCY_COLUMNS} FROM ef", EFFICIENCY
     ),
     "console_report": sql(
         """
-        SELECT 'LEAGUE STANDINGS' AS section, COUNT(*) AS rows FROM (
-            SELECT ROW_NUMBER() OVER (PARTITION BY competition ORDER BY position, team) AS line
-            FROM st) WHERE line <= 10
-        UNION ALL SELECT 'RECENT FORM (last 5)', LEAST(COUNT(*), 15) FROM fm
-        UNION ALL SELECT 'HOME vs AWAY SPLITS', COUNT(*) FROM sp
-        UNION ALL SELECT 'TOP SCORING TEAMS (avg goals / match)', COUNT(*) FROM ts
-        UNION ALL SELECT 'SCORING BY MONTH', COUNT(*) FROM mo
+        SELECT 'LEAGUE STANDINGS' AS section, COUNT(*) AS rows,
+               string_agg(DISTINCT competition, ',' ORDER BY competition) AS names,
+               SUM(pts)::BIGINT AS total
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY competition
+                                           ORDER BY position, team) AS line
+              FROM st) WHERE line <= 10
+        UNION ALL SELECT 'RECENT FORM (last 5)', COUNT(*),
+               string_agg(DISTINCT team, ',' ORDER BY team), SUM(points)::BIGINT
+        FROM (SELECT * FROM fm ORDER BY points DESC, wins DESC, team LIMIT 15)
+        UNION ALL SELECT 'HOME vs AWAY SPLITS', COUNT(*),
+               string_agg(DISTINCT competition, ',' ORDER BY competition), SUM(matches)::BIGINT
+        FROM sp
+        UNION ALL SELECT 'TOP SCORING TEAMS (avg goals / match)', COUNT(*),
+               string_agg(DISTINCT team, ',' ORDER BY team), SUM(total_goals)::BIGINT
+        FROM ts
+        UNION ALL SELECT 'SCORING BY MONTH', COUNT(*),
+               string_agg(month_name, ',' ORDER BY month_name), SUM(total_goals)::BIGINT
+        FROM (SELECT *, """ + MONTH.format("month") + """ AS month_name FROM mo)
         """,
         table_rows(), form(5), SPLITS.format(where="TRUE"), scorers("TRUE", 10), MONTHS,
     ),
@@ -693,3 +716,11 @@ ORACLES: dict[str, str] = {
         """
     ),
 }
+
+# Reports by name, over all leagues.
+REPORT_NAMES = {
+    "summary": "summary", "standings": "standings", "efficiency": "efficiency_matrix",
+    "form": "team_form", "splits": "home_away_splits", "fatigue": "schedule_density",
+    "resilience": "bounce_back", "parity": "competitive_balance", "defense": "defensive_solidity",
+}
+ORACLES.update({f"report_{name}": ORACLES[same] for name, same in REPORT_NAMES.items()})

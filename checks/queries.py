@@ -16,7 +16,7 @@ from touchline.pipeline import run
 from touchline.plans import console, dispatch, documented, goals, outcomes, sequences, shape
 from touchline.schema import MATCHES, METRICS
 from touchline.sources import feed, snapshots
-from touchline.sources.scratch import scratch_path
+from touchline.sources.scratch import materialize, scratch_path
 from touchline.sources.store import MatchStore
 from touchline.tables import MatchTables
 
@@ -80,6 +80,32 @@ def read_matches_json(spark, sf_dir):
     return transform.normalize_matches(read).drop("ordinal")
 
 
+@query
+def unreadable_responses(spark, sf_dir):
+    """Every tenth response is cut short: how many are read and how many are not."""
+    raw = fixture.raw_matches(spark, sf_dir)
+    text = F.to_json(F.struct(F.array(F.struct(*raw.columns)).alias("matches")))
+    cut = F.when(F.col("id") % 10 == 3, F.substring(text, 1, 40)).otherwise(text)
+    path = scratch_path(spark, "landed")
+    raw.select(cut.alias("value")).write.text(path)
+    read = feed.read_matches_json(spark, path).agg(
+        F.count("*").alias("matches"), F.sum("id").alias("id_sum"))
+    bad = feed.unreadable_responses(spark, path).agg(F.count("*"))
+    return read.withColumn("unreadable", bad.scalar())
+
+
+@query
+def compact_store(spark, sf_dir):
+    """Three loads, compacted to one batch, then a load of matches that are stored."""
+    store = MatchStore(spark, scratch_path(spark, "store"))
+    matches = materialize(_transformed(spark, sf_dir), "matches")
+    for part in range(3):
+        store.load(matches.filter(F.col("match_id") % 3 == part))
+    store.compact()
+    store.load(_one_goal_more(matches))
+    return store.tables().matches.drop("competition_id")
+
+
 @query
 def union_leagues(spark, sf_dir):
     """Five leagues asked for, four landed."""
@@ -136,15 +162,15 @@ def load_atomicity(spark, sf_dir):
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> str:
-    """Two days of league AF (the older one incomplete), one day of EU."""
+    """Two days of league AF (the older one incomplete), one day of all others."""
     base = scratch_path(spark, "snapshots")
-    matches = _transformed(spark, sf_dir)
-    africa = matches.filter(F.col("competition_code") == "AF")
-    europe = matches.filter(F.col("competition_code") == "EU")
-    half = africa.filter(F.col("match_id") % 2 == 0)
+    matches = materialize(_transformed(spark, sf_dir), "snapshot-input")
+    half = matches.filter((F.col("competition_code") == "AF") & (F.col("match_id") % 2 == 0))
     snapshots.write_league_snapshot(base, half, date(2026, 8, 13), "AF")
-    snapshots.write_league_snapshot(base, africa, date(2026, 8, 14), "AF")
-    snapshots.write_league_snapshot(base, europe, date(2026, 8, 13), "EU")
+    for code in CODES:
+        league = matches.filter(F.col("competition_code") == code)
+        day = date(2026, 8, 14 if code == "AF" else 13)
+        snapshots.write_league_snapshot(base, league, day, code)
     return base
 
 
@@ -160,9 +186,9 @@ def write_league_snapshot(spark, sf_dir):
 
 @query
 def read_league_snapshots(spark, sf_dir):
-    """Three leagues asked for, one without a snapshot."""
+    """Four of five leagues asked for, and one without a snapshot."""
     base = _snapshots(spark, sf_dir)
-    parts = snapshots.read_league_snapshots(spark, base, ["AF", "AM", "EU"], CODES)
+    parts = snapshots.read_league_snapshots(spark, base, ["AF", "AM", "AS", "EU", "ZZ"], CODES)
     return parts["matches"].select("league", "id", "home_score_ft", "away_score_ft")
 
 
@@ -450,7 +476,7 @@ def merge_metrics(spark, sf_dir):
 
 @query
 def merge_league_snapshots(spark, sf_dir):
-    """Three leagues from storage, merged; only the latest day of each counts."""
+    """Five leagues from storage, merged; only the latest day of each counts."""
     base = _snapshots(spark, sf_dir)
     merged = snapshots.read_merged(spark, base, CODES, CODES)
     return merged.in_league(merged.facts).groupBy(
@@ -465,7 +491,18 @@ def merge_league_snapshots(spark, sf_dir):
 # The core primitive --------------------------------------------------------
 
 over_tables("appearances", lambda t: appearances(t).drop("competition"))
-over_tables("appearances_without_metrics", lambda t: goal_lines(t, "MI"))
+
+
+@query
+def appearances_without_metrics(spark, sf_dir):
+    """Every third match has no metrics; all of them are seen from both sides."""
+    played = fixture.played_matches(spark, sf_dir)
+    measured = F.col("id") % 3 != 0
+    wide = played.withColumns({name: F.when(measured, F.col(name)) for name in METRICS})
+    return goal_lines(MatchTables.from_wide(
+        fixture.competitions(spark, sf_dir), fixture.teams(spark, sf_dir), wide))
+
+
 
 # Reports -------------------------------------------------------------------
 
@@ -544,29 +581,43 @@ over_tables("rest_band_pivot", lambda t: shape.rest_band_pivot(sequences.schedul
 over_tables("parity_pivot", lambda t: shape.parity_pivot(sequences.competitive_balance(t), NAMES))
 over_tables("splits_chart", lambda t: shape.splits_chart(outcomes.home_away_splits(t)))
 over_tables("kpi_format", lambda t: shape.kpi_format(outcomes.summary(t)))
-over_tables("standings_view", lambda t: shape.standings_view(outcomes.standings(t, "EU")))
+over_tables("standings_view", lambda t: shape.standings_view(outcomes.standings(t)))
 over_tables("form_view", lambda t: shape.form_view(outcomes.team_form(t)))
 over_tables("bounce_back_view", lambda t: shape.bounce_back_view(sequences.bounce_back(t)))
 over_tables("solidity_view", lambda t: shape.solidity_view(sequences.defensive_solidity(t)))
 over_tables("league_code_for_name", lambda t: shape.league_code_for_name(t, "MIDDLE EAST"))
 over_tables("report", lambda t: dispatch.report(t, "parity", "EU"))
+for _name in ("summary", "standings", "efficiency", "form", "splits", "fatigue", "resilience",
+              "parity", "defense"):
+    over_tables(f"report_{_name}", lambda t, name=_name: dispatch.report(t, name))
 over_tables("round_robin_fixtures", shape.schedule_completeness)
 
 
 @query
 def cached_reports(spark, sf_dir):
     reports = dispatch.CachedReports(lambda: fixture.tables(spark, sf_dir))
-    reports.report("efficiency", "AM").count()
-    return reports.report("efficiency", "AM")
+    first = reports.report("efficiency")
+    first.count()
+    kept = reports.report("efficiency")
+    if kept is not first or not kept.storageLevel.useMemory:
+        raise AssertionError("The second request did not get the kept result.")
+    return kept
 
 
 @query
 def console_report(spark, sf_dir):
-    """How many rows each section of the text report shows."""
+    """Rows of each section of the text report, the names in its first text column
+    and the sum of a number it shows."""
     parts = console.sections(fixture.tables(spark, sf_dir))
+    shown = (("competition", "Pts"), ("team", "points"), ("competition", "matches"),
+             ("team", "total_goals"), ("month_name", "total_goals"))
     counted = [
-        rows.agg(F.count("*").alias("rows")).select(F.lit(title).alias("section"), "rows")
-        for title, rows in parts.items()
+        rows.agg(
+            F.count("*").alias("rows"),
+            F.array_join(F.sort_array(F.collect_set(name)), ",").alias("names"),
+            F.sum(number).cast("bigint").alias("total"),
+        ).select(F.lit(title).alias("section"), "rows", "names", "total")
+        for (title, rows), (name, number) in zip(parts.items(), shown)
     ]
     union = counted[0]
     for part in counted[1:]:

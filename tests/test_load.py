@@ -5,8 +5,8 @@ import pytest
 from tests.conftest import raw_match, rows
 from touchline.operators.merge import merge_league_snapshots, rank_leagues
 from touchline.operators.transform import extract_teams
-from touchline.pipeline import RunResult, run
-from touchline.sources import snapshots
+from touchline.pipeline import RunResult, run, run_landed
+from touchline.sources import scratch, snapshots
 from touchline.sources.store import MatchStore
 from touchline.streaming.ingest import ingest_landed
 
@@ -191,3 +191,57 @@ def test_failed_repeat_leaves_the_snapshot(spark, tmp_path, transformed, monkeyp
     with pytest.raises(OSError):
         snapshots.write_league_snapshot(base, transformed(raw_match(3)), day, "PL")
     assert scores(snapshots.read_merged(spark, base)) == {1: 1, 2: 1}
+
+
+def test_small_load_reads_only_batches_it_can_touch(spark, store, transformed, tmp_path):
+    """The files of a batch with other ids are broken: a load does not notice."""
+    store.load(transformed(raw_match(1), raw_match(2)), load_id="old")
+    store.load(transformed(raw_match(1000), raw_match(1001)), load_id="new")
+    old = spark.read.parquet(f"{store.path}/commits/load_id=old").first()["batch"]
+    files = list((tmp_path / "store" / "matches" / f"batch={old}").rglob("*.parquet"))
+    assert files
+    for file in files:
+        file.write_bytes(b"broken")
+        (file.parent / f".{file.name}.crc").unlink()
+    assert store.load(transformed(raw_match(1001), raw_match(1002))) == 1
+    with pytest.raises(Exception):
+        store.tables().matches.collect()
+
+
+def test_compaction_changes_no_row(spark, store, transformed):
+    store.load(transformed(raw_match(1, ft=(1, 0)), raw_match(2, ft=(2, 0))))
+    store.load(transformed(raw_match(3, ft=(3, 0), code="SA", name="Serie A")), load_id="late")
+    before = [sorted(map(str, rows(t))) for t in (store.tables().matches, store.tables().teams,
+                                        store.tables().competitions)]
+    store.compact()
+    after = [sorted(map(str, rows(t))) for t in (store.tables().matches, store.tables().teams,
+                                       store.tables().competitions)]
+    assert after == before
+    assert store._live().count() == 1
+    assert store.load(transformed(raw_match(3, ft=(9, 0)), raw_match(4, ft=(4, 0)))) == 1
+    assert store.load(transformed(raw_match(5)), load_id="late") == 0
+    assert scores(store.tables()) == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_no_scratch_stays_and_unreadable_responses_are_counted(spark, tmp_path, monkeypatch):
+    import json
+    import os
+
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    good = json.dumps({"matches": [raw_match(1), raw_match(2)]})
+    (landed / "a.json").write_text(good + "\n" + good[:40] + "\n")
+    store = MatchStore(spark, str(tmp_path / "store"))
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: str(tmp_path / "scratch"))
+    result = run_landed(str(landed), store)
+    assert (result.matches, result.inserted, result.unreadable) == (2, 2, 1)
+    assert os.listdir(tmp_path / "scratch" / "touchline") == []
+
+
+def test_merged_tables_are_written_once(spark, transformed, tmp_path):
+    base, target = str(tmp_path / "snapshots"), str(tmp_path / "merged")
+    snapshots.write_league_snapshot(base, transformed(raw_match(1), raw_match(2)),
+                                    dt.date(2026, 1, 1), "PL")
+    merged = snapshots.read_merged(spark, base, target=target)
+    text = merged.facts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Window" not in text and target in text

@@ -67,6 +67,18 @@ def merge_metrics(metrics: DataFrame) -> DataFrame:
     return keep_last(metrics, "match_id").select("match_id", *METRICS)
 
 
+def merge_wide(competitions: DataFrame, teams: DataFrame,
+               matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Competitions, teams and matches merged; it is an error when no matches are left."""
+    sources = competitions.select("league").distinct()
+    known_matches = matches.join(sources, "league", "left_semi")
+    if known_matches.isEmpty():
+        raise ValueError("No match data found in any snapshot.")
+    known_teams = teams.join(sources, "league", "left_semi")
+    return (merge_competitions(competitions), merge_teams(known_teams),
+            merge_matches(known_matches, competitions))
+
+
 def merge_league_snapshots(competitions: DataFrame, teams: DataFrame, matches: DataFrame,
                            metrics: DataFrame | None = None) -> MatchTables:
     """All four tables merged. Snapshots without competitions are left out.
@@ -74,16 +86,7 @@ def merge_league_snapshots(competitions: DataFrame, teams: DataFrame, matches: D
     ``metrics`` may be missing altogether: with wide matches they come along,
     otherwise the merged table is empty.
     """
-    sources = competitions.select("league").distinct()
-
-    def known(rows: DataFrame) -> DataFrame:
-        return rows.join(sources, "league", "left_semi")
-
-    if known(matches).isEmpty():
-        raise ValueError("No match data found in any snapshot.")
-    merged = merge_competitions(competitions)
-    kept_teams = merge_teams(known(teams))
-    kept_matches = merge_matches(known(matches), competitions)
+    merged, kept_teams, kept_matches = merge_wide(competitions, teams, matches)
     if metrics is None and "total_goals" in matches.columns:
         return MatchTables.from_wide(merged, kept_teams, kept_matches)
     if metrics is None:
@@ -92,4 +95,5 @@ def merge_league_snapshots(competitions: DataFrame, teams: DataFrame, matches: D
             F.col("id").alias("match_id"), *[none.alias(name) for name in METRICS]
         )
         return MatchTables(merged, kept_teams, kept_matches, empty)
-    return MatchTables(merged, kept_teams, kept_matches, merge_metrics(known(metrics)))
+    known = metrics.join(competitions.select("league").distinct(), "league", "left_semi")
+    return MatchTables(merged, kept_teams, kept_matches, merge_metrics(known))

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
 from touchline.operators.transform import extract_teams, run_summary, transform_matches
 from touchline.schema import HIGH_SCORE_THRESHOLD
-from touchline.sources.feed import league_scope, season_scope
-from touchline.sources.scratch import materialize
+from touchline.sources.feed import (
+    league_scope, read_matches_json, season_scope, unreadable_responses)
+from touchline.sources.scratch import Scratch
 from touchline.sources.store import MatchStore
 
 
 @dataclass(frozen=True)
 class RunResult:
-    """Counts of a run. ``matches`` counts transformed matches, new or not."""
+    """Counts of a run. ``matches`` counts transformed matches, new or not;
+    ``unreadable`` the responses that are not valid JSON."""
 
     matches: int = 0
     teams: int = 0
     competitions: int = 0
     inserted: int = 0
+    unreadable: int = 0
 
 
 def run(raw: DataFrame, store: MatchStore, league: str | None = None, season: int | None = None,
         threshold: int = HIGH_SCORE_THRESHOLD, load_id: str | None = None) -> RunResult:
     """Transform and load raw matches; a run without matches writes nothing."""
     scoped = season_scope(league_scope(raw, league), season)
-    matches = materialize(transform_matches(scoped, threshold), "matches")
-    if matches.isEmpty():
-        return RunResult()
-    teams = materialize(extract_teams(matches), "teams")
-    counts = run_summary(matches, teams).first()
-    inserted = store.load_written(matches, teams, load_id)
+    with Scratch(store.spark, "run") as scratch:
+        matches = scratch.materialize(transform_matches(scoped, threshold), "matches")
+        if matches.isEmpty():
+            return RunResult()
+        teams = scratch.materialize(extract_teams(matches), "teams")
+        counts = run_summary(matches, teams).first()
+        inserted = store.load_written(matches, teams, load_id)
     return RunResult(counts["matches"], counts["teams"], counts["competitions"], inserted)
+
+
+def run_landed(paths: str | list[str], store: MatchStore, multi_line: bool = False,
+               **options) -> RunResult:
+    """``run`` over landed responses; those that cannot be read are counted."""
+    unreadable = unreadable_responses(store.spark, paths, multi_line).count()
+    result = run(read_matches_json(store.spark, paths, multi_line), store, **options)
+    return replace(result, unreadable=unreadable)

@@ -1,12 +1,22 @@
-"""Path checks through the file system that Spark itself uses."""
+"""Paths through the file system that Spark itself uses."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
+def _resolve(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on any file system the session can read."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _resolve(spark, path)
     return files.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; nothing happens when it is not there."""
+    files, target = _resolve(spark, path)
+    files.delete(target, True)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.sources.paths import remove
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only on a
@@ -16,9 +19,12 @@ def scratch_dir(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
-    local = tempfile.mkdtemp(prefix="touchline-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="touchline-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -26,9 +32,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/touchline/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(rows: DataFrame, label: str) -> DataFrame:
+class Scratch:
+    """Intermediate tables of one job, removed when the job is over."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark = spark
+        self.path = scratch_path(spark, label)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self._spark, self.path)
+
+    def materialize(self, rows: DataFrame, name: str) -> DataFrame:
+        return write_and_read(rows, f"{self.path}/{name}")
+
+
+def write_and_read(rows: DataFrame, path: str) -> DataFrame:
     """Write rows once and read them back, so that several steps can use them
     without computing them again and a lost executor costs no recomputation."""
-    path = scratch_path(rows.sparkSession, label)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def materialize(rows: DataFrame, label: str) -> DataFrame:
+    """``write_and_read`` under a new path that stays."""
+    return write_and_read(rows, scratch_path(rows.sparkSession, label))

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.operators.load import new_matches, require_keys
-from touchline.operators.merge import merge_league_snapshots, rank_leagues
+from touchline.operators.merge import merge_wide, rank_leagues
 from touchline.operators.transform import extract_competitions, extract_teams
 from touchline.schema import COMPETITIONS, LEAGUE_ORDER, MATCH_FACTS, TEAMS
 from touchline.sources.paths import exists
-from touchline.sources.scratch import materialize
+from touchline.sources.scratch import Scratch, scratch_path, write_and_read
 from touchline.tables import MatchTables
 
 _SCHEMAS = {"competitions": COMPETITIONS, "teams": TEAMS, "matches": MATCH_FACTS}
@@ -40,7 +40,11 @@ def write_league_snapshot(base: str, matches: DataFrame, day: date,
     Competitions are written last: a league counts as present once they are.
     Without matches nothing is written. Returns the number of matches.
     """
-    batch = materialize(matches, "snapshot")
+    with Scratch(matches.sparkSession, "snapshot") as scratch:
+        return _write_snapshot(base, scratch.materialize(matches, "batch"), day, league)
+
+
+def _write_snapshot(base: str, batch: DataFrame, day: date, league: str | None) -> int:
     count = batch.count()
     if count == 0:
         return 0
@@ -97,7 +101,15 @@ def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str]
 
 
 def read_merged(spark: SparkSession, base: str, leagues: Iterable[str] = LEAGUE_ORDER,
-                order: Iterable[str] = LEAGUE_ORDER) -> MatchTables:
-    """The latest snapshots of all leagues as one set of tables."""
+                order: Iterable[str] = LEAGUE_ORDER, target: str | None = None) -> MatchTables:
+    """The latest snapshots of all leagues as one set of tables.
+
+    They are merged once and written to ``target``, a new folder in the scratch
+    folder by default; reports read the written tables.
+    """
     parts = read_league_snapshots(spark, base, leagues, order)
-    return merge_league_snapshots(parts["competitions"], parts["teams"], parts["matches"])
+    merged = merge_wide(parts["competitions"], parts["teams"], parts["matches"])
+    target = target or scratch_path(spark, "merged")
+    names = ("competitions", "teams", "matches")
+    return MatchTables.from_wide(
+        *[write_and_read(rows, f"{target}/{name}") for name, rows in zip(names, merged)])

@@ -8,14 +8,18 @@ Layout under one base path::
 ``matches`` keeps a match and its metrics on one row. A load writes its three
 tables under a new batch and then a commit that names the batch. Readers see
 only committed batches, so a load that fails half-way leaves nothing visible
-and can be repeated. Stored files are never rewritten. One writer at a time.
+and can be repeated. Stored files are never rewritten: ``compact`` writes one
+batch that takes the place of the ones before it. One writer at a time.
+
+A commit also names the lowest and highest match id of its batch, and a
+batch's files are sorted by id: a load reads only what its ids can touch.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +27,18 @@ from touchline.operators.load import new_competitions, new_matches, new_teams, r
 from touchline.operators.transform import extract_competitions, extract_teams
 from touchline.schema import COMPETITIONS, MATCH_FACTS, TEAMS
 from touchline.sources.paths import exists
-from touchline.sources.scratch import materialize
+from touchline.sources.scratch import Scratch
 from touchline.tables import MatchTables
 
 _SCHEMAS = {"competitions": COMPETITIONS, "teams": TEAMS, "matches": MATCH_FACTS}
 _BATCH = T.StructField("batch", T.StringType())
-_COMMIT = T.StructType([_BATCH, T.StructField("load_id", T.StringType())])
+_COMMIT = T.StructType([
+    _BATCH,
+    T.StructField("low_id", T.LongType()),
+    T.StructField("high_id", T.LongType()),
+    T.StructField("replaces", T.ArrayType(T.StringType())),
+    T.StructField("load_id", T.StringType()),
+])
 
 
 class MatchStore:
@@ -44,15 +54,32 @@ class MatchStore:
     def is_committed(self, load_id: str) -> bool:
         return not self._commits().filter(F.col("load_id") == load_id).isEmpty()
 
+    def _live(self) -> DataFrame:
+        """Commits whose batch no later one has replaced."""
+        commits = self._commits()
+        gone = commits.select(F.explode("replaces").alias("batch"))
+        return commits.join(gone, "batch", "left_anti")
+
     def _read(self, name: str) -> DataFrame:
-        schema = _SCHEMAS[name]
+        rows = self._all_batches(name)
+        # One row per load: while that is small, Spark broadcasts it and prunes
+        # all other batches from the scan.
+        return rows.join(self._live(), "batch", "left_semi").drop("batch")
+
+    def _all_batches(self, name: str) -> DataFrame:
+        schema = T.StructType([*_SCHEMAS[name].fields, _BATCH])
         base = f"{self.path}/{name}"
         if not exists(self.spark, base):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(base)
-        # One row per load: while that is small, Spark broadcasts it and prunes
-        # all other batches from the scan.
-        return rows.join(self._commits(), "batch", "left_semi").select(*schema.names)
+        return self.spark.read.schema(schema).parquet(base)
+
+    def _matches_between(self, low: int, high: int) -> DataFrame:
+        """Stored matches with an id in the range, from the batches that can hold one."""
+        touched = self._live().filter((F.col("low_id") <= high) & (F.col("high_id") >= low))
+        # As one value, the names of these batches prune the scan for certain.
+        names = touched.agg(F.collect_list("batch")).scalar()
+        rows = self._all_batches("matches").filter(F.array_contains(names, F.col("batch")))
+        return rows.filter(F.col("id").between(low, high)).drop("batch")
 
     def tables(self) -> MatchTables:
         return MatchTables.from_wide(
@@ -66,7 +93,8 @@ class MatchStore:
         Loading the same matches again adds nothing, and so does repeating a
         load under the same ``load_id``. Teams default to those in the matches.
         """
-        return self.load_written(materialize(matches, "batch"), teams, load_id)
+        with Scratch(self.spark, "load") as scratch:
+            return self.load_written(scratch.materialize(matches, "batch"), teams, load_id)
 
     def load_written(self, matches: DataFrame, teams: DataFrame | None = None,
                      load_id: str | None = None) -> int:
@@ -77,30 +105,53 @@ class MatchStore:
         require_keys(matches)
         batch = uuid.uuid4().hex
         stored = self.tables()
+        low, high = matches.agg(F.min("match_id"), F.max("match_id")).first()
         self._write("competitions", batch,
                     new_competitions(stored.competitions, extract_competitions(matches)))
         # Read the new ids back: the numbering is then fixed for the matches.
         competitions = stored.competitions.unionByName(self._written("competitions", batch))
         self._write("teams", batch,
                     new_teams(stored.teams, extract_teams(matches) if teams is None else teams))
-        added = new_matches(stored.matches, competitions, matches).select(*MATCH_FACTS.names)
-        self._write("matches", batch, added, by="competition_id")
+        added = new_matches(self._matches_between(low, high), competitions, matches)
+        self._write("matches", batch, added.select(*MATCH_FACTS.names), by="competition_id")
         count = self._written("matches", batch).count()
         self._commit(load_id, batch)
         return count
 
+    def compact(self) -> None:
+        """Put all batches into one, whose commit takes the place of theirs.
+
+        The files of the old batches stay until they are removed by hand, so
+        readers that are under way are not disturbed.
+        """
+        live = self._live()
+        if live.limit(2).count() < 2:
+            return
+        batch = uuid.uuid4().hex
+        for name, by in (("competitions", None), ("teams", None), ("matches", "competition_id")):
+            self._write(name, batch, self._read(name), by)
+        # The old batches' names, from the commits: one short text per load.
+        self._commit(f"compact-{batch}", batch, live.agg(F.collect_list("batch")).scalar())
+
     def _target(self, name: str, batch: str) -> str:
         return f"{self.path}/{name}/batch={batch}"
 
     def _write(self, name: str, batch: str, rows: DataFrame, by: str | None = None) -> None:
         # Rebalancing sizes the files at run time: it joins small ones, and it
         # splits a league that is much larger than the others.
-        writer = rows.hint("rebalance", *([by] if by else [])).write
+        sized = rows.hint("rebalance", *([by] if by else []))
+        writer = (sized.sortWithinPartitions(by, "id") if by else sized).write
         (writer.partitionBy(by) if by else writer).parquet(self._target(name, batch))
 
     def _written(self, name: str, batch: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(self._target(name, batch))
 
-    def _commit(self, load_id: str, batch: str) -> None:
-        mark = self.spark.range(1).select(F.lit(batch).alias("batch"))
+    def _commit(self, load_id: str, batch: str, replaces: Column | None = None) -> None:
+        none = F.array().cast("array<string>")
+        mark = self._written("matches", batch).agg(
+            F.lit(batch).alias("batch"),
+            F.min("id").alias("low_id"),
+            F.max("id").alias("high_id"),
+            (none if replaces is None else replaces).alias("replaces"),
+        )
         mark.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/load_id={load_id}")
