@@ -244,4 +244,5 @@ def test_merged_tables_are_written_once(spark, transformed, tmp_path):
                                     dt.date(2026, 1, 1), "PL")
     merged = snapshots.read_merged(spark, base, target=target)
     text = merged.facts._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text and "Window" not in text and target in text
+    assert "Exchange" not in text and "Window" not in text
+    assert all(target in file for file in merged.matches.inputFiles())
