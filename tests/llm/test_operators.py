@@ -164,6 +164,26 @@ def test_token_file(docs, none):
     assert token_files.token_file(none, WORDS).collect() == []
 
 
+def test_forgotten_parts_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    monkeypatch.setattr(tokens, "KEEP", 15)
+    own = tokens.tokenizer(WORDS)
+    encoder = tokens.Encoder(tokens._by_words(own), False)
+    plain = [text or "" for _, text in texts()]
+    for _ in range(2):
+        for at in range(0, len(plain), 3):
+            some = plain[at:at + 3]
+            ids, bounds = tokens.encode_with(encoder, some)
+            want = [own.encode(t, add_special_tokens=False).ids for t in some]
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    often, seldom = ["and"] * 5, [f"word{k}" for k in range(50)]
+    encoder.forget()
+    for word in seldom:
+        encoder.numbers([*often, word])
+    encoder.forget()
+    assert "and" in encoder and len(encoder) == 15
+
+
 def test_any_token_is_read_without_the_others():
     draw = np.random.default_rng(5)
     ids = np.where(draw.random(5000) < 0.7, draw.integers(0, 40, 5000), draw.integers(0, 1 << 20, 5000)).astype(np.uint32)

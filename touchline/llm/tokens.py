@@ -4,7 +4,8 @@ Text is cut where a character that is not white space meets a space or a line br
 No match of the tokenizers' split patterns reaches over such a place, and neither do
 their normalisers, so the ids of the parts put together are the ids of the whole. Texts
 with any other white space are given to the tokenizer whole. What a part encodes to is
-remembered by each Python worker, up to ``CACHE`` parts.
+remembered by each Python worker, up to ``CACHE`` parts; beyond that, those used least
+are forgotten.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import numpy as np
 
 #: Parts that a worker remembers (some 150 MB).
 CACHE = 900_000
+#: Parts that stay when there are too many.
+KEEP = 600_000
 #: Parts that are turned into ids at a time.
 STEP = 500_000
 
@@ -41,13 +44,32 @@ class Encoder(dict):
         self.encode_many = encode_many
         # With spaces, a part keeps those before it; without, they are dropped.
         self.parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if spaces else r"[^ \n]+").findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
         self.pending: list[str] = []
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.uint32)
+
+    def forget(self) -> None:
+        """Keep the parts that were used most; older uses count less each time."""
+        parts, uses = list(self), self.uses[:len(self)]
+        kept = np.sort(np.argsort(~uses, kind="stable")[:KEEP])
+        ids, bounds = self.gather(kept)
+        self.clear()
+        self.update((parts[k], number) for number, k in enumerate(kept.tolist()))
+        self.ids[:ids.size], self.bounds[:bounds.size] = ids, bounds
+        self.uses[:kept.size] = uses[kept] // 2
+        self.uses[kept.size:] = 0
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part, after new ones have been encoded."""
+        if len(self) > CACHE:
+            self.forget()
+        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        if self.pending:
+            self.settle()
+        used = np.bincount(found)
+        self.uses[:used.size] += used.astype(np.uint32)
+        return found
 
     def __missing__(self, part: str) -> int:
         number = self[part] = len(self)
@@ -64,6 +86,7 @@ class Encoder(dict):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while known + sizes.size + 1 > self.bounds.size:
                 self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+                self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
             self.ids[self.bounds[known]:bounds[-1]] = ids
             self.bounds[known + 1:known + 1 + sizes.size] = bounds
             known += sizes.size
@@ -90,13 +113,7 @@ class Encoder(dict):
         parts = self.parts(text)
         out = []
         for at in range(0, len(parts), STEP):
-            if len(self) > CACHE:
-                self.forget()
-            some = parts[at:at + STEP]
-            numbers = np.fromiter(map(self.__getitem__, some), np.int64, len(some))
-            if self.pending:
-                self.settle()
-            out.append(self.gather(numbers)[0])
+            out.append(self.gather(self.numbers(parts[at:at + STEP]))[0])
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
@@ -130,16 +147,11 @@ def encode_with(own: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     plain = [not _OTHER_SPACE.search(t) for t in texts]
     if all(plain) and sum(map(len, texts)) < 4 * STEP:
         # One pass for all texts: a number per part, then all ids at once.
-        if len(own) > CACHE:
-            own.forget()
         parts, ends = [], [0]
         for text in texts:
             parts += own.parts(text)
             ends.append(len(parts))
-        numbers = np.fromiter(map(own.__getitem__, parts), np.int64, len(parts))
-        if own.pending:
-            own.settle()
-        ids, after = own.gather(numbers)
+        ids, after = own.gather(own.numbers(parts))
         return ids, after[ends]
     each = [own.encode(t) for t in texts]
     bounds = np.zeros(len(each) + 1, np.int64)
