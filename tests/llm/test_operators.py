@@ -323,6 +323,50 @@ def test_license_join_is_exact(spark):
     assert got == want and want
 
 
+WRAPPED = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a\n"
+            "copy of this software and associated documentation files (the \"Software\")", 1.0),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", 1.0),
+    ("gpl-2", " * This program is free software; you can redistribute it and/or modify\n"
+              " * it under the terms of the GNU General Public License as published by\n"
+              " * the Free Software Foundation; either version 2 of the License, or", 20 / 22),
+    ("cc0", "To the extent possible under law, the author has waived all copyright\r\nand related rights", 1.0)]
+
+
+@pytest.mark.parametrize("around", ["{}", "some words first\n\n{}\nand 300 more\n" + "word\n" * 300])
+def test_wrapped_notices_are_found(spark, around):
+    rows = [(k, around.format(text)) for k, (_, text, _) in enumerate(WRAPPED)]
+    rows += [(None, rows[0][1]), (0, rows[0][1]),
+             # The words of a template far apart are no notice.
+             (9, "\n".join(w + "\nx y z" for w in license_scan.TEMPLATES[1][1].split()))]
+    got = Counter((r["id"], r["labels"], round(r["score"], 9))
+                  for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = [(k, label, round(score, 9)) for k, (label, _, score) in enumerate(WRAPPED)]
+    assert got == Counter([*want, (None, "mit", 1.0), want[0], (9, "", 0.0)])
+
+
+def test_license_windows_are_exact(spark):
+    draw = random.Random(3)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    docs = []
+    for k in range(150):
+        some = []
+        for _ in range(3):
+            some += [w for w in draw.choice(license_scan.TEMPLATES)[1].split() if draw.random() < 0.9]
+            some += draw.choices(vocabulary + ["x"] * 60, k=draw.randint(0, 12))
+        docs.append((k, " ".join(w + "\n" * (draw.random() < 0.2) for w in some)))
+    want = {}
+    for k, text in docs:
+        words = text.split()
+        for n, (_, template) in enumerate(license_scan.TEMPLATES):
+            own, reach = set(template.split()), int(len(template.split()) / 0.8 + 1e-9)
+            best = max(len(own & set(words[i:i + reach])) for i in range(len(words)))
+            if best >= 0.8 * len(own) - 1e-9:
+                want[k, n] = best / len(own)
+    rows = license_scan.license_windows(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {(r["id"], r["template"]): r["containment"] for r in rows} == want and len(rows) == len(want) > 300
+
+
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "Hello there\nHow are  you?"), (1, 1, "assistant", "> how are you?\nFine."),
             (1, 2, "user", "> > How are you?\n> Fine.\nGood"), (1, 3, "user", ">> never said\n> other text\nx"),
