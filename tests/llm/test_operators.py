@@ -142,6 +142,25 @@ def test_keep_one_keeps_columns_and_clean_documents(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == {c for c, _ in least}
 
 
+def test_keep_one_keeps_a_document_of_each_group(spark):
+    draw = random.Random(11)
+    prose = lambda: " ".join("".join(draw.choices("abcde", k=5)) for _ in range(200))
+
+    def near(text):
+        """A text whose fingerprint differs by a few bits."""
+        return next(t for t in (f"{text} {k}" for k in range(10_000))
+                    if 0 < (brute.simhash(t) ^ brute.simhash(text)).bit_count() <= simhash.RADIUS)
+
+    a, b, c, d, e = (prose() for _ in range(5))
+    groups = [[(5, a), (7, near(a))], [(5, b), (9, near(b)), (None, b)],  # one id, two groups
+              [(None, c), (None, near(c)), (None, c)], [(None, d)],  # null ids only
+              [(3, e), (3, near(e)), (3, e), (4, e)]]  # one id twice in its group
+    kept = simhash.keep_one(spark.createDataFrame([r for g in groups for r in g], SCHEMA)).collect()
+    got = Counter(next(n for n, g in enumerate(groups) if tuple(r) in g) for r in kept)
+    assert got == Counter(range(len(groups)))
+    assert Counter(r["doc_id"] for r in kept) == Counter([5, 5, None, None, 3])
+
+
 def token_rows(frame):
     return Counter((r["id"], r["n_tokens"], r["ids_crc32"]) for r in frame.collect())
 

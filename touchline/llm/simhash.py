@@ -204,34 +204,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per document ``id``, ``fp``, ``mark`` and ``component``, the smallest id it is
-    linked with."""
+    """Per document ``id``, ``fp``, ``mark``, ``root``, the fingerprint that tells its
+    component from others, and ``component``, the smallest id it is linked with."""
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     tree = materialize(components(links(distinct.select("fp"), radius)), "simhash-roots")
     linked = distinct.join(tree, distinct.fp == tree.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("joined"))
-    known = linked.join(least, "root").select("fp", "joined")
+    known = linked.join(least, "root").select("fp", "root", "joined")
     classes = distinct.join(known, "fp", "left").select(
-        "fp", F.coalesce("joined", "least").alias("component"))
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joined", "least").alias("component"))
     return marked.join(classes, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with all its columns: the one whose id names it.
+    """One document of each component, with all its columns: the one with the smallest id.
 
-    Where several rows have that id, one with the smallest hash of its text stays. A
-    component of null ids only is split by fingerprint, and each keeps such a row.
+    Null ids come last. Where several rows of the component have that id, one with the
+    smallest hash of its text stays.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     named = found.where("id <=> component")
-    key = ["component", F.when(F.col("component").isNull(), F.col("fp")).alias("own")]
-    first = named.groupBy("component", *key[1:]).agg(F.min("mark").alias("mark"))
-    copies = named.groupBy(F.col("id").alias("chosen"), F.col("mark").alias("chosen_mark")).agg(
+    first = named.groupBy("root", "component").agg(F.min("mark").alias("mark"))
+    # These rows of a root have one id: equal texts are copies of a row.
+    copies = named.groupBy(F.col("root").alias("own"), F.col("mark").alias("chosen_mark")).agg(
         F.count("*").alias("copies"))
-    chosen = first.join(copies, F.expr("component <=> chosen and mark = chosen_mark")).select(
-        "chosen", "chosen_mark", "copies").distinct()
+    chosen = first.join(copies, F.expr("root = own and mark = chosen_mark")).select(
+        F.col("component").alias("chosen"), "chosen_mark", "copies")
     chosen = materialize(chosen, "simhash-kept")
     rows = internal(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     kept = rows.join(chosen, F.expr("id <=> chosen and mark = chosen_mark"))
