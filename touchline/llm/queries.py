@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import (
-    bwt_dedup, byte_bpe, imatch, license_scan, packing, quote_linking, simhash, substring_dedup,
-    suffix_quality, token_files)
+    bwt_dedup, byte_bpe, exact_dedup, imatch, license_scan, packing, quote_linking, simhash, source_audit,
+    substring_dedup, suffix_quality, token_files)
 
 
 def tokenizer_file(name: str) -> str:
@@ -80,7 +80,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "sequence_id", "offset")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_dedup.exact_duplicates(documents(spark, sf_dir), digest=True)
+    return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
+                       F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash,
-    op8_license_scan, op9_quote_linking, op10_packing)}
-ORACLES = {"op8_license_scan": license_scan.oracle(), "op9_quote_linking": quote_linking.ORACLE}
+    op8_license_scan, op9_quote_linking, op10_packing, op11_source_audit, op13_exact_dedup)}
+ORACLES = {"op8_license_scan": license_scan.oracle(), "op9_quote_linking": quote_linking.ORACLE,
+           "op11_source_audit": source_audit.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
