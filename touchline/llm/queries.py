@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import (
     bwt_dedup, byte_bpe, exact_dedup, imatch, license_scan, packing, quote_linking, simhash, source_audit,
-    substring_dedup, suffix_quality, token_files)
+    substring_dedup, suffix_quality, token_alignment, token_files)
 
 
 def tokenizer_file(name: str) -> str:
@@ -84,6 +84,11 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"),
+                                 tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_duplicates(documents(spark, sf_dir), digest=True)
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -92,6 +97,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash,
-    op8_license_scan, op9_quote_linking, op10_packing, op11_source_audit, op13_exact_dedup)}
+    op8_license_scan, op9_quote_linking, op10_packing, op11_source_audit, op12_token_alignment,
+    op13_exact_dedup)}
 ORACLES = {"op8_license_scan": license_scan.oracle(), "op9_quote_linking": quote_linking.ORACLE,
            "op11_source_audit": source_audit.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}

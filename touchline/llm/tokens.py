@@ -255,6 +255,7 @@ def encoder(path: str, spaces: bool, plain: bool = False) -> Encoder:
         else:
             made = Encoder(_by_ranks(ranks, whole) if ranks else _by_words(own), spaces, lambda text: None
                            if _OTHER_SPACE.search(text) or has_special(text) else made.parts(text), whole)
+        made.library = own
         _encoders[key] = made
     return _encoders[key]
 
