@@ -156,3 +156,88 @@ def best_packing(lengths, capacity):
 
 def counted(rows):
     return Counter(rows)
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def audit(docs, least, top):
+    """docs: (text, lang, source). Rows (lang, source, part, item, value, rank)."""
+    docs = [(t or "", lang or "", s or "") for t, lang, s in docs]
+    lower = {c: c + 32 for c in range(65, 91)}
+    found = [(TERM.findall(t.translate(lower)), lang, s) for t, lang, s in docs]
+    out = []
+    for lang in {d[1] for d in docs}:
+        own = [(Counter(t), s) for t, g, s in found if g == lang]
+        df = Counter(w for t, _ in own for w in t)
+        kept = [w for w, n in df.items() if n >= least]
+        sums = {s: Counter() for _, s in own}
+        for t, s in own:
+            sums[s].update(t)
+
+        def shares(count):
+            total = sum(count[w] for w in kept) + 5 * len(kept)
+            return {w: 1 + 10**9 * (count[w] + 5) // total for w in kept}
+
+        p = {s: shares(c) for s, c in sums.items()}
+        q = shares(sum(sums.values(), Counter()))
+        for s in sums:
+            pairs = [(sum(abs(p[s][w] - p[o][w]) for w in kept), o) for o in sums if o != s]
+            over = [(p[s][w] - q[w], w) for w in kept if sums[s][w] and p[s][w] > q[w]]
+            for part, rows, n in (("pair", pairs, len(pairs)), ("term", over, top)):
+                rows = sorted(rows, key=lambda r: (-r[0], r[1].encode()))[:n]
+                out += [(lang, s, part, item, value, k + 1) for k, (value, item) in enumerate(rows)]
+    return out
+
+
+def align(docs, a, a_bytes, b):
+    """docs: (doc_id, text); a(text) ids, their bytes, b(text) (id, bytes).
+    Rows as of ``token_alignment.align``, and each document's groups as text."""
+    rows, pairs = [], Counter()
+    for doc, text in docs:
+        whole = (" " + text).encode() if text else b""
+        left = [(k, a_bytes[k]) for k in a(" " + text)] if text else []
+        right = b(text) if text else []
+        if b"".join(x for _, x in left) != whole or b"".join(x for _, x in right) != whole:
+            left = right = []
+
+        def places(tokens):
+            at, out = 0, []
+            for k, x in tokens:
+                out.append((k, at, at + len(x)))
+                at += len(x)
+            return out
+
+        left, right = places(left), places(right)
+        ends = sorted({e for _, _, e in left} & {e for _, _, e in right})
+        shown = []
+        first = i = j = 0
+        own = []
+        for e in ends:
+            x = [t for t in left[i:i + e - first + 1] if t[2] <= e]
+            y = [t for t in right[j:j + e - first + 1] if t[2] <= e]
+            i, j, first = i + len(x), j + len(y), e
+            shown.append(",".join(str(t[0]) for t in x) + "|" + ",".join(str(t[0]) for t in y))
+            own += [(u[0], v[0]) for u in x for v in y if u[1] < v[2] and v[1] < u[2]]
+        pairs.update(set(own))
+        rows.append((doc, len(left), len(right), len(ends), own, ";".join(shown)))
+    highest = Counter()
+    for (u, _), n in pairs.items():
+        highest[u] = max(highest[u], n)
+    return [(doc, na, nb, ng, len(own), sum(pairs[x] == highest[x[0]] for x in own), sum(pairs[x] for x in own),
+             sha(text) if text else "", text) for doc, na, nb, ng, own, text in rows]
+
+
+def exact(docs):
+    """docs: (doc_id, text). Rows (doc_id, keep_id, group_size, kept, sha); of rows that
+    repeat the id too, one is kept."""
+    far = float("inf")
+    plain = [re.sub("[\x20\x09-\x0D]+", " ", t or "") for _, t in docs]
+    groups = {}
+    for k, text in enumerate(plain):
+        groups.setdefault(text, []).append(k)
+    out = []
+    for text, rows in groups.items():
+        rows.sort(key=lambda k: far if docs[k][0] is None else docs[k][0])
+        out += [(docs[k][0], docs[rows[0]][0], len(rows), k == rows[0], sha(text)) for k in rows]
+    return out

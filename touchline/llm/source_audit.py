@@ -160,8 +160,9 @@ def _seed(text: str) -> np.uint64:
     return (Spans(data).of(np.array([0]), np.array([data.size])) * _ODD)[0]
 
 
-def _alive(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    place = keys % np.uint64(BITS)
+def _alive(keys: np.ndarray, data: bytes) -> np.ndarray:
+    bitmap = np.frombuffer(data, np.uint8)
+    place = keys % np.uint64(8 * bitmap.size)
     return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -184,11 +185,10 @@ def level(blocks: DataFrame, width: int, before) -> DataFrame:
     def make(block: Block):
         lang, term, doc = block.lang, block.term, block.doc
         if before is not None:
-            bitmap = np.frombuffer(before.value, np.uint8)
             # Terms that were whole at the level before are settled.
             longer = (block.ends - block.starts > width // 2)[term]
             lang, term, doc = lang[longer], term[longer], doc[longer]
-            live = _alive(block.keys(lang, term, width // 2), bitmap)
+            live = _alive(block.keys(lang, term, width // 2), before.value)
             lang, term, doc = lang[live], term[live], doc[live]
         if not term.size:
             return
@@ -216,18 +216,19 @@ def _whole() -> Column:
     return F.substring("prefix", -1, 1) == F.lit(b"\0")
 
 
-def survivors_bitmap(rows: DataFrame) -> bytes:
-    """BITS bits with those of the rows' marks set: as many bytes whatever the rows are."""
-    place = F.expr(f"(mark & {BITS - 1}) + 1")
+def survivors_bitmap(rows: DataFrame, bits: int = BITS) -> bytes:
+    """``bits`` bits (a power of two, 2**15 at least) with those of the rows' marks set: as
+    many bytes whatever the rows are."""
+    place = F.expr(f"(mark & {bits - 1}) + 1")
     pieces = rows.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")).collect()
-    out = bytearray(BITS // 8)
-    for row in pieces:  # at most BITS / 2**15 pieces of 4 KB, numbered from 1
+    out = bytearray(bits // 8)
+    for row in pieces:  # at most bits / 2**15 pieces of 4 KB, numbered from 1
         out[(row["piece"] - 1) * 4096:row["piece"] * 4096] = row["bitmap"]
     return bytes(out)
 
 
-def kept_terms(blocks: DataFrame, least: int = LEAST, width: int = WIDTH) -> DataFrame:
+def kept_terms(blocks: DataFrame, least: int = LEAST, width: int = WIDTH, bits: int = BITS) -> DataFrame:
     """(lang, term, df) of the terms in ``least`` documents of a language or more; ``term``
     is bytes."""
     spark, before, done = blocks.sparkSession, None, []
@@ -240,7 +241,7 @@ def kept_terms(blocks: DataFrame, least: int = LEAST, width: int = WIDTH) -> Dat
             break
         if before is not None:
             before.unpersist()
-        before = spark.sparkContext.broadcast(survivors_bitmap(open_))
+        before = spark.sparkContext.broadcast(survivors_bitmap(open_, bits))
         width *= 2
     every = done[0]
     for rows in done[1:]:
@@ -251,10 +252,10 @@ def kept_terms(blocks: DataFrame, least: int = LEAST, width: int = WIDTH) -> Dat
 # --- counts --------------------------------------------------------------------------
 
 
-def term_counts(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+def term_counts(blocks: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFrame:
     """(lang, source, term, count) of kept terms that occur; one row per task at most is
     forwarded for each."""
-    bitmap = kept.sparkSession.sparkContext.broadcast(survivors_bitmap(kept))
+    bitmap = kept.sparkSession.sparkContext.broadcast(survivors_bitmap(kept, bits))
 
     def make(block: Block):
         if not block.term.size:
@@ -264,7 +265,7 @@ def term_counts(blocks: DataFrame, kept: DataFrame) -> DataFrame:
         count = np.bincount(place, block.count).astype(np.int64)
         term, group = np.divmod(key, size)
         of_group = np.array([block.names.index(x) for x in block.langs], np.int64)
-        live = _alive(block.keys(of_group[group], term, None), np.frombuffer(bitmap.value, np.uint8))
+        live = _alive(block.keys(of_group[group], term, None), bitmap.value)
         term, group, count = term[live], group[live], count[live]
         yield pa.RecordBatch.from_arrays([
             pa.array([block.langs[g] for g in group.tolist()], pa.string()),
@@ -372,14 +373,14 @@ def overused(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", *,
-          least: int = LEAST, top: int = TOP) -> DataFrame:
+          least: int = LEAST, top: int = TOP, bits: int = BITS) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has a row for each other source
     of the language, part ``term`` the ``top`` kept terms that a group uses beyond its
     language's share; ranks by value, largest first, then by item."""
     ship_package(docs.sparkSession)
     blocks = stage(docs, text_col, lang_col, source_col)
-    kept = kept_terms(blocks, least)
-    counts = materialize(term_counts(blocks, kept), "audit-counts")
+    kept = kept_terms(blocks, least, bits=bits)
+    counts = materialize(term_counts(blocks, kept, bits), "audit-counts")
     pairs = blocks.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(
         F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
     sizes = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
