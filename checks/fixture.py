@@ -105,6 +105,19 @@ def tables(spark: SparkSession, sf_dir: str) -> MatchTables:
     )
 
 
+def unknown_scores(spark: SparkSession, sf_dir: str) -> MatchTables:
+    """The tables with unknown and with negative scores, and some unknown draws."""
+    mid = F.col("id")
+    no_home, no_away, below, no_draw = mid % 7 == 3, mid % 11 == 4, mid % 13 == 5, mid % 19 == 6
+    wide = played_matches(spark, sf_dir).withColumns({
+        "home_score_ft": F.when(~no_home, F.when(below, F.lit(-2).cast("bigint")).otherwise(F.col("home_score_ft"))),
+        "away_score_ft": F.when(~no_away, F.col("away_score_ft")),
+        "total_goals": F.when(~(no_home | no_away), F.when(below, -F.col("total_goals")).otherwise(F.col("total_goals"))),
+        "is_draw": F.when(~no_draw, F.col("is_draw")),
+    })
+    return MatchTables.from_wide(competitions(spark, sf_dir), teams(spark, sf_dir), wide)
+
+
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture as nested feed records, all statuses, scores as text."""
     rows = fixture_matches(spark, sf_dir)

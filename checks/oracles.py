@@ -724,3 +724,136 @@ REPORT_NAMES = {
     "resilience": "bounce_back", "parity": "competitive_balance", "defense": "defensive_solidity",
 }
 ORACLES.update({f"report_{name}": ORACLES[same] for name, same in REPORT_NAMES.items()})
+
+# Averages over known values: the same tables with unknown and negative scores.
+UNKNOWN = BASE.strip().replace("\nm AS (", "\nm0 AS (", 1).replace("\na AS (", """
+m AS (
+  SELECT * REPLACE (
+    CASE WHEN match_id % 7 <> 3 THEN CASE WHEN match_id % 13 = 5 THEN -2 ELSE home_score_ft END END
+        AS home_score_ft,
+    CASE WHEN match_id % 11 <> 4 THEN away_score_ft END AS away_score_ft,
+    CASE WHEN match_id % 7 <> 3 AND match_id % 11 <> 4
+         THEN CASE WHEN match_id % 13 = 5 THEN -total_goals ELSE total_goals END END AS total_goals,
+    CASE WHEN match_id % 19 <> 6 THEN is_draw END AS is_draw)
+  FROM m0),
+a AS (""", 1)
+
+
+def unknown(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join([UNKNOWN, *ctes]) + "\n" + body
+
+
+def avg(value: str, where: str = "TRUE", scale: int = 100) -> str:
+    """The average of known values; halves away from zero."""
+    total, n = f"SUM({value}) FILTER ({where})", f"COUNT({value}) FILTER ({where})"
+    return (f"CAST(SIGN({total}) * (({2 * scale} * ABS({total}) + {n}) // (2 * NULLIF({n}, 0))) AS DOUBLE)"
+            f" / {scale}")
+
+
+RATES = ", ".join(f"{pct(f'SUM({flag})')} AS {name}" for flag, name in (
+    ("home_win", "home_win_pct"), ("away_win", "away_win_pct"), ("is_draw", "draw_pct")))
+KNOWN_MONTHS = f"""
+SELECT match_month AS month, {{}} COUNT(*) AS matches, {avg("total_goals")} AS avg_goals,
+       SUM(total_goals)::BIGINT AS total_goals FROM m GROUP BY match_month
+"""
+POINTS = "CASE WHEN w = 1 THEN 3 WHEN d = 1 THEN 1 ELSE 0 END"
+
+ORACLES.update({
+    "summary_unknown_scores": unknown(
+        f"SELECT COUNT(*) AS matches, {avg('total_goals')} AS avg_goals, {RATES}, "
+        f"{pct('SUM(high_scoring)')} AS high_scoring_pct, {big('SUM(both_teams_scored)')} AS btts FROM m"),
+    "standings_unknown_scores": unknown("SELECT * FROM st", table_rows()),
+    "home_away_splits_unknown_scores": unknown(
+        f"SELECT c.name AS competition, COUNT(*) AS matches, {RATES}, {avg('total_goals')} AS avg_goals "
+        "FROM m JOIN c ON c.id = m.competition_id GROUP BY c.name"),
+    "goals_by_month_unknown_scores": unknown(
+        KNOWN_MONTHS.format(MONTH.format("match_month") + " AS month_name,")),
+    "sql_goals_by_month_unknown_scores": unknown(KNOWN_MONTHS.format("")),
+    "outcome_rates_unknown_scores": unknown(
+        f"SELECT COUNT(*) AS total_matches, {big('SUM(home_win)')} AS home_wins, "
+        f"{big('SUM(away_win)')} AS away_wins, {big('SUM(is_draw)')} AS draws, {RATES}, "
+        f"{avg('total_goals')} AS avg_goals_per_game FROM m"),
+    "schedule_density_unknown_scores": unknown(
+        f"SELECT competition, rest_band, COUNT(*) AS matches, {pct('SUM(w)')} AS win_pct, "
+        f"{avg('w * 3 + d')} AS ppg, {avg('gf')} AS avg_goals_for "
+        "FROM rb WHERE rest_band IS NOT NULL GROUP BY competition, rest_band", density()),
+    "efficiency_matrix_unknown_scores": unknown(
+        f"SELECT competition, team, COUNT(*) AS played, {avg('gf')} AS goals_for_pg, "
+        f"{avg('ga')} AS goals_against_pg, {avg(POINTS)} AS points_pg "
+        "FROM a GROUP BY team_id, team, competition HAVING COUNT(*) >= 5"),
+    "defensive_solidity_unknown_scores": unknown(
+        f"""
+        SELECT competition, team, COUNT(*) FILTER (opponent_tier = 'top') AS games_vs_top,
+               {avg('ga', "opponent_tier = 'top'")} AS conceded_vs_top,
+               {avg('ga', "opponent_tier = 'bottom'")} AS conceded_vs_bottom,
+               {avg('100 * (ga = 0)::INT', "opponent_tier = 'top'", 10)} AS clean_sheet_pct_vs_top
+        FROM (SELECT a.*, CASE WHEN attack_rank <= 5 THEN 'top'
+                               WHEN attack_rank > league_size - 5 THEN 'bottom' END AS opponent_tier
+              FROM a JOIN (
+                SELECT code, team_id, COUNT(*) OVER (PARTITION BY code) AS league_size,
+                       RANK() OVER (PARTITION BY code ORDER BY SUM(gf) / COUNT(gf) DESC NULLS LAST)
+                           AS attack_rank
+                FROM a GROUP BY code, team_id) k ON k.code = a.code AND k.team_id = a.opponent_id)
+        WHERE opponent_tier IS NOT NULL GROUP BY competition, team, team_id
+        HAVING COUNT(*) FILTER (opponent_tier = 'top') >= 2
+        ORDER BY conceded_vs_top NULLS FIRST, clean_sheet_pct_vs_top DESC NULLS LAST, team_id, competition
+        LIMIT 1000
+        """),
+    "top_scoring_teams_unknown_scores": unknown(
+        f"""
+        SELECT * EXCLUDE (team_id) FROM (
+          SELECT team_id, team, {avg('gf')} AS avg_goals, {avg('gf', "venue = 'home'")} AS avg_home,
+                 {avg('gf', "venue = 'away'")} AS avg_away, SUM(gf)::BIGINT AS total_goals, COUNT(*) AS played
+          FROM a GROUP BY team_id, team HAVING COUNT(*) >= 5)
+        ORDER BY avg_goals DESC NULLS LAST, team_id LIMIT 10
+        """),
+})
+
+BY_ID = "m JOIN nc ON nc.id = m.competition_id"
+ORACLES.update({
+    "interleaved_loads": sql(
+        f"SELECT match_id AS id, CASE WHEN match_id % 10 = 7 THEN home_score_ft + 1 ELSE home_score_ft END "
+        f"AS home_score_ft FROM {BY_ID}", NUMBERED),
+    "concurrent_loads": sql(
+        """
+        SELECT match_id AS id, code AS competition_code,
+               CASE code WHEN 'AF' THEN 1 WHEN 'MI' THEN 2 WHEN 'AM' THEN 3 WHEN 'AS' THEN 4 ELSE 5 END::BIGINT
+                   AS number,
+               CASE WHEN match_id % 3 = 0 AND code IN ('MI', 'AF') THEN home_score_ft + 1 ELSE home_score_ft END
+                   AS home_score_ft
+        FROM m JOIN c ON c.id = m.competition_id WHERE code <> 'MI' OR match_id % 3 = 0
+        """),
+    "stream_unreadable": sql(
+        "SELECT COUNT(*) FILTER (match_id % 10 <> 3) AS matches, "
+        "SUM(match_id) FILTER (match_id % 10 <> 3)::BIGINT AS id_sum, "
+        f"(SELECT COUNT(*) FROM ({FLAT}) WHERE match_id % 10 = 3) AS unreadable FROM ({TRANSFORMED})"),
+    "league_feed": ORACLES["league_scope"],
+    "write_league_snapshot_rerun": sql(
+        """
+        SELECT match_id AS id, run FROM m JOIN c ON c.id = m.competition_id
+        CROSS JOIN (VALUES ('first'), ('second')) r(run)
+        WHERE code = 'EU' OR (code = 'AF' AND (run = 'first' OR match_id % 2 = 0))
+        """),
+    "union_leagues_shared_ids": sql(
+        """
+        SELECT match_id, first, CASE WHEN code = 'AF' AND match_id % 3 = 0 AND first = 'EU'
+                                     THEN home_score_ft + 1 ELSE home_score_ft END AS home_score_ft
+        FROM m JOIN c ON c.id = m.competition_id CROSS JOIN (VALUES ('AF'), ('EU')) r(first)
+        WHERE code IN ('AF', 'EU')
+        """),
+    "refreshed_snapshots": sql(
+        """
+        SELECT match_id AS id, new_id AS competition_id, c.code AS competition_code,
+               CASE WHEN c.code = 'EU' OR (c.code = 'AS' AND match_id % 4 = 0) THEN home_score_ft + 1
+                    ELSE home_score_ft END AS home_score_ft
+        FROM m JOIN c ON c.id = m.competition_id
+        JOIN (SELECT code, ROW_NUMBER() OVER (ORDER BY CASE code WHEN 'AF' THEN 1 WHEN 'AM' THEN 2
+                     ELSE 4 END, CASE code WHEN 'AS' THEN 1 WHEN 'EU' THEN 2 ELSE 3 END)::BIGINT AS new_id
+              FROM c) n ON n.code = c.code
+        """),
+    "stored_reports": sql(
+        "SELECT *, 'after' AS asked FROM (SELECT " + EFFICIENCY_COLUMNS + " FROM ef) UNION ALL "
+        "SELECT *, 'before' AS asked FROM (SELECT " + EFFICIENCY_COLUMNS + " FROM eh)",
+        EFFICIENCY, EFFICIENCY.replace("ef AS", "eh AS").replace("FROM a GROUP", "FROM a WHERE match_id % 2 = 0 GROUP")),
+    "parity_pivot_all": ORACLES["parity_pivot"],
+})

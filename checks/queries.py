@@ -16,8 +16,10 @@ from touchline.pipeline import run
 from touchline.plans import console, dispatch, documented, goals, outcomes, sequences, shape
 from touchline.schema import MATCHES, METRICS
 from touchline.sources import feed, snapshots
+from touchline.sources import merged as merged_store
 from touchline.sources.scratch import materialize, scratch_path
 from touchline.sources.store import MatchStore
+from touchline.streaming import ingest
 from touchline.tables import MatchTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,7 +150,7 @@ def load_metrics(spark, sf_dir):
 def load_atomicity(spark, sf_dir):
     """A load that fails before its commit leaves the stored tables as they were."""
     class FailsAtCommit(MatchStore):
-        def _commit(self, load_id, batch):
+        def _commit(self, *_):
             raise OSError("lost the storage")
 
     path = scratch_path(spark, "store")
@@ -161,6 +163,64 @@ def load_atomicity(spark, sf_dir):
     return MatchStore(spark, path).tables().matches.select("id", "competition_id")
 
 
+@query
+def interleaved_loads(spark, sf_dir):
+    """One load per league, all in one space of ids, then every match again with another
+    score and a tenth that no league had: only that tenth is new."""
+    store = MatchStore(spark, scratch_path(spark, "store"))
+    matches = materialize(_transformed(spark, sf_dir), "matches")
+    for code in CODES:
+        store.load(matches.filter((F.col("competition_code") == code) & (F.col("match_id") % 10 != 7)))
+    store.load(_one_goal_more(matches))
+    return store.tables().matches.select("id", "home_score_ft")
+
+
+@query
+def concurrent_loads(spark, sf_dir):
+    """Two loads that overlap in time: the second commits while the first is under way, has a
+    third of its matches, and brings a league of its own."""
+    path = scratch_path(spark, "store")
+    matches = materialize(_transformed(spark, sf_dir), "matches")
+    mine = matches.filter(F.col("competition_code") != "MI")
+    theirs = _one_goal_more(matches).filter(
+        (F.col("match_id") % 3 == 0) & F.col("competition_code").isin("MI", "AF"))
+
+    class Slow(MatchStore):
+        def _stage(self, *args):
+            batch = super()._stage(*args)
+            if self.version() == 0:
+                MatchStore(spark, path).load(theirs, load_id="theirs")
+            return batch
+
+    Slow(spark, path).load(mine, load_id="mine")
+    tables = MatchStore(spark, path).tables()
+    return tables.in_league(tables.matches).select(
+        "id", "competition_code", F.col("competition_id").alias("number"), "home_score_ft")
+
+
+@query
+def stream_unreadable(spark, sf_dir):
+    """Every tenth response is cut short: a stream loads the others and files the bad ones."""
+    raw = fixture.raw_matches(spark, sf_dir)
+    text = F.to_json(F.struct(F.array(F.struct(*raw.columns)).alias("matches")))
+    cut = F.when(F.col("id") % 10 == 3, F.substring(text, 1, 40)).otherwise(text)
+    landing = scratch_path(spark, "landed")
+    raw.select(cut.alias("value")).write.text(landing)
+    store = MatchStore(spark, scratch_path(spark, "store"))
+    stream = ingest.ingest_landed(spark, landing, store, scratch_path(spark, "checkpoint"))
+    stream.awaitTermination()
+    bad = ingest.unreadable_landed(spark, ingest.unreadable_path(store))
+    return store.tables().matches.agg(F.count("*").alias("matches"), F.sum("id").alias("id_sum")).withColumn(
+        "unreadable", bad.agg(F.count("*")).scalar())
+
+
+@query
+def league_feed(spark, sf_dir):
+    """One league's run over files that lie under ``league=<code>``."""
+    read = feed.read_matches_json(spark, _land(spark, sf_dir, by_league=True), league="EU")
+    return read.select("id", F.col("competition.code").alias("code"), "status")
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> str:
     """Two days of league AF (the older one incomplete), one day of all others."""
     base = scratch_path(spark, "snapshots")
@@ -184,6 +244,53 @@ def write_league_snapshot(spark, sf_dir):
     )
 
 
+@query
+def write_league_snapshot_rerun(spark, sf_dir):
+    """A rerun of the same day fails half-way: the first run's snapshot stays. Another one
+    succeeds with half of the matches, and takes its place."""
+    base = scratch_path(spark, "snapshots")
+    matches = materialize(_transformed(spark, sf_dir), "snapshot-input")
+    day = date(2026, 8, 13)
+    for code in ("AF", "EU"):
+        snapshots.write_league_snapshot(base, matches.filter(F.col("competition_code") == code), day, code)
+    half = matches.filter("competition_code = 'AF' AND match_id % 2 = 0")
+    extract = snapshots.extract_teams
+    try:
+        snapshots.extract_teams = _fails
+        snapshots.write_league_snapshot(base, half.limit(1), day, "AF")
+    except OSError:
+        pass
+    finally:
+        snapshots.extract_teams = extract
+    first = snapshots.read_merged(spark, base, CODES, CODES).matches.select("id", F.lit("first").alias("run"))
+    snapshots.write_league_snapshot(base, half, day, "AF")
+    second = snapshots.read_merged(spark, base, CODES, CODES).matches.select("id", F.lit("second").alias("run"))
+    return first.unionByName(second)
+
+
+def _fails(rows):
+    raise OSError("lost the storage")
+
+
+@query
+def union_leagues_shared_ids(spark, sf_dir):
+    """A third of the matches of league AF also lie under EU, one goal more: the league
+    that is named first has the first copy, in either order."""
+    raw = fixture.raw_matches(spark, sf_dir)
+    path = scratch_path(spark, "landed")
+    copy = raw.filter("competition.code = 'AF' AND id % 3 = 0").withColumn("score", F.col("score").withField(
+        "fullTime.home", (F.col("score.fullTime.home").cast("bigint") + 1).cast("string")))
+    for rows, code in ((raw.filter("competition.code = 'AF'"), "AF"),
+                       (raw.filter("competition.code = 'EU'").unionByName(copy), "EU")):
+        rows.select(F.array(F.struct(*raw.columns)).alias("matches")).write.json(f"{path}/league={code}")
+
+    def kept(codes):
+        read = transform.transform_matches(feed.union_leagues(spark, path, codes))
+        return read.select("match_id", "home_score_ft", F.lit(codes[0]).alias("first"))
+
+    return kept(["AF", "ZZ", "EU"]).unionByName(kept(["EU", "AF"]))
+
+
 @query
 def read_league_snapshots(spark, sf_dir):
     """Four of five leagues asked for, and one without a snapshot."""
@@ -488,6 +595,18 @@ def merge_league_snapshots(spark, sf_dir):
     )
 
 
+@query
+def refreshed_snapshots(spark, sf_dir):
+    """Five leagues merged, then one has a newer snapshot that takes matches from another."""
+    base, target = _snapshots(spark, sf_dir), scratch_path(spark, "merged")
+    merged_store.refresh_merged(spark, base, target, CODES, CODES)
+    taken = _one_goal_more(_transformed(spark, sf_dir)).filter(
+        "competition_code = 'EU' OR (competition_code = 'AS' AND match_id % 4 = 0)")
+    snapshots.write_league_snapshot(base, taken, date(2026, 8, 20), "EU")
+    merged = merged_store.refresh_merged(spark, base, target, CODES, CODES)
+    return merged.in_league(merged.matches).select("id", "competition_id", "competition_code", "home_score_ft")
+
+
 # The core primitive --------------------------------------------------------
 
 over_tables("appearances", lambda t: appearances(t).drop("competition"))
@@ -542,6 +661,19 @@ def home_away_splits_missing_metrics(spark, sf_dir):
     )
 
 
+# Averages leave unknown values out, as SQL's AVG does.
+for _name, _build in {
+    "summary": outcomes.summary, "standings": outcomes.standings,
+    "home_away_splits": outcomes.home_away_splits, "goals_by_month": goals.goals_by_month,
+    "sql_goals_by_month": documented.sql_goals_by_month, "outcome_rates": documented.outcome_rates,
+    "schedule_density": sequences.schedule_density, "efficiency_matrix": goals.efficiency_matrix,
+    "defensive_solidity": lambda t: sequences.defensive_solidity(t, None, 1000),
+    "top_scoring_teams": goals.top_scoring_teams,
+}.items():
+    QUERIES[f"{_name}_unknown_scores"] = lambda spark, sf_dir, build=_build: build(
+        fixture.unknown_scores(spark, sf_dir))
+
+
 # Pieces of the reports -----------------------------------------------------
 
 
@@ -579,6 +711,7 @@ over_tables("standings_top_n", lambda t: shape.standings_top_n(outcomes.standing
 over_tables("form_top", lambda t: shape.form_top(outcomes.team_form(t)))
 over_tables("rest_band_pivot", lambda t: shape.rest_band_pivot(sequences.schedule_density(t)))
 over_tables("parity_pivot", lambda t: shape.parity_pivot(sequences.competitive_balance(t), NAMES))
+over_tables("parity_pivot_all", lambda t: shape.parity_pivot(sequences.competitive_balance(t)))
 over_tables("splits_chart", lambda t: shape.splits_chart(outcomes.home_away_splits(t)))
 over_tables("kpi_format", lambda t: shape.kpi_format(outcomes.summary(t)))
 over_tables("standings_view", lambda t: shape.standings_view(outcomes.standings(t)))
@@ -604,6 +737,22 @@ def cached_reports(spark, sf_dir):
     return kept
 
 
+@query
+def stored_reports(spark, sf_dir):
+    """Asked before and after a load: the first answer is of half of the matches."""
+    store = MatchStore(spark, scratch_path(spark, "store"))
+    matches = materialize(_transformed(spark, sf_dir), "matches")
+    reports = dispatch.StoredReports(store, scratch_path(spark, "reports"))
+
+    def answer(when):
+        return reports.report("efficiency").withColumn("asked", F.lit(when))
+
+    store.load(matches.filter("match_id % 2 = 0"))
+    before = answer("before")
+    store.load(matches)
+    return before.unionByName(answer("after"))
+
+
 @query
 def console_report(spark, sf_dir):
     """Rows of each section of the text report, the names in its first text column

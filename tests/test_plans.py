@@ -78,9 +78,8 @@ def test_top_matches_do_not_sort_everything(stored):
 
 @pytest.mark.parametrize("build, most", [
     (sequences.schedule_density, 1), (sequences.bounce_back, 1),
-    (sequences.competitive_balance, 2)])
+    (sequences.competitive_balance, 1)])
 def test_ordered_reports_read_the_games_once(stored, build, most):
-    """Two readings where every game needs the points before it, else one."""
     frame = build(stored)
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
@@ -102,3 +101,27 @@ def test_games_are_folded_once(stored, build):
     frame.collect()
     final = plan(frame).split("== Initial Plan ==")[0]
     assert len(scans(final, "home_score_ft")) == 1
+
+
+def test_orphans_read_each_table_once(stored):
+    from touchline.operators.load import orphan_checks
+
+    frame = orphan_checks(stored)
+    frame.collect()
+    final = plan(frame).split("== Initial Plan ==")[0]
+    assert len(scans(final, "home_team_id")) == 1
+    assert "Join" not in final
+
+
+def test_one_league_opens_its_own_files(spark, tmp_path):
+    from touchline.sources import feed
+
+    for code in ("PL", "SA"):
+        (tmp_path / f"league={code}").mkdir()
+        (tmp_path / f"league={code}" / "a.json").write_text('{"matches": [{"id": 1}]}\n')
+    read = feed.read_matches_json(spark, str(tmp_path), league="SA")
+    assert [r["id"] for r in read.collect()] == [1]
+    text = plan(read)
+    assert "PartitionFilters: [isnotnull(league" in text and "(league" in text and "= SA)" in text
+    (tmp_path / "league=PL" / "a.json").unlink()  # listed, but never opened
+    assert read.count() == 1

@@ -6,7 +6,7 @@ never changed: a corrected score or a new team name does not land.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.schema import MATCHES, METRICS
@@ -67,39 +67,54 @@ REQUIRED = {
 }
 
 
+def missing_values() -> dict[str, Column]:
+    """Aggregates: how many matches lack each required value."""
+    return {name: F.count_if(F.col(name).isNull()) for name in REQUIRED}
+
+
 def key_checks(matches: DataFrame) -> DataFrame:
     """One row: how many matches lack each required value."""
-    return matches.agg(
-        *[F.count_if(F.col(name).isNull()).alias(name) for name in REQUIRED],
-    )
+    return matches.agg(*[value.alias(name) for name, value in missing_values().items()])
 
 
 def orphan_checks(tables) -> DataFrame:
     """One row: matches without their competition, home team or away team, and
     metrics without their match."""
-    known = tables.teams.select(F.col("id").alias("known"))
-    leagues = tables.competitions.select(F.col("id").alias("known"))
-    matches = tables.matches.select(F.col("id").alias("known"))
-
-    def missing(rows: DataFrame, key: str, parents: DataFrame, into: str) -> DataFrame:
-        # Counted per key first: a key with very many rows stays cheap.
-        counted = rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
-        lost = counted.join(parents, F.col("key") == F.col("known"), "left_anti")
-        return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(into))
-
-    checks = {
-        "no_competition": missing(tables.matches, "competition_id", leagues, "n"),
-        "no_home_team": missing(tables.matches, "home_team_id", known, "n"),
-        "no_away_team": missing(tables.matches, "away_team_id", known, "n"),
-    }
-    base = missing(tables.match_metrics, "match_id", matches, "no_match")
-    return base.select("no_match", *[df.scalar().alias(name) for name, df in checks.items()])
+    checks = ("no_match", "no_competition", "no_home_team", "no_away_team")
+
+    def names(kind: str, key: str, check: str | None = None) -> Column:
+        """A row that names a parent, or (without ``check``) one that is the parent."""
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("key"),
+                        F.lit(check).cast("string").alias("check"))
+
+    # Each match is a parent and names three at once: one pass over each table, counted
+    # per key before the shuffle, so that a key with very many rows stays cheap.
+    parts = [
+        tables.matches.select(F.inline(F.array(
+            names("match", "id"), names("competition", "competition_id", "no_competition"),
+            names("team", "home_team_id", "no_home_team"), names("team", "away_team_id", "no_away_team")))),
+        tables.match_metrics.select(F.inline(F.array(names("match", "match_id", "no_match")))),
+        tables.competitions.select(F.inline(F.array(names("competition", "id")))),
+        tables.teams.select(F.inline(F.array(names("team", "id")))),
+    ]
+    named = parts[0]
+    for part in parts[1:]:
+        named = named.unionByName(part)
+    by_key = named.groupBy("kind", "key").agg(
+        F.count_if(F.col("check").isNull() & F.col("key").isNotNull()).alias("parents"),
+        *[F.count_if(F.col("check") == check).alias(check) for check in checks])
+    lost = by_key.filter(F.col("parents") == 0)
+    return lost.agg(*[F.coalesce(F.sum(check), F.lit(0)).alias(check) for check in checks])
 
 
 def require_keys(matches: DataFrame) -> None:
     """Fail before anything is written when a required value is missing."""
-    counts = key_checks(matches).first().asDict()
-    broken = {REQUIRED[name]: n for name, n in counts.items() if n}
+    require_values(key_checks(matches).first().asDict())
+
+
+def require_values(counts: dict) -> None:
+    """The same for counts that are known already."""
+    broken = {label: counts[name] for name, label in REQUIRED.items() if counts[name]}
     if broken:
         raise ValueError(f"Matches with missing values: {broken}")
 

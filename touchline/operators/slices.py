@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A block is 2**BLOCK_BITS match ids: the most games a slice can hold.
 BLOCK_BITS = 22
+#: The same where the games of a slice are put into one row.
+RUN_BITS = 12
 
 SLICE = ["day", "block"]
 _BEFORE = Window.unboundedPreceding, -1
@@ -25,13 +27,13 @@ _BEFORE = Window.unboundedPreceding, -1
 _NO_DATE = -(2**31)
 
 
-def with_slices(rows: DataFrame) -> DataFrame:
+def with_slices(rows: DataFrame, bits: int | None = None) -> DataFrame:
     """Add ``month``, ``day`` and ``block``, which rise with (match_date, match_id)."""
     date = F.col("match_date")
     return rows.withColumns({
         "month": F.coalesce(F.year(date) * 12 + F.month(date), F.lit(_NO_DATE)),
         "day": F.coalesce(F.unix_date(date), F.lit(_NO_DATE)),
-        "block": F.shiftright("match_id", BLOCK_BITS),
+        "block": F.shiftright("match_id", BLOCK_BITS if bits is None else bits),
     })
 
 
@@ -189,19 +191,30 @@ def after_loss(rows: DataFrame) -> DataFrame:
 
 
 def running_points(rows: DataFrame) -> DataFrame:
-    """Add the game's number and the team's points up to it, per league and team."""
+    """Add the game's number and the team's points up to it, per league and team.
+
+    The games of a slice become one row: numbered and summed up in order, as an array. What
+    comes before a slice is worked out over these rows and joined to them, so the games are
+    read and shuffled once and nothing is joined back to them. Slices are small enough for
+    a row here, whatever the team.
+    """
     key = ["competition_id", "team_id"]
-    cut = with_slices(rows)
-    sums = cut.groupBy(*key, "month", *SLICE).agg(
-        F.count("*").alias("games"), F.sum("points").alias("sum"))
+    local = in_slice(*key)
+    so_far = F.sum("points").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    games = with_slices(rows, min(BLOCK_BITS, RUN_BITS)).withColumns(
+        {"game": F.row_number().over(local), "so_far": so_far})
+    others = [name for name in rows.columns if name not in key]
+    runs = games.groupBy(*key, "month", *SLICE).agg(
+        F.sort_array(F.collect_list(F.struct("game", "so_far", *others))).alias("run"))
+    last = F.element_at("run", -1)
+    sums = runs.select(*key, "month", *SLICE, F.col("run")).select(
+        *key, "month", *SLICE, last["game"].alias("games"), last["so_far"].alias("sum"))
     none = F.lit(0)
     handed = before_slice(sums, key, lambda name, at: F.sum(name),
                           lambda earlier, later: F.coalesce(earlier, none) + F.coalesce(later, none))
-    local = in_slice(*key)
-    so_far = F.sum("points").over(local.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        cut.withColumns({"game": F.row_number().over(local), "so_far": so_far})
-        .join(handed, [*key, *SLICE])
+        runs.drop("month").join(handed, [*key, *SLICE])
+        .select(*key, "games_before", "sum_before", F.inline("run"))
         .withColumn("matchweek", F.col("game") + F.col("games_before"))
         .withColumn("cumulative_points", F.col("so_far") + F.col("sum_before"))
         .select(*rows.columns, "matchweek", "cumulative_points")

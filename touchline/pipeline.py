@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
-from touchline.operators.transform import extract_teams, run_summary, transform_matches
+from touchline.operators.transform import extract_teams, transform_matches
 from touchline.schema import HIGH_SCORE_THRESHOLD
-from touchline.sources.feed import (
-    league_scope, read_matches_json, season_scope, unreadable_responses)
+from touchline.sources.feed import league_scope, read_matches_json, season_scope
 from touchline.sources.scratch import Scratch
-from touchline.sources.store import MatchStore
+from touchline.sources.store import MatchStore, load_facts
 
 
 @dataclass(frozen=True)
@@ -31,18 +31,26 @@ def run(raw: DataFrame, store: MatchStore, league: str | None = None, season: in
     """Transform and load raw matches; a run without matches writes nothing."""
     scoped = season_scope(league_scope(raw, league), season)
     with Scratch(store.spark, "run") as scratch:
-        matches = scratch.materialize(transform_matches(scoped, threshold), "matches")
-        if matches.isEmpty():
+        # Counted by the tasks that write; the set has one entry per league.
+        leagues = F.size(F.collect_set("competition_code"))
+        matches, facts = scratch.materialize_observed(
+            transform_matches(scoped, threshold), "matches", {**load_facts(), "leagues": leagues})
+        if not facts["rows"]:
             return RunResult()
-        teams = scratch.materialize(extract_teams(matches), "teams")
-        counts = run_summary(matches, teams).first()
-        inserted = store.load_written(matches, teams, load_id)
-    return RunResult(counts["matches"], counts["teams"], counts["competitions"], inserted)
+        teams, found = scratch.materialize_observed(
+            extract_teams(matches), "teams", {"teams": F.count("*")})
+        inserted = store.load_written(matches, teams, load_id, facts)
+    return RunResult(facts["rows"], found["teams"], facts["leagues"], inserted)
 
 
 def run_landed(paths: str | list[str], store: MatchStore, multi_line: bool = False,
-               **options) -> RunResult:
-    """``run`` over landed responses; those that cannot be read are counted."""
-    unreadable = unreadable_responses(store.spark, paths, multi_line).count()
-    result = run(read_matches_json(store.spark, paths, multi_line), store, **options)
-    return replace(result, unreadable=unreadable)
+               by_league: bool = False, **options) -> RunResult:
+    """``run`` over landed responses; those that cannot be read are counted as they are read.
+
+    With ``by_league`` the files lie under ``league=<code>`` folders, and a run of one
+    league opens only its own.
+    """
+    bad = Observation()
+    league = options.get("league") if by_league else None
+    raw = read_matches_json(store.spark, paths, multi_line, league=league, bad=bad)
+    return replace(run(raw, store, **options), unreadable=bad.get["unreadable"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.rounding import percent, ratio
+from touchline.functions.rounding import mean, percent
 from touchline.operators.appearances import appearances, goal_lines
 from touchline.plans.goals import (
     best_attacks,
@@ -69,7 +69,7 @@ def outcome_rates(tables: MatchTables) -> DataFrame:
         percent(wins, n).alias("home_win_pct"),
         percent(losses, n).alias("away_win_pct"),
         percent(draws, n).alias("draw_pct"),
-        ratio(F.sum("total_goals"), n).alias("avg_goals_per_game"),
+        mean("total_goals").alias("avg_goals_per_game"),
     )
 
 

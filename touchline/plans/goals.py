@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.calendar import month_name
-from touchline.functions.rounding import ratio
+from touchline.functions.rounding import mean
 from touchline.operators.appearances import appearances, goal_lines
 from touchline.tables import MatchTables
 
@@ -15,17 +15,16 @@ MIN_PLAYED = 5
 
 def venue_averages(rows: DataFrame) -> DataFrame:
     """Per team: goals, games and average goals, in all, at home and away."""
-    goals, games = F.sum("gf"), F.count("gf")
     home, away = F.col("venue") == "home", F.col("venue") == "away"
 
     def mean_where(side):
-        return ratio(F.sum(F.when(side, F.col("gf"))), F.count(F.when(side, F.col("gf"))))
+        return mean(F.when(side, F.col("gf")))
 
     return rows.groupBy("team_id").agg(
-        ratio(goals, games).alias("avg_goals"),
+        mean("gf").alias("avg_goals"),
         mean_where(home).alias("avg_home"),
         mean_where(away).alias("avg_away"),
-        goals.alias("total_goals"),
+        F.sum("gf").alias("total_goals"),
         F.count("*").alias("played"),
     )
 
@@ -47,9 +46,10 @@ def top_scoring_teams(tables: MatchTables, code: str | None = None, limit: int =
 
 def monthly_goals(facts: DataFrame) -> DataFrame:
     """Matches and goals per calendar month, all years together."""
-    n, goals = F.count("*"), F.sum("total_goals")
     return facts.groupBy(F.col("match_month").alias("month")).agg(
-        n.alias("matches"), ratio(goals, n).alias("avg_goals"), goals.alias("total_goals")
+        F.count("*").alias("matches"),
+        mean("total_goals").alias("avg_goals"),
+        F.sum("total_goals").alias("total_goals"),
     )
 
 
@@ -121,15 +121,14 @@ def clean_sheet_leaders(tables: MatchTables, code: str | None = None,
 
 def efficiency_matrix(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Goals for and against and points per game, per team and competition."""
-    n = F.count("*")
     per_team = (
         appearances(tables, code)
         .groupBy("team_id", "competition")
         .agg(
-            n.alias("played"),
-            ratio(F.sum("gf"), n).alias("goals_for_pg"),
-            ratio(F.sum("ga"), n).alias("goals_against_pg"),
-            ratio(F.sum("points"), n).alias("points_pg"),
+            F.count("*").alias("played"),
+            mean("gf").alias("goals_for_pg"),
+            mean("ga").alias("goals_against_pg"),
+            mean("points").alias("points_pg"),
         )
         .filter(F.col("played") >= MIN_PLAYED)
     )

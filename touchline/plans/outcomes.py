@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.rounding import percent, ratio
+from touchline.functions.rounding import mean, percent
 from touchline.operators.appearances import appearances
 from touchline.operators.ranking import rank_within
 from touchline.tables import MatchTables
@@ -25,7 +25,7 @@ def summary(tables: MatchTables, code: str | None = None) -> DataFrame:
     facts = tables.in_league(tables.facts, code)
     return facts.agg(
         n.alias("matches"),
-        ratio(F.sum("total_goals"), n).alias("avg_goals"),
+        mean("total_goals").alias("avg_goals"),
         percent(F.sum("home_win"), n).alias("home_win_pct"),
         percent(F.sum("away_win"), n).alias("away_win_pct"),
         percent(F.sum("is_draw"), n).alias("draw_pct"),
@@ -136,7 +136,7 @@ def home_away_splits(tables: MatchTables, code: str | None = None) -> DataFrame:
             percent(F.sum("home_win"), n).alias("home_win_pct"),
             percent(F.sum("away_win"), n).alias("away_win_pct"),
             percent(F.sum("is_draw"), n).alias("draw_pct"),
-            ratio(F.sum("total_goals"), n).alias("avg_goals"),
+            mean("total_goals").alias("avg_goals"),
         )
         .orderBy("competition")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.rounding import percent, population_stdev, ratio, ratio_minus_rounded
+from touchline.functions.rounding import (
+    folded_mean, percent, population_stdev, ratio, ratio_minus_rounded, with_known)
 from touchline.operators.appearances import appearances, goal_lines
 from touchline.operators.ranking import rank_within
 from touchline.operators.slices import after_loss, rest_totals, running_points
@@ -29,7 +30,10 @@ def rest_band(days: Column) -> Column:
 
 def schedule_density(tables: MatchTables, code: str | None = None) -> DataFrame:
     """Results on little and on much rest, per competition."""
-    by_band = rest_totals(appearances(tables, code), rest_band, "rest_band", "w", "d", "gf")
+    games = appearances(tables, code).withColumn("won_points", F.col("w") * 3 + F.col("d"))
+    measures = ["won_points", "gf"]
+    by_band = rest_totals(with_known(games, *measures), rest_band, "rest_band", "w", *measures,
+                          *[f"known_{name}" for name in measures])
     n = F.sum("games")
     return (
         tables.in_league(by_band)
@@ -37,8 +41,8 @@ def schedule_density(tables: MatchTables, code: str | None = None) -> DataFrame:
         .agg(
             n.alias("matches"),
             percent(F.sum("w"), n).alias("win_pct"),
-            ratio(F.sum("w") * 3 + F.sum("d"), n).alias("ppg"),
-            ratio(F.sum("gf"), n).alias("avg_goals_for"),
+            folded_mean("won_points").alias("ppg"),
+            folded_mean("gf").alias("avg_goals_for"),
         )
         .orderBy("competition", "rest_band")
     )
@@ -77,8 +81,10 @@ def competitive_balance(tables: MatchTables, code: str | None = None) -> DataFra
     """Spread of cumulative points over the teams of a league, game by game."""
     # DECIMAL sums: squares of a long history's points pass the range of BIGINT.
     points = F.col("cumulative_points").cast("decimal(18,0)")
+    games = appearances(tables, code).select(
+        "competition_id", "team_id", "match_date", "match_id", "points")
     spread = (
-        running_points(appearances(tables, code))
+        running_points(games)
         .groupBy("competition_id", "matchweek")
         .agg(
             F.count("*").alias("teams"),
@@ -162,7 +168,8 @@ def opponent_grade(tables: MatchTables, code: str | None = None) -> DataFrame:
 
 def defensive_solidity(tables: MatchTables, code: str | None = None,
                        limit: int = 10) -> DataFrame:
-    """Goals conceded and clean sheets against the best and the worst attacks.
+    """Goals conceded and clean sheets against the best and the worst attacks, over the
+    games whose score is known; ``games_vs_top`` counts all.
 
     Games are folded per pairing before the tiers are joined, so an opponent
     with very many games is one row per pairing there.
@@ -180,9 +187,9 @@ def defensive_solidity(tables: MatchTables, code: str | None = None,
         graded.groupBy("team_id", "competition")
         .agg(
             total(top, "games").alias("games_vs_top"),
-            ratio(total(top, "conceded"), total(top, "games")).alias("conceded_vs_top"),
-            ratio(total(bottom, "conceded"), total(bottom, "games")).alias("conceded_vs_bottom"),
-            percent(total(top, "blanks"), total(top, "games")).alias("clean_sheet_pct_vs_top"),
+            ratio(total(top, "conceded"), total(top, "known")).alias("conceded_vs_top"),
+            ratio(total(bottom, "conceded"), total(bottom, "known")).alias("conceded_vs_bottom"),
+            percent(total(top, "blanks"), total(top, "known")).alias("clean_sheet_pct_vs_top"),
         )
         .filter(F.col("games_vs_top") >= MIN_VS_TOP)
     )

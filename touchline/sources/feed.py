@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,40 +14,60 @@ from touchline.sources.paths import exists
 CORRUPT = "_unreadable"
 
 
-def _responses(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
-    kept = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(kept)
-        .option("multiLine", multi_line)
+#: A response with its own text where it is not valid JSON.
+KEPT = T.StructType([*ENVELOPE.fields, T.StructField(CORRUPT, T.StringType())])
+_LEAGUE = T.StructField("league", T.StringType())
+
+
+def _responses(spark: SparkSession, paths: str | list[str], multi_line: bool,
+               league: str | None = None) -> DataFrame:
+    """Landed responses; of those under ``league=<code>`` folders one league's alone, if
+    named: the folder is a partition, so no file of another league is listed for reading."""
+    read = spark.read.schema(T.StructType([*KEPT.fields, _LEAGUE]) if league else KEPT)
+    rows = (
+        read.option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(paths)
     )
+    return rows.filter(F.col("league") == league).drop("league") if league else rows
+
+
+def unreadable(responses: DataFrame) -> Column:
+    """Whether a response is not valid JSON."""
+    # Spark wants another column to be read beside the unreadable text.
+    return F.col(CORRUPT).isNotNull() & (F.coalesce(F.size(responses["matches"]), F.lit(0)) >= -1)
 
 
 def unreadable_responses(spark: SparkSession, paths: str | list[str],
                          multi_line: bool = False) -> DataFrame:
     """``file`` and ``response`` of every response that is not valid JSON."""
-    return (
-        _responses(spark, paths, multi_line)
-        # Spark wants another column to be read beside the unreadable text.
-        .filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.size("matches"), F.lit(0)) >= -1))
-        .select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("response"))
-    )
+    return unreadable_of(_responses(spark, paths, multi_line))
+
+
+def unreadable_of(responses: DataFrame) -> DataFrame:
+    """``file`` and ``response`` of the unreadable ones among read responses."""
+    return responses.filter(unreadable(responses)).select(
+        F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("response"))
 
 
 def read_matches_json(spark: SparkSession, paths: str | list[str], multi_line: bool = False,
-                      strict: bool = False, codes: Iterable[str] = ()) -> DataFrame:
+                      strict: bool = False, codes: Iterable[str] = (),
+                      league: str | None = None, bad: Observation | None = None) -> DataFrame:
     """Matches of all responses, each with its position in the feed.
 
     One response per line splits across tasks; pretty-printed files need
     ``multi_line`` and are read one file per task. An unreadable response
     yields no matches and does not fail the rest, see ``unreadable_responses``;
-    with ``strict`` it is an error.
+    with ``strict`` it is an error. ``league`` reads the files under ``league=<code>``
+    alone. ``bad`` counts the unreadable responses (``unreadable``) in the pass that reads.
     """
-    if strict and (bad := unreadable_responses(spark, paths, multi_line).count()):
-        raise ValueError(f"{bad} unreadable responses")
-    return unpack_responses(_responses(spark, paths, multi_line), codes)
+    if strict and (lost := unreadable_responses(spark, paths, multi_line).count()):
+        raise ValueError(f"{lost} unreadable responses")
+    responses = _responses(spark, paths, multi_line, league)
+    if bad is not None:
+        responses = responses.observe(bad, F.count_if(unreadable(responses)).alias("unreadable"))
+    return unpack_responses(responses, codes)
 
 
 def unpack_responses(responses: DataFrame, codes: Iterable[str] = ()) -> DataFrame:

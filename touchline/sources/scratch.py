@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from touchline.sources.paths import remove
 
@@ -48,6 +49,24 @@ class Scratch:
     def materialize(self, rows: DataFrame, name: str) -> DataFrame:
         return write_and_read(rows, f"{self.path}/{name}")
 
+    def materialize_observed(self, rows: DataFrame, name: str,
+                             values: dict[str, Column]) -> tuple[DataFrame, dict]:
+        """``materialize`` with aggregates of the rows from the same pass."""
+        path = f"{self.path}/{name}"
+        facts = observed_write(rows, values, lambda frame: frame.write.parquet(path))
+        return rows.sparkSession.read.schema(rows.schema).parquet(path), facts
+
+
+def observed_write(rows: DataFrame, values: dict[str, Column], write: Callable[[DataFrame], None]) -> dict:
+    """Write rows and return aggregates of what was written, without another job.
+
+    They are gathered by the tasks that write, after the last shuffle, so a task that is
+    run again counts once.
+    """
+    seen = Observation()
+    write(rows.observe(seen, *[value.alias(name) for name, value in values.items()]))
+    return seen.get
+
 
 def write_and_read(rows: DataFrame, path: str) -> DataFrame:
     """Write rows once and read them back, so that several steps can use them

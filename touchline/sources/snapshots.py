@@ -79,6 +79,14 @@ def latest_snapshots(spark: SparkSession, base: str,
     return last.select("league", "last.snapshot_date", "last.batch")
 
 
+def read_snapshots(spark: SparkSession, base: str, name: str, chosen: DataFrame) -> DataFrame:
+    """A table's rows in the chosen snapshots (league, snapshot_date, batch), with ``league``."""
+    # One row per league: while that is small, Spark broadcasts it and prunes
+    # other snapshots from the scan.
+    rows = _read(spark, base, name).join(chosen, ["league", "snapshot_date", "batch"], "left_semi")
+    return rows.drop("snapshot_date", "batch")
+
+
 def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str] = LEAGUE_ORDER,
                           order: Iterable[str] = LEAGUE_ORDER) -> dict[str, DataFrame]:
     """Latest competitions, teams and wide matches of each league that has any.
@@ -91,13 +99,8 @@ def read_league_snapshots(spark: SparkSession, base: str, leagues: Iterable[str]
     if latest.isEmpty():
         raise FileNotFoundError(f"No league snapshots under {base} for {list(leagues)}")
 
-    def newest(name: str) -> DataFrame:
-        # One row per league: while that is small, Spark broadcasts it and
-        # prunes older snapshots from the scan.
-        rows = _read(spark, base, name).join(latest, ["league", "snapshot_date", "batch"], "left_semi")
-        return rank_leagues(rows.drop("snapshot_date", "batch"), tuple(order))
-
-    return {name: newest(name) for name in _SCHEMAS}
+    return {name: rank_leagues(read_snapshots(spark, base, name, latest), tuple(order))
+            for name in _SCHEMAS}
 
 
 def read_merged(spark: SparkSession, base: str, leagues: Iterable[str] = LEAGUE_ORDER,

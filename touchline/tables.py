@@ -29,7 +29,8 @@ class MatchTables:
 
     @classmethod
     def from_wide(cls, competitions: DataFrame, teams: DataFrame, wide: DataFrame) -> MatchTables:
-        measured = wide.filter(F.col("total_goals").isNotNull())
+        # A match with unknown goals may still have metrics.
+        measured = wide.filter(F.coalesce("total_goals", "home_win").isNotNull())
         return cls(
             competitions=competitions,
             teams=teams,
