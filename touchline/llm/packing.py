@@ -3,12 +3,12 @@
 Documents become pieces of at most ``capacity`` tokens. How pieces fill sequences depends
 on their lengths alone, so the search works on the number of pieces of each length, a
 table of at most ``capacity`` rows whatever the size of the corpus. It repeats: take the
-largest length left, enumerate the undominated fillings of the room beside it, and use a
-filling as many times as the counts allow. Branches are cut by their waste: a branch is
-left when the sequences used, plus the least that the rest needs, can't be fewer than the
-incumbent's. Best-fit decreasing gives the first incumbent, and the search ends at once
+largest length left, enumerate all undominated fillings of the room beside it, and use one
+of them some number of times. Branches are cut by their waste: a filling may leave no more
+room than sequences fewer than the incumbent's have in all. Best-fit decreasing gives the
+first incumbent, best fit from inside the search gives others, and the search ends at once
 when an incumbent meets the lower bound. ``nodes`` bounds the search, not the data: when
-it runs out the incumbent stands, and it is complete.
+it runs out the incumbent stands, a packing of all pieces.
 
 The plan says which length sits where in how many like sequences. Pieces of one length
 are interchangeable, so each is dealt a place by its rank among those of its length. Ranks
@@ -20,7 +20,7 @@ repeated rows are packed one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
@@ -33,8 +33,8 @@ from touchline.llm.shared import internal, materialize, slices
 from touchline.llm.tokens import encode_texts
 
 CAPACITY, END_ID = 2048, 0
-#: Steps of the search, and fillings that are tried for one largest length.
-NODES, BRANCHES = 3_000, 4
+#: Steps of the search: branches that are opened, and steps of enumerating fillings.
+NODES = 200_000
 
 PIECE_SCHEMA = ("id long, piece int, start long, length long, ids binary, part int, rank long")
 
@@ -62,7 +62,6 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]
     open_: dict[int, Counter] = {}
     closed: Counter = Counter()
     rooms: list[int] = []
-    from bisect import bisect_left, insort
 
     def put(filling, room, k):
         if room == 0:
@@ -105,96 +104,137 @@ def best_fit(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]
     return [*closed.items(), *[(f, k) for group in open_.values() for f, k in group.items()]]
 
 
-def fillings(counts: Counter, room: int, limit: int, tries: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, the fullest first.
+def reachable(lengths: list[int], counts: Counter, room: int) -> list[int]:
+    """For each place in ``lengths`` the totals up to ``room`` that parts from there on can
+    make, as the bits of a number."""
+    out, whole = [1], (1 << (room + 1)) - 1
+    for n in reversed(lengths):
+        bits, left, step = out[-1], min(counts[n], room // n), 1
+        while left:  # 1, 2, 4, ... parts at once, then the rest
+            k = min(step, left)
+            bits |= bits << (n * k) & whole
+            left, step = left - k, step * 2
+        out.append(bits)
+    return out[::-1]
 
-    Fillings are enumerated with the largest lengths first. One is dominated when a part
-    could be swapped for a larger one that still fits; those have room for no swap first.
+
+def fillings(counts: Counter, room: int, waste: int, budget: list[int]):
+    """(waste, parts) of the undominated fillings of a room that leave at most ``waste``, the
+    fullest first, and among those as full the ones with the largest parts first. Each step
+    of the enumeration takes one from ``budget[0]``; it ends when that is used up.
+
+    A filling is dominated, and left out, when one of its parts could be swapped for a larger
+    one, or two for one that is as long or longer, within the space it leaves.
     """
     lengths = sorted((n for n, k in counts.items() if k and n <= room), reverse=True)
+    reach = reachable(lengths, counts, room)
     rising = lengths[::-1]
-    found: dict[tuple[int, ...], int] = {}
-    budget = [tries]
 
-    def extend(filling, room_left, at):
-        if budget[0] <= 0 or (found and max(found.values()) == room and len(found) >= limit):
+    def free(low: int, high: int, own: Counter, without=()) -> bool:
+        """Whether a part of a length in low..high is left."""
+        for m in rising[bisect_left(rising, low):bisect_right(rising, high)]:
+            if counts[m] - own[m] + without.count(m) > 0:
+                return True
+        return False
+
+    def dominated(filling: tuple[int, ...], spare: int) -> bool:
+        own = Counter(filling)
+        if spare and any(free(n + 1, n + spare, own) for n in own):
+            return True
+        parts = list(own)
+        return any(free(a + b, a + b + spare, own) for i, a in enumerate(parts) for b in parts[i:]
+                   if a != b or own[a] > 1)
+
+    def exact(k: int, left: int, chosen: list[int]):
+        if not left:
+            yield tuple(chosen)
             return
-        budget[0] -= 1
-        grown = False
-        # Exact end: a single length that fills the room beats any smaller one.
-        while at < len(lengths) and lengths[at] > room_left:
-            at += 1
-        for k in range(at, len(lengths)):
+        while k < len(lengths) and budget[0] > 0 and reach[k] >> left & 1:
+            budget[0] -= 1
             n = lengths[k]
-            if counts[n] - filling.count(n) <= 0:
-                continue
-            grown = True
-            extend(filling + (n,), room_left - n, k)
-            if budget[0] <= 0:
-                break
-        if not grown:
-            found[filling] = room - room_left
-
-    extend((), room, 0)
-    kept = []
-    for filling in sorted(found, key=lambda f: (-found[f], len(f), [-n for n in f])):
-        spare, own = room - found[filling], Counter(filling)
-        dominated = False
-        for n in own if spare else ():
-            at = bisect_right(rising, n)
-            swap = next((m for m in rising[at:] if counts[m] - own[m] > 0), None)
-            if swap is not None and swap - n <= spare:
-                dominated = True
-                break
-        if not dominated:
-            kept.append(filling)
-        if len(kept) >= limit:
-            break
-    return kept
+            if n <= left and counts[n] > chosen.count(n):
+                chosen.append(n)
+                yield from exact(k, left - n, chosen)
+                chosen.pop()
+            k += 1
+
+    for spare in range(min(waste, room) + 1):
+        if budget[0] <= 0:
+            return
+        for filling in exact(0, room - spare, []):
+            if not dominated(filling, spare):
+                yield spare, filling
 
 
 def complete(counts: Counter, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with how often each is used: as few sequences as the search finds."""
+    """Fillings with how often each is used: as few sequences as the search finds.
+
+    A branch takes the largest length left, one of all undominated fillings around it, and
+    one number of times to use it, the most first; fillings of one length are taken in their
+    order, so no plan is met twice. Without the limit of ``nodes`` the search is complete.
+    """
     counts = Counter({n: k for n, k in counts.items() if k})
     if not counts:
         return []
     fewest = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     size = sum(k for _, k in best)
-    # Depth first; each entry: counts left, plan so far, sequences used, its length left.
-    stack = [(counts, None, 0, sum(n * k for n, k in counts.items()))]
-    while stack and size > fewest and nodes > 0:
-        nodes -= 1
-        left, plan, used, length = stack.pop()
-        if used + -(-length // capacity) >= size:
-            continue
-        if not left:
-            best, size = [], used
-            while plan:
-                plan, step = plan
-                best.append(step)
-            continue
+    budget = [nodes]
+
+    def branches(left: Counter, used: int, length: int, after):
+        """Children of a node: (filling with its largest, times, key for the order)."""
         largest = max(left)
         rest = left.copy()
         rest[largest] -= 1
-        options = fillings(rest, capacity - largest, BRANCHES) or [()]
-        for filling in reversed(options):
+        allowed = (size - 1 - used) * capacity - length  # waste that still beats the incumbent
+        if allowed < 0:
+            return
+        for spare, filling in fillings(rest, capacity - largest, allowed, budget):
+            key = (largest, spare, tuple(-n for n in filling))
+            if after is not None and after[0] == largest and key <= after:
+                continue
             own = Counter((largest, *filling))
-            times = min(left[n] // k for n, k in own.items())
-            after = left.copy()
-            for n, k in own.items():
-                after[n] -= k * times
-                if not after[n]:
-                    del after[n]
-            fill = sum(own.elements())
-            stack.append((after, (plan, ((largest, *filling), times)), used + times, length - fill * times))
-        if nodes % 50 == 0:  # best-fit from here may already be better
-            tail = best_fit(left, capacity)
-            if used + sum(k for _, k in tail) < size:
-                best, size = tail, used + sum(k for _, k in tail)
-                while plan:
-                    plan, step = plan
-                    best.append(step)
+            most = min(left[n] // k for n, k in own.items())
+            for times in range(most, 0, -1):
+                if spare * times <= (size - 1 - used) * capacity - length:
+                    yield (largest, *filling), times, key
+
+    def beaten(plan) -> list:
+        out = []
+        while plan:
+            plan, step = plan
+            out.append(step)
+        return out
+
+    total = sum(n * k for n, k in counts.items())
+    stack = [(counts, 0, total, None, branches(counts, 0, total, None))]
+    visited = 0
+    while stack and size > fewest and budget[0] > 0:
+        left, used, length, plan, children = stack[-1]
+        step = next(children, None)
+        if step is None:
+            stack.pop()
+            continue
+        budget[0] -= 1
+        filling, times, key = step
+        after = left.copy()
+        for n in filling:
+            after[n] -= times
+        after = Counter({n: k for n, k in after.items() if k})
+        now, rest, trail = used + times, length - sum(filling) * times, (plan, (filling, times))
+        if now + -(-rest // capacity) >= size:
+            continue
+        if not after:
+            best, size = beaten(trail), now
+            continue
+        visited += 1
+        if visited % 20 == 1:  # best fit from here may already be better
+            tail = best_fit(after, capacity)
+            found = now + sum(k for _, k in tail)
+            if found < size:
+                best, size = beaten(trail) + tail, found
+                continue
+        stack.append((after, now, rest, trail, branches(after, now, rest, key)))
     return best
 
 

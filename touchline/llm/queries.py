@@ -68,6 +68,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op8_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a notice at its end that is wrapped over lines."""
+    docs = license_scan.wrapped(documents(spark, sf_dir))
+    return license_scan.scan(docs).withColumnRenamed("id", "doc_id")
+
+
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations, written as replies that quote, are linked and freed of quotes."""
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -97,7 +103,9 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_token_files, op3_imatch, op4_bwt_dedup, op5_suffix_quality, op6_byte_bpe, op7_simhash,
-    op8_license_scan, op9_quote_linking, op10_packing, op11_source_audit, op12_token_alignment,
+    op8_license_scan, op8_license_scan_wrapped, op9_quote_linking, op10_packing, op11_source_audit, op12_token_alignment,
     op13_exact_dedup)}
-ORACLES = {"op8_license_scan": license_scan.oracle(), "op9_quote_linking": quote_linking.ORACLE,
+ORACLES = {"op8_license_scan": license_scan.oracle(),
+           "op8_license_scan_wrapped": license_scan.oracle(source=license_scan.wrapped_sql()),
+           "op9_quote_linking": quote_linking.ORACLE,
            "op11_source_audit": source_audit.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from touchline.llm.tokens import byte_level_table, encoder
 
 #: Text bytes in a block, and in a step of its making.
 BLOCK, STEP = 8 << 20, 1 << 20
-#: Parts that a worker remembers; half of them are older ones.
-REMEMBERED = 300_000
+#: Parts, and their characters, that a worker remembers; half of them are older ones.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -75,13 +75,45 @@ def links(a_start, a_end, b_start, b_end):
     return a, np.arange(a.size) + first
 
 
-class Part:
-    """What a part of a text comes to; ``pairs`` holds A ids and B ids in one number."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "pairs", "text")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, pairs: np.ndarray, text: str):
-        self.n_a, self.n_b, self.n_groups, self.pairs, self.text = n_a, n_b, n_groups, pairs, text
+def runs_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, given where each begins and how long it is."""
+    if not size.size:
+        return np.zeros(0, np.int64)
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+class Parts:
+    """Parts of texts with what they come to: tokens of A and of B, groups and links
+    (``figures``, a row of -1 where the tokens don't give the bytes back), the id pairs of the
+    links (A's and B's id in one number), and the groups as text."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.text: list[str] = []
+        self.chars = self.n_links = 0
+        self.figures = np.zeros((1024, 4), np.int64)
+        self.ends = np.zeros(1025, np.int64)
+        self.links = np.zeros(4096, np.int64)
+
+    def add(self, parts: list[str], figures: np.ndarray, links: np.ndarray, text: list[str]) -> None:
+        known, more = len(self.text), len(parts)
+        while known + more > len(self.figures):
+            self.figures = np.concatenate([self.figures, np.zeros_like(self.figures)])
+            self.ends = np.concatenate([self.ends, np.zeros(self.ends.size - 1, np.int64)])
+        while self.n_links + links.size > self.links.size:
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.figures[known:known + more] = figures
+        self.ends[known + 1:known + more + 1] = self.n_links + np.cumsum(np.maximum(figures[:, 3], 0))
+        self.links[self.n_links:self.n_links + links.size] = links
+        self.n_links += links.size
+        self.number.update(zip(parts, range(known, known + more)))
+        self.text += text
+        self.chars += sum(map(len, parts))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        figures = self.figures[at]
+        links = self.links[runs_of(self.ends[at], np.maximum(figures[:, 3], 0))]
+        return figures, links, list(map(self.text.__getitem__, at.tolist()))
 
 
 class Aligner:
@@ -108,9 +140,10 @@ class Aligner:
         self.cut = not any("▁" in p.lstrip("▁") or "\n" in p for p in plain)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.decimal = [str(k) for k in range(max(len(self.a_bytes), self.n_b))]
-        self.new: dict[str, Part | None] = {}
-        self.old: dict[str, Part | None] = {}
+        # Ids as text with the sign before them.
+        self.n_ids = max(len(self.a_bytes), self.n_b)
+        self.signed = [sign + str(k) for sign in ";|," for k in range(self.n_ids)]
+        self.new, self.old = Parts(), Parts()
 
     def split(self, text: str) -> list[str]:
         """The parts of a space and the text."""
@@ -129,69 +162,74 @@ class Aligner:
                 out[k] = out[k][1:]
         return out
 
-    def find(self, parts: list[str]) -> list[Part | None]:
-        """Each part, None for one whose tokens don't give its bytes back."""
-        if len(self.new) > REMEMBERED // 2:
-            self.old, self.new = self.new, {}
-        missing = []
-        for p in parts:
-            if p not in self.new:
-                if p in self.old:
-                    self.new[p] = self.old[p]
-                else:
-                    self.new[p] = None
-                    missing.append(p)
+    def find(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Figures, links and text of the parts (distinct ones), one after the other."""
+        if len(self.new.text) > REMEMBERED // 2 or self.new.chars > REMEMBERED_CHARS:
+            self.old, self.new = self.new, Parts()
+        number = self.new.number
+        missing = [p for p in parts if p not in number]
+        again = [p for p in missing if p in self.old.number]
+        if again:
+            self.new.add(again, *self.old.take(np.fromiter(
+                map(self.old.number.__getitem__, again), np.int64, len(again))))
+            missing = [p for p in missing if p not in number]
         for at in range(0, len(missing), 20_000):
-            self._settle(missing[at:at + 20_000])
-        found = [self.new[p] for p in parts]
-        for p in missing:
-            if len(p) > 1_000:  # whole texts are not remembered
-                del self.new[p]
-        return found
-
-    def _settle(self, parts: list[str]) -> None:
+            self.new.add(missing[at:at + 20_000], *self._settle(missing[at:at + 20_000]))
+        return self.new.take(np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))
+
+    def _settle(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Encode parts and coalesce their tokens."""
+        wanted = [p.encode() for p in parts]
+        size = np.fromiter(map(len, wanted), np.int64, len(wanted))
         a_ids, a_count = self.a.encode_many(parts)
+        a_ids = a_ids.astype(np.int64)
         b_lists = self._encode_b(parts)
-        a_lists = np.split(a_ids.astype(np.int64), np.cumsum(a_count)[:-1])
-        good = []
-        for k, p in enumerate(parts):
-            want = p.encode()
-            if (b"".join(map(self.a_bytes.__getitem__, a_lists[k].tolist())) == want
-                    and b"".join(map(self.b_bytes.__getitem__, b_lists[k])) == want):
-                good.append(k)
-        if not good:
-            return
-        a_count = np.array([a_lists[k].size for k in good], np.int64)
-        b_count = np.array([len(b_lists[k]) for k in good], np.int64)
-        a_ids = np.concatenate([a_lists[k] for k in good])
-        b_ids = np.fromiter(chain.from_iterable(b_lists[k] for k in good), np.int64, int(b_count.sum()))
+        b_count = np.fromiter(map(len, b_lists), np.int64, len(b_lists))
+        b_ids = np.fromiter(chain.from_iterable(b_lists), np.int64, int(b_count.sum()))
+        good = self._give_back(wanted, size, a_ids, a_count, self.a_bytes, self.a_size)
+        good &= self._give_back(wanted, size, b_ids, b_count, self.b_bytes, self.b_size)
+        figures = np.full((len(parts), 4), -1, np.int64)
+        if not good.all():
+            a_ids, b_ids = a_ids[np.repeat(good, a_count)], b_ids[np.repeat(good, b_count)]
+            a_count, b_count = a_count[good], b_count[good]
+        n = a_count.size
         # Parts follow one another: both tokenizers tile them one after the other.
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         a_start, b_start = a_end - self.a_size[a_ids], b_end - self.b_size[b_ids]
         order, group = coalesce(a_start, a_end, b_start, b_end)
-        ids = np.concatenate([a_ids, b_ids])[order]
-        is_b = order >= a_ids.size
-        part = np.repeat(np.concatenate([np.arange(len(good))] * 2), np.concatenate([a_count, b_count]))[order]
+        part = np.repeat(np.concatenate([np.arange(n)] * 2), np.concatenate([a_count, b_count]))[order]
         # As text: groups in order, A's ids before B's.
+        is_b = order >= a_ids.size
         line = np.lexsort((is_b, group))
-        kind, of, who = is_b[line], group[line], ids[line].tolist()
+        kind, of, who = is_b[line], group[line], np.concatenate([a_ids, b_ids])[order][line]
         first = np.ones(line.size, bool)
         first[1:] = of[1:] != of[:-1]
         turn = np.zeros(line.size, bool)
         turn[1:] = kind[1:] & ~kind[:-1]
-        sign = np.where(first, 0, np.where(turn, 1, 2)).tolist()
-        words = [";|,"[s] + self.decimal[k] for s, k in zip(sign, who)]
-        ends = np.cumsum(np.bincount(part[line], minlength=len(good))).tolist()
-        n_groups = np.bincount(part[line][first], minlength=len(good)).tolist()
+        sign = np.where(first, 0, np.where(turn, 1, 2))
+        words = list(map(self.signed.__getitem__, (sign * self.n_ids + who).tolist()))
+        ends = np.cumsum(a_count + b_count).tolist()
+        text = ["".join(words[at:end]) for at, end in zip([0, *ends], ends)]
         left, right = links(a_start, a_end, b_start, b_end)
-        pairs = (a_ids[left] * self.n_b + b_ids[right]).astype(np.uint64)
-        in_part = np.bincount(np.repeat(np.arange(len(good)), a_count)[left], minlength=len(good))
-        cuts = np.cumsum(in_part).tolist()
-        at = link = 0
-        for n, k in enumerate(good):
-            self.new[parts[k]] = Part(int(a_count[n]), int(b_count[n]), n_groups[n],
-                                      pairs[link:cuts[n]].copy(), "".join(words[at:ends[n]]))
-            at, link = ends[n], cuts[n]
+        n_links = np.bincount(np.repeat(np.arange(n), a_count)[left], minlength=n)
+        figures[good] = np.stack([a_count, b_count, np.bincount(part[line][first], minlength=n), n_links], axis=1)
+        if n < len(parts):
+            rest = iter(text)
+            text = [next(rest) if g else "" for g in good.tolist()]
+        return figures, a_ids[left] * self.n_b + b_ids[right], text
+
+    @staticmethod
+    def _give_back(wanted: list[bytes], size: np.ndarray, ids: np.ndarray, count: np.ndarray,
+                   entry: list[bytes], entry_size: np.ndarray) -> np.ndarray:
+        """Which parts are the bytes of their tokens."""
+        ends = np.cumsum(count)
+        total = np.concatenate([[0], np.cumsum(entry_size[ids])])
+        sizes_fit = total[ends] - total[ends - count] == size
+        found = list(map(entry.__getitem__, ids.tolist()))
+        if sizes_fit.all() and b"".join(found) == b"".join(wanted):
+            return sizes_fit
+        return np.array([b"".join(found[e - c:e]) == want for e, c, want in zip(
+            ends.tolist(), count.tolist(), wanted)])
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
@@ -205,7 +243,8 @@ class _Open:
 
     def __init__(self, own: Aligner):
         self.own, self.size = own, 0
-        self.numbers, self.parts = Numbers(), []
+        self.numbers = Numbers()
+        self.parts, self.links, self.text = [], [], []
         self.ids, self.null, self.figures, self.digests = [], [], [], []
         self.doc, self.part, self.times, self.n_docs = [], [], [], 0
 
@@ -215,30 +254,30 @@ class _Open:
         sizes = np.array([len(p) for p in split], np.int64)
         flat = list(chain.from_iterable(split))
         at = np.fromiter(map(self.numbers.__getitem__, flat), np.int64, len(flat))
-        if len(self.numbers) > len(self.parts):
-            fresh = list(self.numbers)[len(self.parts):]
-            self.parts += self.own.find(fresh)
-        ends = np.cumsum(sizes).tolist()
-        figures = np.zeros((len(texts), 4), np.int64)
-        known, first = [], 0
-        for k, last in enumerate(ends):
-            own = [self.parts[n] for n in at[first:last].tolist()]
-            good = bool(own) and None not in own
-            known.append(good)
-            if good:
-                # The digest's text begins without the sign before its first group.
-                self.digests.append(hashlib.sha256("".join([p.text for p in own])[1:].encode()).digest())
-                figures[k] = (sum([p.n_a for p in own]), sum([p.n_b for p in own]),
-                              sum([p.n_groups for p in own]), sum([p.pairs.size for p in own]))
-            else:
-                self.digests.append(b"")
+        if len(self.numbers) > len(self.text):
+            figures, links_, text = self.own.find(list(islice(self.numbers, len(self.text), None)))
+            self.parts.append(figures)
+            self.links.append(links_)
+            self.text += text
+            self.parts = [np.concatenate(self.parts)]
+        # A text counts when all its parts do.
+        value = self.parts[0][at] if flat else np.zeros((0, 4), np.int64)
+        totals = np.zeros((len(flat) + 1, 5), np.int64)
+        np.cumsum(np.column_stack([value, value[:, 0] < 0]), axis=0, out=totals[1:])
+        ends = np.cumsum(sizes)
+        sums = totals[ends] - totals[ends - sizes]
+        known = (sums[:, 4] == 0) & (sizes > 0)
+        self.figures.append(np.where(known[:, None], sums[:, :4], 0))
+        first, numbers, spell = 0, at.tolist(), self.text.__getitem__
+        for good, last in zip(known.tolist(), ends.tolist()):
+            # The digest's text begins without the sign before its first group.
+            self.digests.append(hashlib.sha256("".join(map(spell, numbers[first:last]))[1:].encode()).digest()
+                                if good else b"")
             first = last
-        self.figures.append(figures)
         self.null.append(piece.column("id").is_null().to_numpy(zero_copy_only=False))
         self.ids.append(piece.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        use = np.repeat(np.array(known, bool), sizes)
-        key, times = np.unique(doc[use] << 32 | at[use], return_counts=True)
+        use = np.repeat(known, sizes)
+        key, times = np.unique(np.repeat(np.arange(len(texts)), sizes)[use] << 32 | at[use], return_counts=True)
         self.doc.append((key >> 32) + self.n_docs)
         self.part.append(key & 0xFFFFFFFF)
         self.times.append(times)
@@ -248,18 +287,17 @@ class _Open:
     def row(self, number: int) -> pa.RecordBatch:
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         doc, part, times = join(self.doc), join(self.part), join(self.times)
-        # Parts of texts without tokens may have no pairs at all.
-        each = [np.zeros(0, np.uint64) if p is None else p.pairs for p in self.parts]
-        n_links = np.array([x.size for x in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        pairs, place = np.unique(flat, return_inverse=True)
+        n_links = np.maximum(join([p[:, 3] for p in self.parts]), 0)
+        pairs, place = np.unique(join(self.links), return_inverse=True)
         # Documents that hold a pair: one entry for each document and pair.
-        first = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int64)
+        first = np.cumsum(n_links) - n_links
         size = n_links[part]
-        here = np.arange(size.sum()) + np.repeat(first[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) \
-            if size.size else np.zeros(0, np.int64)
-        once = np.unique(np.repeat(doc, size) * max(pairs.size, 1) + place[here])
-        docs = np.bincount(once % max(pairs.size, 1), minlength=pairs.size)
+        width = max(pairs.size, 1)
+        once = np.repeat(doc, size) * width + place[runs_of(first[part], size)]
+        once.sort()
+        new = np.ones(once.size, bool)
+        new[1:] = once[1:] != once[:-1]
+        docs = np.bincount(once[new] % width, minlength=pairs.size)
         held = docs > 0
         rank = np.cumsum(held) - 1
         # Pairs only of texts without tokens are in no document: their links are never used.
@@ -374,8 +412,11 @@ def groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
         for piece in slices(batches, STEP):
             out = []
             for text in piece.column("text").to_pylist():
-                parts = own.find(own.split(text)) if text else [None]
-                out.append("" if None in parts else "".join(p.text for p in parts)[1:])
+                numbers = Numbers()
+                at = [numbers[p] for p in own.split(text)] if text else []
+                figures, _, spelled = own.find(list(numbers))
+                good = bool(at) and (figures[:, 0] >= 0).all()
+                out.append("".join([spelled[k] for k in at])[1:] if good else "")
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(out, pa.string())], ["id", "groups"])
 
     return internal(docs, id_col, text_col).select("id", "text").mapInArrow(spell, "id long, groups string")

@@ -190,14 +190,34 @@ def byte_level_table() -> dict[str, int]:
 
 
 def _by_ranks(ranks: dict[bytes, int], whole: Callable) -> Callable:
+    """Encode parts of byte-level BPE. Those that begin with white space and end with none can
+    follow one another in one text: what each encodes to is told by its bytes."""
     import tiktoken
 
     encode = tiktoken.Encoding("parts", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    width[list(ranks.values())] = [len(token) for token in ranks]
 
     def encode_many(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [encode(p) if len(p) <= LONG else whole(p).tolist() for p in parts]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((k for x in each for k in x), np.uint32, int(sizes.sum())), sizes
+        easy = np.fromiter((len(p) <= LONG and p[0] in " \n" and not p[-1].isspace() for p in parts), bool, len(parts))
+        sizes = np.zeros(len(parts), np.int64)
+        several = [p for p, e in zip(parts, easy.tolist()) if e]
+        ids = np.array(encode("".join(several)), np.uint32)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in several), np.int64, len(several)))
+        last = np.searchsorted(np.cumsum(width[ids]), ends) + 1
+        sizes[easy] = np.diff(last, prepend=0)
+        if len(several) == len(parts):
+            return ids, sizes
+        each = np.split(ids, last)
+        out, at = [], 0
+        for k, (p, e) in enumerate(zip(parts, easy.tolist())):
+            if e:
+                out.append(each[at])
+                at += 1
+            else:
+                out.append(whole(p) if len(p) > LONG else np.array(encode(p), np.uint32))
+                sizes[k] = out[-1].size
+        return np.concatenate(out), sizes
 
     return encode_many
 
