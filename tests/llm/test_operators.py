@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import brute
 from touchline.llm import (
@@ -166,7 +167,7 @@ def token_rows(frame):
 
 
 def test_token_file(docs, none):
-    own = tokens.tokenizer(WORDS)
+    own = Tokenizer.from_file(WORDS)
     want = Counter()
     for doc, text in texts():
         ids = own.encode(text or "", add_special_tokens=False).ids + [1]
@@ -278,7 +279,7 @@ def test_lexicon_counts_all_documents(docs):
 
 
 def test_packing(docs, none):
-    own = tokens.tokenizer(BPE)
+    own = Tokenizer.from_file(BPE)
     for capacity in (2048, 64):
         rows = packing.pack(docs, BPE, capacity=capacity).collect()
         want = brute.token_pieces(texts(), own, capacity)
@@ -292,7 +293,7 @@ def test_packing(docs, none):
                 assert offset == at
                 at += length
             assert at <= capacity
-        assert len(bins) <= -(-sum(r["length"] for r in rows) // capacity) + 1
+        assert len(bins) <= packing.lower_bound(Counter(r["length"] for r in rows), capacity) + 1
     assert packing.pack(none, BPE).collect() == []
 
 
@@ -310,6 +311,82 @@ def test_bin_completion_finds_the_fewest(seed):
     assert sum(t for _, t in plan) == brute.best_packing(lengths, 100)
 
 
+def test_search_beats_best_fit():
+    better = 0
+    for seed in range(300):
+        draw = random.Random(seed)
+        capacity = draw.choice([30, 60, 100])
+        lengths = Counter(draw.randint(max(1, capacity // 8), capacity * 6 // 10) for _ in range(draw.randint(5, 12)))
+        fewest = brute.best_packing(list(lengths.elements()), capacity)
+        assert sum(t for _, t in packing.complete(lengths, capacity)) == fewest
+        better += sum(t for _, t in packing.best_fit(lengths, capacity)) > fewest
+    assert better > 5
+    assert packing.complete(Counter([4, 4, 3, 3, 3, 3]), 10) == [((4, 3, 3), 2)]
+    assert len(packing.best_fit(Counter([4, 4, 3, 3, 3, 3]), 10)) == 3
+
+
+def test_fillings_are_the_undominated_ones():
+    draw = random.Random(4)
+    for _ in range(60):
+        room = draw.randint(5, 30)
+        counts = Counter(draw.randint(1, 12) for _ in range(draw.randint(1, 7)))
+        subsets = {()}
+        for n in counts.elements():
+            subsets |= {tuple(sorted((*s, n), reverse=True)) for s in subsets}
+        want = set()
+        for s in subsets:
+            spare = room - sum(s)
+            left = counts - Counter(s)
+            grows = any(n <= spare for n in left)
+            swaps = any(a < n <= a + spare for a in s for n in left)
+            joins = any(s[i] + s[j] <= n <= s[i] + s[j] + spare for i in range(len(s)) for j in range(i) for n in left)
+            if spare >= 0 and not (grows or swaps or joins):
+                want.add(s)
+        got = [f for _, f in packing.fillings(counts, room, room, [10**6])]
+        assert len(got) == len(set(got)) and want <= set(got)
+        # A filling that could grow is fuller in another place of the list.
+        assert all(any(n <= room - sum(f) for n in counts - Counter(f)) for f in set(got) - want)
+
+
+def test_encoders_are_as_the_library():
+    draw = random.Random(9)
+    pieces = ["a", "Z", " ", "  ", "\n", "\t", "é", "É", "ß", "İ", "ſ", "²", "½", "µ", "Œ", "'s", "'LL", "don't", "’", "“", "…", "€", "—",
+              "\u00a0", "\u3000", "\x1c", "\x85", "日本", "🙂", "1", "23", ".", ",", "<|endoftext|>", "<|startoftext|>", "word"]
+    some = ["".join(draw.choices(pieces, k=draw.randint(0, 25))) for _ in range(1500)]
+    some += [f"A{chr(c)} b{chr(c)}1 {chr(c)}x" for c in range(0x2100) if not 0xD800 <= c < 0xE000]
+    some += [" " * 5000, "a" * 5000, "é " * 3000, "end <|endoftext|> start"]
+    for path, spaces in ((WORDS, False), (BPE, True)):
+        for plain in (False, True):
+            library = tokens.tokenizer(path, plain)
+            own = tokens.encoder(path, spaces, plain)
+            for at in range(0, len(some), 300):
+                ids, bounds = tokens.encode_with(own, some[at:at + 300])
+                want = [library.encode(t, add_special_tokens=False).ids for t in some[at:at + 300]]
+                assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    assert Tokenizer.from_file(WORDS).encode(some[-1], add_special_tokens=False).ids == [806, 49407, 1572]
+
+
+FALSE_NOTICES = ["released under the Sony license in 1999",
+                 "the license of the band was released in may and the rest came under fire",
+                 "Licensed under the Mozilla Public License, Version 2.0"]
+
+
+def test_license_labels_need_their_telling_words(spark):
+    rows = list(enumerate(FALSE_NOTICES))
+    rows += [(10, "Licensed under a Creative Commons Attribution 4.0 International License."),
+             (11, "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+             (12, "This work is licensed under the GNU General Public License, version 3."),
+             (13, "licensed under the gnu affero general public license version 3"),
+             (14, FALSE_NOTICES[0] + "\n" + "x " * 400 + "licensed under the gnu lesser general public license")]
+    rows += [(100 + k, text) for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    rows += [(200 + k, (text + " ") * 3) for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    got = {r["id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(3)] == ["", "", ""]
+    assert [got[k] for k in range(10, 15)] == ["cc-by", "cc-by-sa", "gpl-3", "agpl-3", "lgpl"]
+    for k, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert got[100 + k] == got[200 + k] == label
+
+
 def test_license_scan(spark, none):
     rows = [(1, "Released under the MIT License."), (2, "the  mit-license and CC by NC, cc BY nc"), (3, None), (4, ""),
             (None, "Apache License Version 2"), (5, "This work is licensed under the GNU General Public License, version 3."),

@@ -6,10 +6,10 @@ from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.llm import brute
 from tests.llm.test_operators import BPE, SCHEMA, texts
-from touchline.llm import tokens
 
 
 def plain(docs):
@@ -44,7 +44,7 @@ def test_pipeline(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter(want)
     assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    pieces = brute.token_pieces(want, tokens.tokenizer(BPE))
+    pieces = brute.token_pieces(want, Tokenizer.from_file(BPE))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == Counter(pieces)
 
 

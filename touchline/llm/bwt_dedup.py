@@ -10,18 +10,24 @@ Equal strings of ``width`` bytes are found in three steps.
    segment of at most 2 * width - GRAM bytes. A bucket gets each distinct segment of its
    anchors once per chunk, aligned at the anchor, and works on them as a collection of
    documents: each round inserts one symbol per document, from the last column to the
-   first, and updates the sorted order (the Burrows-Wheeler order of the suffixes that
-   start at that column) and the common prefixes of neighbours. Symbols are in a file
-   with one row per column, read in sequence; order and prefixes pass from round to round.
+   first, and updates the sorted order of the suffixes that start at that column, the
+   Burrows-Wheeler transform (the symbols in that order) and the common prefixes of
+   neighbours. Symbols are in a file with one row per column, read in sequence; transform
+   and prefixes pass from round to round through another.
    After the round of a column, neighbours with a common prefix of ``width`` or more start
    equal strings, and the smallest id of each such class goes back.
 3. Each document drops the bytes covered by strings that a smaller id has, or that it has
    itself at an earlier start (the same construction, per document and anchor).
 
-Segments with an anchor that more than ``HOT`` chunks have are not gathered in one group:
-their strings go to buckets of their own hashes (96 bits), once per chunk and string.
+Hashes only say what to compare: a chunk sends segments that a hash calls equal once, and a
+bucket takes such ones of several chunks together, after their bytes have been compared.
 
-Defined results: a null or empty text has no bytes; texts shorter than ``width`` lose
+An anchor that more than ``HOT`` chunks have would gather a corpus in one bucket. There each
+string is its own anchor, so that they go to as many buckets as there are strings, once per
+chunk, and are worked on in the same way.
+
+Defined results: a null or empty text has no bytes; a text of any length is handled, in one
+task, with some 60 bytes of memory per byte of text; texts shorter than ``width`` lose
 none; a null id counts as larger than every other; rows with one id never remove bytes
 from each other; an empty table gives no rows.
 """
@@ -38,26 +44,25 @@ from pyspark.sql import DataFrame
 
 from touchline.llm import exchange as X
 from touchline.llm.shared import (
-    NO_ID, Chunk, Spans, blob, buckets_for, by_bucket, counts_in, cover, internal, mix, owner, runs,
-    stage_chunks)
-from touchline.llm.substring_dedup import improved
+    NO_ID, Chunk, Spans, blob, buckets_for, by_bucket, counts_in, cover, internal, mix, owner, runs, stage_chunks)
 
 WIDTH, GRAM = 100, 32
 BUCKET_BYTES = 16 << 20
-#: Chunks with an anchor (two megabytes each) beyond which its strings are spread out.
+#: Chunks with an anchor (two megabytes each) beyond which its strings are their own anchors.
 HOT = 512
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of each ``width`` consecutive values, by doubling."""
-    out, have = values, 1
-    while 2 * have <= width:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    if have < width:
-        more = width - have
-        out = np.minimum(out[:-more], out[more:])
-    return out
+def sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest of each ``width`` consecutive values and the first place that has it, by
+    doubling."""
+    out, at, have = values, np.arange(values.size), 1
+    while have < width:
+        more = min(have, width - have)
+        right = out[more:] < out[:-more]
+        at = np.where(right, at[more:], at[:-more])
+        out = np.minimum(out[more:], out[:-more])
+        have += more
+    return out, at
 
 
 class Anchors:
@@ -70,52 +75,33 @@ class Anchors:
         self.at = np.flatnonzero(fits)  # starts of all strings
         if not self.at.size:
             self.key = np.zeros(0, np.uint64)
-            self.first = self.low = self.high = self.doc = np.zeros(0, np.int64)
+            self.place = self.low = self.high = self.doc = np.zeros(0, np.int64)
             return
         self.spans = Spans(data)
         grams = np.arange(n - GRAM + 1)
         hashes = self.spans.of(grams, grams + GRAM)
-        least = sliding_min(hashes, span)  # of the string that starts at each place
-        # Each string's anchor: the first part with the smallest hash. Strings in a row
-        # share an occurrence until a smaller one comes or it falls out.
-        value = least[self.at]
-        doc = owner(starts)[self.at]
+        least, where = sliding_min(hashes, span)  # of the string that starts at each place
+        place = where[self.at]
+        # Strings in a row share an occurrence until a smaller one comes or it falls out.
         new = np.ones(self.at.size, bool)
-        new[1:] = (value[1:] != value[:-1]) | (self.at[1:] != self.at[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (self.at[1:] != self.at[:-1] + 1)
         run = np.flatnonzero(new)
         stop = np.append(run[1:], self.at.size)
-        out = []
-        # Where a run's smallest hash lies: its occurrences from the run's first string on.
-        low, high = self.at[run], self.at[stop - 1]
-        wanted = value[run]
-        open_, from_ = np.arange(run.size), low.copy()
-        found = self._next(hashes, wanted, from_, span)
-        while open_.size:
-            # This occurrence anchors the strings that start up to it.
-            last = np.minimum(high[open_], found)
-            out.append((open_, found, np.maximum(low[open_], from_), last))
-            more = last < high[open_]
-            open_, from_ = open_[more], last[more] + 1
-            found = self._next(hashes, wanted[open_], from_, span)
-        which = np.concatenate([o for o, _, _, _ in out])
-        place, low, high = (np.concatenate([x[k] for x in out]) for k in (1, 2, 3))
-        order = np.argsort(low, kind="stable")
-        self.key = mix(wanted[which[order]], 61)
-        self.place, self.low, self.high = place[order], low[order], high[order]
-        self.doc = doc[run][which[order]]
-
-    @staticmethod
-    def _next(hashes, wanted, from_, span):
-        """The first place of each wanted hash in the string that starts at ``from_``."""
-        found = np.full(from_.size, -1, np.int64)
-        open_ = np.arange(from_.size)
-        for step in range(span):
-            if not open_.size:
-                break
-            hit = hashes[from_[open_] + step] == wanted[open_]
-            found[open_[hit]] = from_[open_[hit]] + step
-            open_ = open_[~hit]
-        return found
+        self.place, self.low, self.high = place[run], self.at[run], self.at[stop - 1]
+        self.key = mix(least[self.low], 61)
+        self.doc = owner(starts)[self.low]
+
+
+class Strings:
+    """The strings of some anchors, each as its own anchor."""
+
+    def __init__(self, found: Anchors, chosen: np.ndarray, width: int):
+        low, many = found.low[chosen], found.high[chosen] - found.low[chosen] + 1
+        self.at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        self.place = self.low = self.high = self.at
+        self.doc = np.repeat(found.doc[chosen], many)
+        self.spans = found.spans
+        self.key = mix(found.spans.of(self.at, self.at + width), 62)
 
 
 class Segments:
@@ -125,8 +111,25 @@ class Segments:
     def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, before: np.ndarray):
         self.data, self.begin, self.end, self.before = data, begin, end, before.astype(np.int64)
 
-    def take(self, at: np.ndarray) -> Segments:
-        return Segments(self.data, self.begin[at], self.end[at], self.before[at])
+    def alike(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Whether segments (of equal sizes) have the same bytes, column by column."""
+        out = np.ones(one.size, bool)
+        begin, size, to = self.begin[one], (self.end - self.begin)[one], self.begin[other]
+        for column in range(int(size.max(initial=0))):
+            at = np.minimum(column, size - 1)
+            out &= self.data[begin + at] == self.data[to + at]
+        return out
+
+
+def distinct(order: np.ndarray, same: np.ndarray, seg: Segments) -> np.ndarray:
+    """Which segments, in their order, are the first of their class: those that hashes call
+    the ``same`` as the one before are compared, byte by byte, with the first of them."""
+    new = np.ones(order.size, bool)
+    new[1:] = ~same
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
+    again = np.flatnonzero(~new)
+    new[again[~seg.alike(order[again], lead[again])]] = True
+    return new
 
 
 def equal_strings(group: np.ndarray, seg: Segments, width: int) -> Iterator[tuple]:
@@ -146,9 +149,8 @@ def equal_strings(group: np.ndarray, seg: Segments, width: int) -> Iterator[tupl
     border = np.ones(m, bool)
     border[1:] = group[order][1:] != group[order][:-1]
     block = np.cumsum(border) * 512  # rounds move rows inside their groups only
-    common = np.zeros(m, np.int32)  # common prefix with the one before in the order
     columns = np.arange(tail - 1, -reach - 1, -1)
-    with tempfile.TemporaryFile() as file:
+    with tempfile.TemporaryFile() as file, tempfile.TemporaryFile() as rounds:
         step = max(1, (4 << 20) // m)
         for at in range(0, columns.size, step):
             place = (seg.begin + seg.before)[None, :] + columns[at:at + step, None]
@@ -156,7 +158,11 @@ def equal_strings(group: np.ndarray, seg: Segments, width: int) -> Iterator[tupl
             symbols = seg.data[np.clip(place, 0, seg.data.size - 1)].astype(np.int16) + 1
             file.write(np.where(inside, symbols, 0).astype("<i2").tobytes())
         file.seek(0)
+        rounds.write(bytes(4 * m))
         for column in columns.tolist():
+            rounds.seek(0)
+            common = np.frombuffer(rounds.read(4 * m), "<i4")  # with the one before in the order
+            # What stands before the sorted suffixes: the transform's symbols of this column.
             symbol = np.frombuffer(file.read(2 * m), "<i2")[order]
             key = block + symbol
             by = np.argsort(key, kind="stable")
@@ -166,11 +172,14 @@ def equal_strings(group: np.ndarray, seg: Segments, width: int) -> Iterator[tupl
             fresh = np.zeros(m, np.int32)
             if at.size:
                 fresh[at] = 1 + _least_between(common, by[at - 1] + 1, by[at])
-            order, common = order[by], fresh
+            order = order[by]
+            rounds.seek(0)
+            rounds.write(fresh.tobytes())
+            rounds.write(symbol[by].tobytes())
             if column <= 0:
                 here = (seg.before[order] >= -column) & (last_string[order] <= -column)
                 if here.any():
-                    yield -column, order[here], np.cumsum(common < width)[here]
+                    yield -column, order[here], np.cumsum(fresh < width)[here]
 
 
 def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -217,8 +226,8 @@ class Entries:
         prints = mix(found.spans.of(begin, end) ^ mix(shape, 63), 64)
         keys = found.key[chosen]
         order = np.lexsort((prints, keys))
-        new = np.ones(order.size, bool)
-        new[1:] = (prints[order][1:] != prints[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+        new = distinct(order, (prints[order][1:] == prints[order][:-1]) & (keys[order][1:] == keys[order][:-1]),
+                       self.segments)
         self.first = order[new]
         self.place = np.empty(order.size, np.int64)  # entry of each segment
         self.place[order] = np.cumsum(new) - 1
@@ -232,14 +241,14 @@ class Entries:
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
         return by_bucket(X.bucket_of(self.head["key"], n).astype(np.int64))
 
-    def messages(self, number: int, n: int) -> list[tuple]:
+    def messages(self, number: int, n: int, shift: int = 0) -> list[tuple]:
         press = zstandard.ZstdCompressor(level=3).compress
         out = []
         for bucket, at in self.buckets(n):
             own = self.first[at]
             parts = [self.segments.data[a:b] for a, b in zip(
                 self.segments.begin[own].tolist(), self.segments.end[own].tolist())]
-            out.append((bucket, number, press(blob(self.head[at])), press(blob(np.concatenate(parts)))))
+            out.append((bucket + shift, number, press(blob(self.head[at])), press(blob(np.concatenate(parts)))))
         return out
 
 
@@ -255,14 +264,14 @@ def solve(width: int):
         end = np.cumsum(head["size"].astype(np.int64))
         # Equal segments are one; a smaller id that has it has all of its strings.
         order = np.lexsort((head["least"], head["print"], head["key"]))
-        new = np.ones(order.size, bool)
-        new[1:] = (head["print"][order][1:] != head["print"][order][:-1]) | (
-            head["key"][order][1:] != head["key"][order][:-1])
+        size, before = head["size"].astype(np.int64), head["before"].astype(np.int64)
+        every = Segments(data, end - size, end, before)
+        new = distinct(order, (head["print"][order][1:] == head["print"][order][:-1])
+                       & (head["key"][order][1:] == head["key"][order][:-1]), every)
         lead = order[new]
         of = np.empty(order.size, np.int64)
         of[order] = np.cumsum(new) - 1
         least = head["least"][lead]
-        size, before = head["size"].astype(np.int64), head["before"].astype(np.int64)
         better = np.flatnonzero(least[of] < head["least"])
         out = [np.zeros(better.size, _ANSWER)]
         out[0]["entry"], out[0]["least"] = better, least[of[better]]
@@ -320,10 +329,10 @@ def repeats_inside(found: Anchors, chunk: Chunk, width: int) -> tuple[np.ndarray
     before = found.place - begin
     prints = mix(found.spans.of(begin, end) ^ mix((before * 256 + end - begin).astype(np.uint64), 73), 74)
     order = np.lexsort((begin, prints, group))
-    again = np.zeros(order.size, bool)
-    again[1:] = (group[order][1:] == group[order][:-1]) & (prints[order][1:] == prints[order][:-1])
-    whole = order[again]
-    first = np.sort(order[~again])
+    new = distinct(order, (group[order][1:] == group[order][:-1]) & (prints[order][1:] == prints[order][:-1]),
+                   Segments(chunk.data, begin, end, before))
+    whole = order[~new]
+    first = np.sort(order[new])
     _, number, count = np.unique(group[first], return_inverse=True, return_counts=True)
     own = first[count[number] > 1]
     starts, stops = [found.low[whole]], [found.high[whole] + 1]
@@ -336,21 +345,33 @@ def repeats_inside(found: Anchors, chunk: Chunk, width: int) -> tuple[np.ndarray
     return np.concatenate(starts), np.concatenate(stops)
 
 
-def strings_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All starts from each ``low`` to its ``high``."""
-    many = high - low + 1
-    return np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-
-
-def string_names(chunk: Chunk, at: np.ndarray, width: int):
-    """Sorted distinct keys of strings, checks, smallest ids, and each string's place."""
-    key = Spans(chunk.data).of(at, at + width)
-    check = (Spans(chunk.data, 1).of(at, at + width) >> np.uint64(32)).astype(np.uint32)
-    ids = chunk.ids[np.searchsorted(chunk.starts, at, "right") - 1]
-    keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-    least = np.full(keys.size, NO_ID)
-    np.minimum.at(least, place, ids)
-    return keys, check[first], least, place, ids
+def removed_starts(chunk: Chunk, found: Anchors | Strings, chosen: np.ndarray, width: int, got: dict,
+                   buckets: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of string starts that a smaller id has, after the answers of the buckets that are
+    numbered from ``shift``."""
+    entries = Entries(chunk, found, chosen, width)
+    ids = chunk.ids[found.doc[chosen]]
+    members = np.argsort(entries.place, kind="stable")
+    by_entry = entries.place[members]
+    whole = entries.head["least"][entries.place] < ids
+    starts, stops = [found.low[chosen[whole]]], [found.high[chosen[whole]] + 1]
+    for bucket, at in entries.buckets(buckets):
+        if bucket + shift not in got:
+            continue
+        answer = np.frombuffer(got[bucket + shift][0], _ANSWER)
+        entry = answer["entry"] + at.start
+        # The chunk's segments that each answer is about.
+        low = np.searchsorted(by_entry, entry)
+        many = np.searchsorted(by_entry, entry, "right") - low
+        which = np.repeat(np.arange(entry.size), many)
+        inner = np.arange(which.size) - np.repeat(np.cumsum(many) - many, many)
+        own = members[low[which] + inner]
+        hit = answer["least"][which] < ids[own]
+        own, which = own[hit], which[hit]
+        anchor = found.place[chosen[own]]
+        starts.append(anchor - answer["far"][which])
+        stops.append(anchor - answer["near"][which] + 1)
+    return np.concatenate(starts), np.concatenate(stops)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -380,15 +401,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent = [X.to_itself(number, blob(state))]
         if (each == 1).any():
             sent += Entries(chunk, found, np.flatnonzero(each == 1), width).messages(number, buckets)
-        spread = np.flatnonzero(each == 2)
-        if spread.size:
-            at = strings_of(found.low[spread], found.high[spread])
-            keys, check, least, _, _ = string_names(chunk, at, width)
-            sent += X.send_full(number, keys, check, least, buckets, buckets)
+        if (each == 2).any():
+            strings = Strings(found, np.flatnonzero(each == 2), width)
+            sent += Entries(chunk, strings, np.arange(strings.at.size), width).messages(number, buckets, buckets)
         return X.messages(sent)
 
-    owners = X.answered(X.with_answers(chunks, shared, segments, X.MESSAGE),
-                        (0, solve(width)), (buckets, X.first_owners))
+    owners = X.answered(X.with_answers(chunks, shared, segments, X.MESSAGE), (0, solve(width)))
 
     def remove(number: int, chunk: Chunk, got: dict) -> pa.Table:
         n, data, bounds = chunk.data.size, chunk.data, chunk.starts
@@ -398,37 +416,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             starts, stops = repeats_inside(found, chunk, width)
             keys, place, _ = small(found)
             each = np.frombuffer(X.from_itself(got), np.uint8)[place]
-            chosen = np.flatnonzero(each == 1)
-            if chosen.size:
-                entries = Entries(chunk, found, chosen, width)
-                ids = chunk.ids[found.doc[chosen]]
-                members = np.argsort(entries.place, kind="stable")
-                by_entry = entries.place[members]
-                whole = entries.head["least"][entries.place] < ids
-                starts = np.concatenate([starts, found.low[chosen[whole]]])
-                stops = np.concatenate([stops, found.high[chosen[whole]] + 1])
-                for bucket, at in entries.buckets(buckets):
-                    if bucket not in got:
-                        continue
-                    answer = np.frombuffer(got[bucket][0], _ANSWER)
-                    entry = answer["entry"] + at.start
-                    # The chunk's segments that each answer is about.
-                    low = np.searchsorted(by_entry, entry)
-                    many = np.searchsorted(by_entry, entry, "right") - low
-                    which = np.repeat(np.arange(entry.size), many)
-                    inner = np.arange(which.size) - np.repeat(np.cumsum(many) - many, many)
-                    own = members[low[which] + inner]
-                    hit = answer["least"][which] < ids[own]
-                    own, which = own[hit], which[hit]
-                    anchor = found.place[chosen[own]]
-                    starts = np.concatenate([starts, anchor - answer["far"][which]])
-                    stops = np.concatenate([stops, anchor - answer["near"][which] + 1])
-            spread = np.flatnonzero(each == 2)
-            if spread.size:
-                at = strings_of(found.low[spread], found.high[spread])
-                keys, _, least, place, ids = string_names(chunk, at, width)
-                at = at[improved(least, keys, got, buckets, buckets)[place] < ids]
-                starts, stops = np.concatenate([starts, at]), np.concatenate([stops, at + 1])
+            parts = [(found, np.flatnonzero(each == 1), 0)]
+            if (each == 2).any():
+                strings = Strings(found, np.flatnonzero(each == 2), width)
+                parts.append((strings, np.arange(strings.at.size), buckets))
+            for own, chosen, shift in parts:
+                if chosen.size:
+                    more = removed_starts(chunk, own, chosen, width, got, buckets, shift)
+                    starts, stops = (np.concatenate(x) for x in zip((starts, stops), more))
             gone = cover(starts, stops + width - 1, n)
         begin, end = runs(gone, bounds)
         kept_data = data[~gone].tobytes()

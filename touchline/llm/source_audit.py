@@ -43,7 +43,7 @@ WIDTH = 2
 #: Bits of the set of surviving prefixes: 4 MB, sent to all tasks.
 BITS = 1 << 25
 #: Text bytes in a block.
-BLOCK = 4 << 20
+BLOCK = 12 << 20
 #: Kept terms of a language that are compared together, and sources in a tile.
 TERMS, TILE = 8192, 128
 SMOOTH, SCALE = 5, 1000
@@ -65,14 +65,14 @@ class Numbers(dict):
 # --- blocks --------------------------------------------------------------------------
 
 
-def make_block(texts: list[str], langs: list[str], sources: list[str]) -> tuple:
+def make_block(texts: list[bytes], langs: list[str], sources: list[str]) -> tuple:
     """One block: (languages of groups, sources of groups, sorted terms with a zero byte
     after each, their ends, and per term and document: term, document, group, count)."""
     groups, numbers = Numbers(), Numbers()
     group = np.fromiter((groups[g] for g in zip(langs, sources)), np.int64, len(texts))
     found, sizes = [], np.zeros(len(texts), np.int64)
     for k, text in enumerate(texts):
-        terms = text.encode().translate(_LETTER).split()
+        terms = text.translate(_LETTER).split()
         sizes[k] = len(terms)
         found.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
     doc = np.repeat(np.arange(len(texts)), sizes)
@@ -102,7 +102,8 @@ def stage(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
             if held and (piece is None or size + n_bytes > BLOCK):
                 some = pa.Table.from_batches(held)
                 held, size = [], 0
-                made = make_block(*(some.column(c).to_pylist() for c in ("text", "lang", "source")))
+                texts = some.column("text").cast(pa.large_binary()).to_pylist()
+                made = make_block(texts, some.column("lang").to_pylist(), some.column("source").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) | seq]), *(pa.array([m], t) for m, t in zip(made, (
                         pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())))],
