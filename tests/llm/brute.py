@@ -241,3 +241,48 @@ def exact(docs):
         rows.sort(key=lambda k: far if docs[k][0] is None else docs[k][0])
         out += [(docs[k][0], docs[rows[0]][0], len(rows), k == rows[0], sha(text)) for k in rows]
     return out
+
+
+def imatch(docs, low, high, subsets, rates, per_rate, hash_of, mix):
+    """docs: (doc_id, text) in their order. Per document (own, edited, near_edited, near_next):
+    fingerprints as lists. ``hash_of`` and ``mix`` are the operator's random functions."""
+    full = (1 << 48) - 1
+
+    def terms(text):
+        found = "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in text)
+        return {hash_of(w.encode()) & full for w in found.split(" ") if w}
+
+    def fold(some):
+        if not some:
+            return 0
+        total = sum(mix((t + mix(k, 41)) % 2**64, 42) for k, t in enumerate(sorted(some))) % 2**64
+        return max(mix(total, 43) >> 32, 1)
+
+    texts = [t or "" for _, t in docs]
+    df = Counter(t for text in texts for t in terms(text))
+    lexicon = {t for t, n in df.items() if low * len(texts) <= n <= high * len(texts)}
+
+    def fingerprint(text):
+        own = terms(text)
+        own = own & lexicon or own
+        out = [fold(own)] + [0] * (subsets - 1)
+        for seed in range(per_rate):
+            for rate in range(rates):
+                out[1 + rate * per_rate + seed] = fold(
+                    [t for t in own if mix(t, 50 + seed) >> (64 - 2 * (rate + 1)) == 0])
+        return out
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        same = [x == y and x != 0 for x, y in zip(a[1:], b[1:])]
+        return max(sum(same[r * per_rate:(r + 1) * per_rate]) / per_rate for r in range(rates))
+
+    out = []
+    for k, text in enumerate(texts):
+        following = texts[(k + 1) % len(texts)]
+        size = len(text) // 4
+        edited = text[:len(text) - size] + following[:size]
+        own, changed = fingerprint(text), fingerprint(edited)
+        out.append((docs[k][0], own, changed, likeness(own, changed), likeness(own, fingerprint(following))))
+    return out

@@ -17,6 +17,7 @@ from tests.llm import brute
 from touchline.llm import (
     bwt_dedup, byte_bpe, imatch, license_scan, packing, quote_linking, simhash, substring_dedup,
     suffix_quality, token_files, tokens)
+from touchline.llm.shared import Chunk, Spans, mix
 
 SCHEMA = "doc_id long, text string"
 BPE, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -85,6 +86,79 @@ def test_bwt_dedup(docs, none, hot):
         assert bwt_dedup.remove_repeats(none).collect() == []
 
 
+def long_texts():
+    draw = random.Random(1)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(30_000)]
+    return {"prose": " ".join(draw.choices(vocabulary, k=800_000)), "periodic": "na " * 1_700_000}
+
+
+@pytest.mark.parametrize("kind, most", [("prose", 45), ("periodic", 90)])
+def test_very_long_texts_in_one_task(kind, most):
+    """Five megabytes in one text: seconds, and so many bytes of memory for each of its own."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = long_texts()[kind]
+    block = pa.record_batch({"id": pa.array([1], pa.int64()), "text": pa.array([text])})
+
+    def bytes_task():
+        chunk = Chunk(block)
+        found = bwt_dedup.Anchors(chunk, 100)
+        bwt_dedup.repeats_inside(found, chunk, 100)
+        bwt_dedup.Entries(chunk, found, np.arange(found.key.size), 100)
+
+    def words_task():
+        chunk = Chunk(block)
+        words, _, at, doc, _, _ = substring_dedup.anchor_keys(chunk, 13, 16)
+        substring_dedup.named(words, at, chunk.ids[doc], 13)
+
+    for task in (bytes_task, words_task, lambda: suffix_quality.measure(block, 10)):
+        tracemalloc.start()
+        began = time.time()
+        task()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - began < 60 and peak < most * len(text)
+
+
+def test_very_long_texts(spark):
+    """Through Spark, next to short ones, for the operators that look inside a text."""
+    both = long_texts()
+    rows = [(1, both["prose"]), (2, both["periodic"]), (3, "short " * 60), (4, both["prose"][:300] + " tail"),
+            (5, both["periodic"][:120_000])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    removed = {r["id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).select("id", "n_removed").collect()}
+    assert removed[1] == removed[2] == 0 and removed[4] > 30 and removed[5] == 40_000
+    gone = {r["id"]: (r["n_bytes"], r["n_removed"]) for r in bwt_dedup.remove_repeats(docs).select(
+        "id", "n_bytes", "n_removed").collect()}
+    assert gone[2] == (5_100_000, 5_099_997) and gone[5] == (120_000, 120_000) and gone[4][1] >= 299
+    judged = {r["id"]: (r["n_words"], r["longest_repeat"]) for r in suffix_quality.quality(docs).collect()}
+    assert judged[2] == (1_700_000, 1_699_999) and judged[1][0] == 800_000
+    notice = license_scan.TEMPLATES[3][1]
+    long_ = spark.createDataFrame([(1, both["prose"] + " " + notice + " " + both["prose"])], SCHEMA)
+    assert license_scan.scan(long_).first()["labels"] == "gpl-3"
+
+
+def test_common_line_is_spread(spark, monkeypatch):
+    """A line in every document: its strings go to many buckets, none to one alone."""
+    monkeypatch.setattr(bwt_dedup, "BUCKET_BYTES", 20_000)
+    draw = random.Random(8)
+    line = "".join(draw.choice("abcdefgh ") for _ in range(300))
+    rows = [(k, "".join(draw.choice("ijklmnop ") for _ in range(200)) + line) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(12)
+    got = bwt_dedup.remove_repeats(docs, hot=3)
+    same(got.select("id", "n_bytes", "n_removed", F.size("removed").cast("long"), sha("kept")), brute.bytes_dedup(rows))
+    import pyarrow as pa
+
+    chunk = Chunk(pa.record_batch({"id": pa.array([1], pa.int64()), "text": pa.array([rows[0][1]])}))
+    found = bwt_dedup.Anchors(chunk, 100)
+    strings = bwt_dedup.Strings(found, np.arange(found.key.size), 100)
+    entries = bwt_dedup.Entries(chunk, strings, np.arange(strings.at.size), 100)
+    assert len(list(entries.buckets(16))) > 12
+
+
 def test_quality(docs, none):
     got = suffix_quality.quality(docs)
     same(got, [(d, *brute.quality(t)) for d, t in texts()])
@@ -127,6 +201,14 @@ def test_simhash_tiles_find_every_link():
     assert len(found) < 3 * fps.size < len(every) * 3
 
 
+@pytest.mark.parametrize("sides, side, heavy", [(3, 256, 1000), (1, 1, 2)])
+def test_simhash_over_many_blocks(docs, monkeypatch, sides, side, heavy):
+    for name, value in (("BLOCK", 4), ("SIDES", sides), ("SIDE", side), ("HEAVY", heavy)):
+        monkeypatch.setattr(simhash, name, value)
+    got = simhash.near_duplicates(docs).select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component")
+    same(got, brute.components(texts()))
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = simhash.components(spark.createDataFrame(chain, "u long, v long"))
@@ -268,6 +350,31 @@ def test_imatch(spark, docs, none):
     assert imatch.edited_likeness(one).first()["edited_sha256"] == brute.sha("abcdefgh one" + "abcd")
 
 
+def test_imatch_is_as_its_plain_version(spark):
+    docs = [(k, t) for k, (d, t) in enumerate(texts()) if len(t or "") < 3000]  # ids that are all different
+    hash_of = lambda w: int(Spans(np.frombuffer(w, np.uint8)).of(np.array([0]), np.array([len(w)]))[0])
+    mixed = lambda x, seed: int(mix(np.array([x], np.uint64), seed)[0])
+    want = brute.imatch(docs, 0.05, 0.5, imatch.HASHES, imatch.RATES, imatch.PER_RATE, hash_of, mixed)
+    got = imatch.edited_likeness(spark.createDataFrame(docs, SCHEMA).repartition(5), low=0.05, high=0.5).collect()
+    found = {r["id"]: (np.frombuffer(r["own"], "<u4").tolist(), np.frombuffer(r["edited"], "<u4").tolist(),
+                       r["near_edited"], r["near_next"]) for r in got}
+    assert found == {d: tuple(rest) for d, *rest in want}
+    assert any(0 < w[3] < 1 for w in want) and any(w[4] > 0 for w in want)
+
+
+def test_terms_of_many_documents():
+    import pyarrow as pa
+
+    doc, term = imatch.terms(pa.array([f"w{k % 7}" for k in range(70_000)]))
+    assert doc.tolist() == list(range(70_000)) and len(set(term.tolist())) == 7
+
+
+def test_a_lexicon_beyond_its_bound_is_an_error(docs, monkeypatch):
+    monkeypatch.setattr(imatch, "MOST_TERMS", 3)
+    with pytest.raises(ValueError, match="low"):
+        imatch.edited_likeness(docs, low=0.01, high=0.9)
+
+
 def test_lexicon_counts_all_documents(docs):
     n = len(texts())
     df = Counter()
@@ -463,6 +570,29 @@ def test_license_windows_are_exact(spark):
     assert {(r["id"], r["template"]): r["containment"] for r in rows} == want and len(rows) == len(want) > 300
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def test_repeated_messages_count_once(spark):
+    rows = [(1, 0, "user", "One line"), (1, 1, "bot", "> one line\nyes"), (1, 1, "bot", "> one line\nyes"),
+            (1, 2, "bot", "> one line\n> One  line\nthrice\n> one line")]
+    got = quote_linking.link(spark.createDataFrame(rows, CHAT))
+    same(got.select("turn", "n_quotes", "n_linked", "reply_to"),
+         [(0, 0, 0, None), (1, 1, 1, 0), (1, 1, 1, 0), (2, 3, 3, 0)])
+
+
+def test_writers_come_before_or_from_elsewhere(spark):
+    rows = [(1, 0, "user", "> said later\nfirst"), (1, 1, "bot", "said later"),  # a later message
+            (2, 0, "user", "> my own words\nmy own words"),  # its own text
+            (3, 0, "user", "> elsewhere\nx"), (4, 5, "user", "elsewhere"),  # another conversation
+            (5, 0, "user", "common"), (6, 0, "user", "common"), (5, 1, "bot", "> common\ny"), (None, 1, "bot", "> common\nz"),
+            (None, 2, "bot", "lost words"), (7, 1, "bot", "> lost words\nq")]
+    got = quote_linking.link(spark.createDataFrame(rows, CHAT))
+    assert {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["reply_to"]) for r in got.collect() if r["n_quotes"]} == {
+        (1, 0): (1, 0, None), (2, 0): (1, 0, None), (3, 0): (1, 1, None), (5, 1): (1, 1, 0), (None, 1): (1, 1, None),
+        (7, 1): (1, 0, None)}
+
+
 def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "Hello there\nHow are  you?"), (1, 1, "assistant", "> how are you?\nFine."),
             (1, 2, "user", "> > How are you?\n> Fine.\nGood"), (1, 3, "user", ">> never said\n> other text\nx"),

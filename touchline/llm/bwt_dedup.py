@@ -55,7 +55,7 @@ HOT = 512
 def sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest of each ``width`` consecutive values and the first place that has it, by
     doubling."""
-    out, at, have = values, np.arange(values.size), 1
+    out, at, have = values, np.arange(values.size, dtype=np.int32), 1
     while have < width:
         more = min(have, width - have)
         right = out[more:] < out[:-more]
@@ -65,31 +65,42 @@ def sliding_min(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return out, at
 
 
+def starts_of(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``first`` and have ``many`` places."""
+    out = np.repeat((first - np.cumsum(many) + many).astype(np.int32), many)
+    out += np.arange(out.size, dtype=np.int32)
+    return out
+
+
 class Anchors:
     """The anchors of a chunk's strings, and the segments around their occurrences."""
 
     def __init__(self, chunk: Chunk, width: int):
         data, starts = chunk.data, chunk.starts
         n, span = data.size, width - GRAM + 1
-        fits = np.arange(n) <= (starts[1:] - width)[owner(starts)]
-        self.at = np.flatnonzero(fits)  # starts of all strings
-        if not self.at.size:
+        first = np.minimum(starts[:-1], starts[1:] - width + 1)
+        many = np.maximum(starts[1:] - width + 1 - starts[:-1], 0)
+        at = starts_of(first, many)  # starts of all strings
+        if not at.size:
             self.key = np.zeros(0, np.uint64)
             self.place = self.low = self.high = self.doc = np.zeros(0, np.int64)
             return
         self.spans = Spans(data)
-        grams = np.arange(n - GRAM + 1)
-        hashes = self.spans.of(grams, grams + GRAM)
-        least, where = sliding_min(hashes, span)  # of the string that starts at each place
-        place = where[self.at]
+        # Half of a hash is enough to choose by: equal strings choose alike.
+        hashes = np.empty(n - GRAM + 1, np.uint32)
+        for k in range(0, hashes.size, 1 << 18):
+            grams = np.arange(k, min(k + (1 << 18), hashes.size))
+            hashes[k:k + grams.size] = self.spans.of(grams, grams + GRAM) >> np.uint64(32)
+        place = sliding_min(hashes, span)[1][at]  # of the string that starts at each place
+        del hashes
         # Strings in a row share an occurrence until a smaller one comes or it falls out.
-        new = np.ones(self.at.size, bool)
-        new[1:] = (place[1:] != place[:-1]) | (self.at[1:] != self.at[:-1] + 1)
+        new = np.ones(at.size, bool)
+        new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
         run = np.flatnonzero(new)
-        stop = np.append(run[1:], self.at.size)
-        self.place, self.low, self.high = place[run], self.at[run], self.at[stop - 1]
-        self.key = mix(least[self.low], 61)
-        self.doc = owner(starts)[self.low]
+        stop = np.append(run[1:], at.size)
+        self.place, self.low, self.high = place[run].astype(np.int64), at[run].astype(np.int64), at[stop - 1].astype(np.int64)
+        self.key = mix(self.spans.of(self.place, self.place + GRAM), 61)
+        self.doc = np.searchsorted(starts, self.low, "right") - 1
 
 
 class Strings:

@@ -11,7 +11,7 @@ terms as the whole.
 
 A term in the band is in at least ``low`` of the documents, so there are at most (mean
 distinct terms per document) / ``low`` of them: the lexicon has a bound that does not grow
-with the corpus, and is broadcast. Document frequencies are counted over all documents.
+with the corpus, and is broadcast. The bound is held: beyond ``MOST_TERMS`` it is an error. Document frequencies are counted over all documents.
 
 Defined results: a null or empty text has no terms and the fingerprint of nothing; null ids
 come last in the order; rows with one id are ordered by a hash of their text; the only
@@ -37,8 +37,12 @@ RATES, PER_RATE = 5, 16
 HASHES = 1 + RATES * PER_RATE
 #: Documents and text bytes that are worked on together.
 BLOCK, ROWS = 1 << 20, 20_000
-#: Buckets of terms when document frequencies are counted.
-BUCKETS = 64
+#: Documents that a number of 16 bits can tell apart.
+NUMBERS = 1 << 16
+#: Text bytes per bucket of terms when document frequencies are counted.
+BUCKET_BYTES = 8 << 20
+#: Terms of the lexicon that are sent to all tasks at most (64 MB); see ``edited_likeness``.
+MOST_TERMS = 8 << 20
 
 _TERM = np.ones(256, bool)
 _TERM[:128] = False
@@ -50,6 +54,10 @@ _BITS = np.uint64((1 << 48) - 1)
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, term) sorted, terms as 48-bit hashes."""
+    if len(texts) > NUMBERS:
+        parts = [terms(texts.slice(at, NUMBERS)) for at in range(0, len(texts), NUMBERS)]
+        return (np.concatenate([doc + k * NUMBERS for k, (doc, _) in enumerate(parts)]),
+                np.concatenate([term for _, term in parts]))
     data, starts = text_bytes(texts)
     data = np.where(_TERM[data], _LOWER[data], np.uint8(32)).astype(np.uint8)
     begin, end, bounds = word_bounds(data, starts)
@@ -108,7 +116,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
             id_col: str = "doc_id") -> DataFrame:
     """(term, df) of the terms in the band, counted over all documents."""
     rows = internal(docs, id_col, text_col).select("text")
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(64, -(-size // BUCKET_BYTES))
 
     def count(batches):
         held, size = [], 0
@@ -131,7 +140,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
             for once in (True, False):
                 sel = (counts == 1) == once
                 own = keys[sel]
-                bucket = (own >> np.uint64(42)).astype(np.int64)
+                bucket = ((own >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
                 six = own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 for b, at in by_bucket(bucket):
                     yield pa.RecordBatch.from_arrays(
@@ -208,8 +217,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spark = docs.sparkSession
     found = lexicon(docs, text_col, low, high, id_col)
+    found = materialize(found.select("term"), "imatch-lexicon")
+    if found.count() > MOST_TERMS:
+        raise ValueError(f"The lexicon has over {MOST_TERMS} terms; a higher ``low`` makes it smaller.")
     words = spark.sparkContext.broadcast(np.sort(np.array(
-        [r["term"] for r in found.select("term").toLocalIterator()], np.uint64)))
+        [r["term"] for r in found.toLocalIterator()], np.uint64)))
 
     def stream(batches):
         part, unpress = TaskContext.get().partitionId(), zstandard.ZstdDecompressor().decompress

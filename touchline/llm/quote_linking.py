@@ -3,7 +3,8 @@
 A line that starts with quote signs is a quoted passage; the number of signs is its level.
 Passages are normalised (signs off, lower case, single spaces) and hashed (128 bits), and
 so are the lines that messages wrote themselves. Each quoted passage is joined with the
-message that wrote it first in the conversation, or else in the table. A message replies
+message that wrote it first in the conversation, if that is an earlier one, and else counts
+as linked when another conversation has a message that wrote it. A message replies
 to the latest of the earlier messages that its passages of the first level come from;
 replies form threads, and a conversation is read thread by thread and turn by turn, each
 message without quotes and after the one it replies to. One row per message is returned,
@@ -53,26 +54,32 @@ def link(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                            F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("role", "text"))
-    lines = rows.select("conv_id", "turn", "mark", F.explode(_lines()).alias("line"))
-    passages = lines.select("conv_id", "turn", "mark", level(F.col("line")).alias("level"),
+    message = ["conv_id", "turn", "mark"]
+    lines = rows.select(*message, F.posexplode(_lines()).alias("number", "line"))
+    passages = lines.select(*message, "number", level(F.col("line")).alias("level"),
                             normal(F.col("line")).alias("said")).where("said <> ''").select(
-        "conv_id", "turn", "mark", "level", F.md5("said").alias("passage"))
-    passages = materialize(passages, "quotes-passages")
-    wrote = passages.where("level = 0 and conv_id is not null and turn is not null")
-    quoted = passages.where("level > 0").groupBy("conv_id", "turn", "mark", "level", "passage").agg(
-        F.count("*").alias("times"))
-    # The first to write a passage: in the conversation, and in the table.
-    own = wrote.groupBy("conv_id", "passage").agg(F.min("turn").alias("own_turn"))
-    wanted = quoted.select("passage").distinct()
-    any_ = own.join(wanted, "passage", "left_semi").groupBy("passage").agg(
-        F.min(F.struct("conv_id", "own_turn")).alias("anywhere"))
-    found = quoted.join(own, ["conv_id", "passage"], "left").join(any_, "passage", "left")
+        *message, "number", "level", F.unhex(F.md5("said")).alias("passage"))
+    # By the lines' numbers, so that a repeated row counts no line twice.
+    quoted = passages.where("level > 0").groupBy(*message, "level", "passage").agg(
+        F.size(F.collect_set("number")).alias("times"))
+    # The first to write a passage in a conversation.
+    wrote = passages.where("level = 0 and conv_id is not null and turn is not null").groupBy(
+        "conv_id", "passage").agg(F.min("turn").alias("own_turn"))
     earlier = F.when(F.col("own_turn") < F.col("turn"), F.col("own_turn"))
-    links = found.groupBy("conv_id", "turn", "mark").agg(
-        F.sum("times").alias("n_quotes"),
-        F.sum(F.when(earlier.isNotNull() | F.col("anywhere").isNotNull(), F.col("times")).otherwise(0)).alias("n_linked"),
-        F.max(F.when(F.col("level") == 1, earlier)).alias("reply_to"))
-    links = materialize(links, "quotes-links")
+    found = materialize(quoted.join(wrote, ["conv_id", "passage"], "left").withColumn("writer", earlier).drop(
+        "own_turn"), "quotes-found")
+    # Passages that no earlier message of the conversation wrote: who did elsewhere?
+    open_ = found.where("writer is null").select("passage").distinct()
+    elsewhere = wrote.join(open_, "passage", "left_semi").groupBy("passage").agg(
+        F.min("conv_id").alias("low"), F.max("conv_id").alias("high"))
+    asked = found.where("writer is null").join(elsewhere, "passage", "left")
+    other = F.coalesce((F.col("low") != F.col("conv_id")) | (F.col("high") != F.col("conv_id")), F.col("low").isNotNull())
+    columns = [*message, "level", "times", "writer"]
+    known = found.where("writer is not null").select(*columns, F.lit(True).alias("linked")).unionByName(
+        asked.select(*columns, other.alias("linked")))
+    links = materialize(known.groupBy(*message).agg(
+        F.sum("times").alias("n_quotes"), F.sum(F.when(F.col("linked"), F.col("times")).otherwise(0)).alias("n_linked"),
+        F.max(F.when(F.col("level") == 1, F.col("writer"))).alias("reply_to")), "quotes-links")
     threads = _threads(links)
     answer = links.select(*[F.col(c).alias(f"q_{c}") for c in links.columns])
     same = (rows.conv_id.eqNullSafe(answer.q_conv_id) & rows.turn.eqNullSafe(answer.q_turn)

@@ -1,8 +1,9 @@
 """SimHash near-duplicates by exact comparison of tiles of fingerprints.
 
 Distinct fingerprints are sorted by their population counts (of the whole and of each
-16-bit lane) and packed into blocks. Blocks meet when their ranges of population counts
-come within the radius (an equi-join on the count), and inside a pair of blocks, tiles
+16-bit lane) and packed into blocks. Blocks are dealt to the cells of a square grid, so
+that a block travels once for each side of the grid, not for each other block. In a cell,
+blocks meet when their ranges of population counts come within the radius, and their tiles
 are compared by exclusive-or and bit count. Each lane's difference in population count is
 a lower bound for the bits that differ in it, so tiles whose bounds sum to more than the
 radius are skipped; no pair within the radius is missed. A pair of blocks returns a
@@ -28,7 +29,11 @@ from touchline.llm.shared import external, internal, materialize, slices
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints in a block, the unit that is sent, and in a tile, the unit compared.
-BLOCK, TILE = 32_768, 1_024
+BLOCK, TILE = 16_384, 1_024
+#: Blocks of one side of a cell of the grid at most, and the least number of sides.
+SIDE, SIDES = 256, 12
+#: A fingerprint with more than one in so many rows is broadcast; there are fewer than that.
+HEAVY = 1000
 LANES = 4
 
 
@@ -154,25 +159,30 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     within the radius are connected."""
     n = fps.count()
     blocks = materialize(_block_rows(fps, n), "simhash-blocks")
-    reach = blocks.select("block", F.explode(F.sequence("low", "high")).alias("count"))
-    near = blocks.select(F.col("block").alias("other"),
-                         F.explode(F.sequence(F.col("low") - radius, F.col("high") + radius)).alias("count"))
-    met = reach.join(near, "count").where("block <= other").select("block", "other").distinct()
-    data = blocks.select("block", "data")
-    pairs = met.join(data, "block").join(
-        data.select(F.col("block").alias("other"), F.col("data").alias("other_data")), "other")
-    tasks = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = pairs.repartition(tasks, "block", "other")
-
-    def compare(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = (np.frombuffer(row[c], np.uint64) for c in ("data", "other_data"))
-                found = forest(a, b, radius, row["block"] == row["other"]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
-
-    return pairs.mapInArrow(compare, "u long, v long")
+    sides = max(SIDES, -(-n // (SIDE * BLOCK)))
+    cells = sides * (sides + 1) // 2
+    # A block goes to the cells of its side, once to each other side.
+    side, other = F.pmod(F.xxhash64("block"), F.lit(sides)), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    dealt = blocks.withColumn("side", side.cast("int")).withColumn("other", other).withColumns(
+        {"x": F.least("side", "other"), "y": F.greatest("side", "other")}).drop("other")
+    # As many tasks as cells, so their number follows the blocks.
+    dealt = dealt.repartition(2 * cells, "x", "y")
+
+    def compare(key, cell):
+        rows = cell.select(["side", "block", "low", "high"]).to_pylist()
+        data = [np.frombuffer(d.as_buffer(), np.uint64) for d in cell.column("data")]
+        out = [np.zeros((0, 2), np.int64)]
+        x, y = key[0].as_py(), key[1].as_py()
+        for i, a in enumerate(rows):
+            for j, b in enumerate(rows):
+                mine = (a["block"] <= b["block"]) if x == y else (a["side"] == x and b["side"] == y)
+                # No pair of blocks whose population counts are further apart.
+                if mine and a["low"] - radius <= b["high"] and b["low"] - radius <= a["high"]:
+                    out.append(forest(data[i], data[j], radius, a["block"] == b["block"]).view(np.int64))
+        found = np.concatenate(out)
+        return pa.table({"u": pa.array(found[:, 0]), "v": pa.array(found[:, 1])})
+
+    return dealt.groupBy("x", "y").applyInArrow(compare, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,14 +217,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document ``id``, ``fp``, ``mark``, ``root``, the fingerprint that tells its
     component from others, and ``component``, the smallest id it is linked with."""
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    distinct = materialize(marked.groupBy("fp").agg(
+        F.min("id").alias("least"), F.count("*").alias("n_rows")), "simhash-distinct")
     tree = materialize(components(links(distinct.select("fp"), radius)), "simhash-roots")
     linked = distinct.join(tree, distinct.fp == tree.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("joined"))
     known = linked.join(least, "root").select("fp", "root", "joined")
     classes = distinct.join(known, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joined", "least").alias("component"))
-    return marked.join(classes, "fp")
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("joined", "least").alias("component"),
+        "n_rows")
+    # Fewer than HEAVY fingerprints have so many rows: they need no shuffle of theirs.
+    total = distinct.agg(F.sum("n_rows")).first()[0] or 0
+    heavy = materialize(classes.where(F.col("n_rows") * HEAVY > total).drop("n_rows"), "simhash-heavy")
+    light = classes.where(F.col("n_rows") * HEAVY <= total).drop("n_rows")
+    often = marked.join(F.broadcast(heavy), "fp")
+    seldom = marked.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(light, "fp")
+    return often.unionByName(seldom)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -38,30 +38,34 @@ def longest_repeats(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = words.size
     if not n:
         return np.zeros(0, np.int64)
-    doc = owner(bounds)
-    stop = bounds[1:][doc]
+    # Numbers of 32 bits: a block has no more words than that.
+    kind = np.int32
+    doc = owner(bounds).astype(kind)
+    stop = bounds[1:].astype(kind)[doc]
     # Rank: the first slot of the suffix's group in the sorted order.
-    order = np.lexsort((words, doc))
+    order = np.lexsort((words, doc)).astype(kind)
     new = np.ones(n, bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (words[order][1:] != words[order][:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    del doc
+    rank = np.empty(n, kind)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=kind), 0))
     levels, width = [rank.copy()], 1
     shared = np.ones(n + 1, bool)
     shared[:-1] = new
     open_ = order[~(shared[:-1] & shared[1:])]
+    del order
     while open_.size:
-        ahead = open_ + width
+        ahead = open_ + kind(width)
         inside = ahead < stop[open_]
-        key = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        by = np.lexsort((key, rank[open_]))
+        key = np.where(inside, rank[np.minimum(ahead, n - 1)] + kind(1), kind(0))
+        by = np.lexsort((key, rank[open_])).astype(kind)
         open_, key = open_[by], key[by]
         old = rank[open_]
         first = np.ones(open_.size, bool)
         first[1:] = old[1:] != old[:-1]
         new = first.copy()
         new[1:] |= key[1:] != key[:-1]
-        at = np.arange(open_.size)
+        at = np.arange(open_.size, dtype=kind)
         in_group = at - np.maximum.accumulate(np.where(first, at, 0))
         lead = np.maximum.accumulate(np.where(new, at, 0))
         rank[open_] = old + in_group[lead]
@@ -70,18 +74,20 @@ def longest_repeats(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         open_ = open_[~(shared[:-1] & shared[1:])]
         levels.append(rank.copy())
         width *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
+    suffixes = np.empty(n, kind)
+    suffixes[rank] = np.arange(n, dtype=kind)
+    del rank
     left, right = suffixes[:-1], suffixes[1:]
-    common = np.zeros(n + 1, np.int64)
-    live = np.flatnonzero(levels[0][left] == levels[0][right])
+    common = np.zeros(n + 1, kind)
+    live = np.flatnonzero(levels[0][left] == levels[0][right]).astype(kind)
     i, j = left[live], right[live]
-    got = np.zeros(live.size, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
+    got = np.zeros(live.size, kind)
+    while levels:  # the widest first; each is used once
+        own = levels.pop()
         a, b = i + got, j + got
         same = (a < stop[i]) & (b < stop[j])
-        same &= levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
-        got += same * (1 << k)
+        same &= own[np.minimum(a, n - 1)] == own[np.minimum(b, n - 1)]
+        got += same * kind(1 << len(levels))
     common[live + 1] = got
     best = np.empty(n, np.int64)
     best[suffixes] = np.maximum(common[:-1], common[1:])

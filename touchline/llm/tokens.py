@@ -75,6 +75,7 @@ class Encoder(dict):
         """``split`` gives a text's parts, or None if ``whole`` has to encode it."""
         super().__init__()
         self.encode_many = encode_many
+        self.part = 1  # of CACHE and KEEP
         self.split = split or (lambda text: None if _OTHER_SPACE.search(text) else self.parts(text))
         self.whole = whole or (lambda text: encode_many([text])[0])
         # With spaces, a part keeps those before it; without, they are dropped.
@@ -87,7 +88,7 @@ class Encoder(dict):
     def forget(self) -> None:
         """Keep the parts that were used most; older uses count less each time."""
         parts, uses = list(self), self.uses[:len(self)]
-        kept = np.sort(np.argsort(~uses, kind="stable")[:KEEP])
+        kept = np.sort(np.argsort(~uses, kind="stable")[:int(KEEP * self.part)])
         ids, bounds = self.gather(kept)
         self.clear()
         self.update((parts[k], number) for number, k in enumerate(kept.tolist()))
@@ -97,7 +98,7 @@ class Encoder(dict):
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The number of each part, after new ones have been encoded."""
-        if len(self) > CACHE:
+        if len(self) > CACHE * self.part:
             self.forget()
         found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         if self.pending:
@@ -275,6 +276,8 @@ def encoder(path: str, spaces: bool, plain: bool = False) -> Encoder:
         else:
             made = Encoder(_by_ranks(ranks, whole) if ranks else _by_words(own), spaces, lambda text: None
                            if _OTHER_SPACE.search(text) or has_special(text) else made.parts(text), whole)
+            # Its parts are cheap to encode again.
+            made.part = 0.5 if ranks else 1
         made.library = own
         _encoders[key] = made
     return _encoders[key]
