@@ -71,6 +71,26 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).collect() == []
 
 
+def test_wide_symbols_carry_long_repeats(spark):
+    """Two texts share 3,000 words between others: most of them lie in shared wide symbols,
+    and the second text tells of few of its windows one by one."""
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    passage = draw.choices(words, k=3000)
+    one, two = (" ".join(draw.choices(words, k=200) + passage + draw.choices(words, k=200)) for _ in range(2))
+    names = [substring_dedup.Names(Chunk(pa.record_batch(
+        {"id": pa.array([k], pa.int64()), "text": pa.array([t])})), 13, 16) for k, t in enumerate((one, two))]
+    same_ = np.isin(names[1].symbol, names[0].symbol)
+    begin, end = names[1].begin[same_], names[1].end[same_]
+    assert (end - begin).max() > 300
+    told = 3400 - 12 - sum(np.bincount(np.unique(np.concatenate([np.arange(a, b - 12) for a, b in zip(begin, end)]))))
+    assert told < 500
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(0, one), (1, two)], SCHEMA))
+    assert {r["id"]: r["n_removed"] for r in got.select("id", "n_removed").collect()} == {0: 0, 1: 3000}
+
+
 def test_substring_dedup_over_many_chunks(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
     got = substring_dedup.remove_repeats(docs.repartition(8)).select("id", "n_words", "n_removed", sha("kept"))
@@ -111,8 +131,8 @@ def test_very_long_texts_in_one_task(kind, most):
 
     def words_task():
         chunk = Chunk(block)
-        words, _, at, doc, _, _ = substring_dedup.anchor_keys(chunk, 13, 16)
-        substring_dedup.named(words, at, chunk.ids[doc], 13)
+        names = substring_dedup.Names(chunk, 13, 16)
+        substring_dedup.named(names.words, names.at, chunk.ids[names.doc], 13)
 
     for task in (bytes_task, words_task, lambda: suffix_quality.measure(block, 10)):
         tracemalloc.start()

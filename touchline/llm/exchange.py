@@ -31,6 +31,18 @@ def from_itself(got: dict) -> bytes:
     return zstandard.decompress(got[OWN][0])
 
 
+def packed(*parts: bytes | np.ndarray) -> bytes:
+    """Parts of one message to itself."""
+    parts = [p if isinstance(p, bytes) else blob(p) for p in parts]
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data[:8], "<i8")[0])
+    ends = np.cumsum([8 * (n + 1), *np.frombuffer(data[8:8 * (n + 1)], "<i8")]).tolist()
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def messages(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.table({
@@ -164,5 +176,5 @@ def each_chunk(chunks: DataFrame, make: Callable) -> DataFrame:
 
 
 __all__ = ["MESSAGE", "OWN", "answered", "better_owners", "each_chunk", "first_owners", "from_itself",
-           "messages", "press", "send_full", "send_small", "shared_keys", "small_keys", "states",
-           "to_itself", "unpress", "with_answers"]
+           "messages", "packed", "press", "send_full", "send_small", "shared_keys", "small_keys", "states",
+           "to_itself", "unpacked", "unpress", "with_answers"]

@@ -9,16 +9,25 @@ symbol the words that settle it are known, its *support*. Wherever a window of
 longest of them (ties: the smallest name) is an anchor that equal windows share, and so
 are the words of its support, by which anchors are told apart.
 
-1. Spark round over symbols: chunks send their windows' anchors to buckets, which say
-   which are shared. Windows without a shared anchor occur once, and are done.
-2. Spark round over windows: those left are named by all their words, 96 bits, which
-   verifies what the symbols revealed, and buckets find the smallest id of each name.
-3. Each document removes the words covered by windows that a smaller id has.
+1. Spark round over names: chunks send their windows' anchors, and the symbols of higher
+   levels that stand for ``words`` words or more, to buckets, which say which are shared.
+   Windows without a shared anchor occur once, and are done.
+2. Spark round over high-level symbols: shared ones, verified by a second hash of all their
+   words, get the smallest id that has each. A symbol that a smaller id has is a repeat over
+   its whole span: all windows in it go, however long it is, and are not looked at again.
+3. Spark round over windows, at the ends of such repeats, in short ones, and in the document
+   that has a repeat first: what is left is named by all its words, 96 bits, and buckets find
+   the smallest id of each name.
+4. Each document removes the words that the two rounds found in a smaller id.
+
+A document that has a symbol from a smaller id need not tell of the windows in it: the one
+with the smallest id does.
 
 Defined results: a null or empty text has no words; documents with fewer than ``words``
 words lose none; a null id counts as larger than every other; rows with one id (repeated
 rows, too) never remove words from each other; an empty table gives no rows. Runs are
-single symbols, so periodic texts of any length take few rounds.
+single symbols, so periodic texts of any length take few rounds; a text of any length is
+handled, in one task, with some 45 bytes of memory per byte of text.
 """
 
 from __future__ import annotations
@@ -36,18 +45,18 @@ from touchline.llm.shared import (
     owner, runs, stage_chunks, word_bounds)
 
 WORDS = 13
-#: Rounds of recompression; symbols that outgrow a window are of no use to it.
+#: Rounds whose symbols can be anchors; those that outgrow a window are of no use to it.
 ROUNDS = 5
+#: Rounds in all: symbols of the last stand for some thousands of words.
+LEVELS = 24
 #: Text bytes per bucket.
 BUCKET_BYTES = 16 << 20
 FAR = 1 << 40
 
 
-def rounds(words: np.ndarray, bounds: np.ndarray, count: int, limit: int):
-    """After each round: names, spans in words, and supports ``[low, high)``.
-
-    ``limit``: symbols whose support is wider take part but are not returned.
-    """
+def rounds(words: np.ndarray, bounds: np.ndarray, count: int):
+    """After each round: names, the words ``[begin, end)`` they stand for, and supports
+    ``[low, high)``."""
     name = mix(words, 11)
     n = name.size
     begin, end = np.arange(n), np.arange(1, n + 1)
@@ -88,8 +97,7 @@ def rounds(words: np.ndarray, bounds: np.ndarray, count: int, limit: int):
         new_low = np.where(alone_right, np.minimum(new_low, before), new_low)
         names = np.where(paired, mix(mix(name[at], 7) + name[tail], 8), name[at])
         name, begin, end, low, high, doc = names, begin[at], end[tail], new_low, new_high, doc[at]
-        fit = high - low <= limit
-        yield name[fit], end[fit] - begin[fit], low[fit], high[fit]
+        yield name, begin, end, low, high
 
 
 def _neighbours(doc, first, last):
@@ -109,12 +117,20 @@ def windows(bounds: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(fits)
 
 
-def anchors(words: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
-    """For each place the anchor of the window that starts there (any, if none does)."""
+def reveal(words: np.ndarray, bounds: np.ndarray, width: int):
+    """For each place the anchor of the window that starts there (any, if none does), and the
+    symbols that stand for ``width`` words or more: names and ``[begin, end)``."""
     n = words.size
     best = np.zeros(n + width, np.uint64)
     where = np.zeros(n + width, np.int64)  # the anchor's support: start and size
-    for name, span, low, high in rounds(words, bounds, ROUNDS, width):
+    wide = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for number, (name, begin, end, low, high) in enumerate(rounds(words, bounds, LEVELS)):
+        big = np.flatnonzero(end - begin >= width)
+        wide.append((name[big], begin[big], end[big]))
+        if number >= ROUNDS:
+            continue
+        fit = high - low <= width
+        name, span, low, high = name[fit], (end - begin)[fit], low[fit], high[fit]
         key = (span.astype(np.uint64) << np.uint64(56)) | (~name >> np.uint64(8))
         size = high - low
         support = low * 256 + size
@@ -142,7 +158,13 @@ def anchors(words: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarray:
         for k in range(1, width):
             low = np.minimum(low, padded[at + k])
         best[at] = low >> np.uint64(8)
-    return mix(best[:n], 3)
+    name, begin, end = (np.concatenate(x) for x in zip(*wide))
+    # A symbol that a round leaves as it is comes again after it.
+    order = np.lexsort((end, begin))
+    new = np.ones(order.size, bool)
+    new[1:] = (begin[order][1:] != begin[order][:-1]) | (end[order][1:] != end[order][:-1])
+    once = order[new]
+    return mix(best[:n], 3), (mix(name[once], 4), begin[once], end[once])
 
 
 def parse(chunk: Chunk):
@@ -150,13 +172,25 @@ def parse(chunk: Chunk):
     return Spans(chunk.data).of(begin, end) if begin.size else np.zeros(0, np.uint64), bounds
 
 
-def anchor_keys(chunk: Chunk, width: int, buckets: int):
-    """Windows, their documents, the chunk's small keys and each window's place in them."""
-    words, bounds = parse(chunk)
-    at = windows(bounds, width)
-    doc = owner(bounds)[at]
-    keys, place = np.unique(X.small_keys(anchors(words, bounds, width)[at], buckets), return_inverse=True)
-    return words, bounds, at, doc, keys, place
+class Names:
+    """A chunk's windows and wide symbols with what the first Spark round calls them."""
+
+    def __init__(self, chunk: Chunk, width: int, buckets: int):
+        self.words, self.bounds = parse(chunk)
+        anchors, (self.symbol, self.begin, self.end) = reveal(self.words, self.bounds, width)
+        self.at = windows(self.bounds, width)
+        of = owner(self.bounds)
+        self.doc, self.symbol_doc = of[self.at], of[self.begin]
+        keys, place = np.unique(X.small_keys(anchors[self.at], buckets), return_inverse=True)
+        wide, where = np.unique(X.small_keys(self.symbol, buckets), return_inverse=True)
+        # Symbols go to buckets of their own.
+        self.keys = np.concatenate([keys, wide + (np.uint64(buckets) << np.uint64(32))])
+        self.place, self.where = place, where + keys.size
+
+    def several(self) -> np.ndarray:
+        """Which keys several documents of the chunk have."""
+        return several_documents(np.concatenate([self.place, self.where]),
+                                 np.concatenate([self.doc, self.symbol_doc]), self.keys.size)
 
 
 def several_documents(place: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -184,9 +218,14 @@ def named(words, at, ids, width):
     """Sorted distinct keys of windows, their checks and smallest ids, and places."""
     key, check = window_names(words, at, width)
     keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-    least = np.full(keys.size, np.iinfo(np.int64).max)
+    return keys, check[first], least_of(place, ids, keys.size), place
+
+
+def least_of(place: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The smallest id at each of n places."""
+    least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, place, ids)
-    return keys, check[first], least, place
+    return least
 
 
 def improved(least: np.ndarray, keys: np.ndarray, got: dict, buckets: int, shift: int = 0) -> np.ndarray:
@@ -210,21 +249,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = buckets_for(chunks, BUCKET_BYTES)
 
     def ask(number: int, chunk: Chunk):
-        _, _, _, doc, keys, place = anchor_keys(chunk, width, buckets)
-        return X.send_small(number, keys, several_documents(place, doc, keys.size))
+        names = Names(chunk, width, buckets)
+        return X.send_small(number, names.keys, names.several())
 
     shared = X.shared_keys(X.each_chunk(chunks, ask))
 
-    def name(number: int, chunk: Chunk, got: dict) -> pa.Table:
-        words, _, at, doc, keys, place = anchor_keys(chunk, width, buckets)
-        open_ = X.states(keys, got)[place] > 0
-        sent = [X.to_itself(number, blob(np.packbits(open_)))]
+    def tell_symbols(number: int, chunk: Chunk, got: dict) -> pa.Table:
+        names = Names(chunk, width, buckets)
+        state = X.states(names.keys, got) > 0
+        wide = np.flatnonzero(state[names.where])
+        begin, end = names.begin[wide], names.end[wide]
+        check = (Spans.over(mix(names.words, 13)).of(begin, end) >> np.uint64(32)).astype(np.uint32)
+        keys, first, place = np.unique(names.symbol[wide], return_index=True, return_inverse=True)
+        least = least_of(place, chunk.ids[names.symbol_doc[wide]], keys.size)
+        open_ = np.packbits(state[names.place])
+        sent = [X.to_itself(number, X.packed(open_, X.press(keys, least), X.press(
+            begin.astype("<i4"), end.astype("<i4"), place.astype("<i4"))))]
+        return X.messages(sent + X.send_full(number, keys, check[first], least, buckets))
+
+    symbol_owners = X.answered(X.with_answers(chunks, shared, tell_symbols, X.MESSAGE), (0, X.first_owners))
+
+    def tell_windows(number: int, chunk: Chunk, got: dict) -> pa.Table:
+        words, bounds = parse(chunk)
+        at, of = windows(bounds, width), owner(bounds)
+        bits, entries, spans = X.unpacked(X.from_itself(got))
+        open_ = np.unpackbits(np.frombuffer(bits, np.uint8), count=at.size).astype(bool)
+        keys, least = X.unpress(entries, "<u8", "<i8")
+        begin, end, place = X.unpress(spans, "<i4", "<i4", "<i4")
+        gone = np.zeros(words.size, bool)
+        if begin.size:
+            # Symbols that a smaller id has are repeats as a whole.
+            found = improved(least, keys, got, buckets)[place] < chunk.ids[of[begin]]
+            begin, end = begin[found].astype(np.int64), end[found].astype(np.int64)
+            gone = cover(begin, end, words.size)
+            open_ &= ~cover(begin, end - width + 1, words.size)[at]
+        sent = [X.to_itself(number, X.packed(np.packbits(open_), np.packbits(gone)))]
         if open_.any():
-            keys, check, least, _ = named(words, at[open_], chunk.ids[doc[open_]], width)
+            keys, check, least, _ = named(words, at[open_], chunk.ids[of[at[open_]]], width)
             sent += X.send_full(number, keys, check, least, buckets)
         return X.messages(sent)
 
-    owners = X.answered(X.with_answers(chunks, shared, name, X.MESSAGE), (0, X.first_owners))
+    owners = X.answered(X.with_answers(chunks, symbol_owners, tell_windows, X.MESSAGE), (0, X.first_owners))
     carried = rows.columns if carry else ["id"]
     schema = ", ".join([f"{c} {t}" for c, t in rows.dtypes if c in carried]
                        + ["n_words long, n_removed long, kept string",
@@ -233,14 +298,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def remove(number: int, chunk: Chunk, got: dict) -> pa.Table:
         words, bounds = parse(chunk)
         at = windows(bounds, width)
-        open_ = np.unpackbits(np.frombuffer(X.from_itself(got), np.uint8), count=at.size).astype(bool)
-        at = at[open_]
-        gone = np.zeros(words.size, bool)
+        bits, by_symbols = X.unpacked(X.from_itself(got))
+        gone = np.unpackbits(np.frombuffer(by_symbols, np.uint8), count=words.size).astype(bool)
+        at = at[np.unpackbits(np.frombuffer(bits, np.uint8), count=at.size).astype(bool)]
         if at.size:
             ids = chunk.ids[owner(bounds)[at]]
             keys, _, least, place = named(words, at, ids, width)
             hit = at[improved(least, keys, got, buckets)[place] < ids]
-            gone = cover(hit, hit + width, words.size)
+            gone |= cover(hit, hit + width, words.size)
         begin, end = runs(gone, bounds)
         n_removed = counts_in(gone, bounds)
         kept = []
