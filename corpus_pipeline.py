@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import packing, simhash, substring_dedup, suffix_quality
 from touchline.llm.queries import tokenizer_file
-from touchline.llm.shared import materialize
+from touchline.sources.scratch import materialize, temporary_tables
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{number}")
-    return docs
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        # Once a stage's result is written, the tables it worked with can go.
+        with temporary_tables(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{number}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
