@@ -711,7 +711,8 @@ over_tables("standings_top_n", lambda t: shape.standings_top_n(outcomes.standing
 over_tables("form_top", lambda t: shape.form_top(outcomes.team_form(t)))
 over_tables("rest_band_pivot", lambda t: shape.rest_band_pivot(sequences.schedule_density(t)))
 over_tables("parity_pivot", lambda t: shape.parity_pivot(sequences.competitive_balance(t), NAMES))
-over_tables("parity_pivot_all", lambda t: shape.parity_pivot(sequences.competitive_balance(t)))
+over_tables("parity_pivot_all", lambda t: shape.parity_pivot(
+    sequences.competitive_balance(t), outcomes.competitions(t)))
 over_tables("splits_chart", lambda t: shape.splits_chart(outcomes.home_away_splits(t)))
 over_tables("kpi_format", lambda t: shape.kpi_format(outcomes.summary(t)))
 over_tables("standings_view", lambda t: shape.standings_view(outcomes.standings(t)))

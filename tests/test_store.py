@@ -153,6 +153,32 @@ def test_a_load_during_compaction(spark, store, transformed, monkeypatch):
     assert store.load(transformed(raw_match(1), raw_match(2), raw_match(3))) == 0
 
 
+def test_temporary_tables_go(spark, tmp_path, monkeypatch):
+    import os
+
+    from touchline.sources import scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: str(tmp_path / "scratch"))
+    first = scratch.materialize(spark.range(5), "first")
+    with scratch.temporary_tables(spark) as keep:
+        inner = scratch.materialize(first.filter("id > 1"), "inner")
+        result = keep(scratch.materialize(inner.selectExpr("id * 2 AS id"), "result"))
+    assert sorted(r["id"] for r in result.collect()) == [4, 6, 8]
+    assert sorted(name.split("-")[0] for name in os.listdir(tmp_path / "scratch" / "touchline")) == ["first", "result"]
+
+
+def test_pivot_needs_a_column_for_each_competition(spark):
+    from touchline.plans.shape import parity_pivot
+
+    rows_ = spark.createDataFrame([("A", 1, 2, 0.5), ("B", 1, 2, 1.5)],
+                                  "competition string, matchweek long, teams long, points_stdev double")
+    names = spark.createDataFrame([("B",), ("A",)], "name string")
+    assert [tuple(r) for r in parity_pivot(rows_, names).collect()] == [(1, 0.5, 1.5)]
+    assert [tuple(r) for r in parity_pivot(rows_, ["B", "A"]).collect()] == [(1, 1.5, 0.5)]
+    with pytest.raises(Exception, match="No column for B"):
+        parity_pivot(rows_, ["A"]).collect()
+
+
 def test_tables_as_of_a_commit(store, transformed):
     store.load(transformed(raw_match(1)))
     store.load(transformed(raw_match(2)))

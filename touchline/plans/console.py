@@ -15,6 +15,7 @@ NO_DATA = "No data in the tables yet: load matches first."
 
 def sections(tables: MatchTables, top_n: int = 10, window: int = 5) -> dict[str, DataFrame]:
     """Title → rows, in print order."""
+    # The sections' titles.
     columns = ["competition", *shape.STANDINGS_LABELS]
     return {
         "LEAGUE STANDINGS": shape.standings_top_n(outcomes.standings(tables), top_n).select(

@@ -59,16 +59,20 @@ def rest_band_pivot(density: DataFrame) -> DataFrame:
     )
 
 
-def parity_pivot(balance: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+def parity_pivot(balance: DataFrame, names: Iterable[str] | DataFrame) -> DataFrame:
     """Spread of points per matchweek, one column per competition.
 
-    Without ``names`` every competition gets a column; names that leave one out
-    are an error.
+    ``names`` are the columns: a list, or the table of competitions (``name``), which has a
+    row per league. The report itself runs once; a competition of it that has no column is
+    an error when it does.
     """
-    found = sorted(row[0] for row in balance.select("competition").distinct().collect())
-    names = found if names is None else list(names)
-    if missing := set(found) - set(names):
-        raise ValueError(f"No column for {sorted(missing)}")
+    if isinstance(names, DataFrame):
+        names = sorted(row["name"] for row in names.select("name").distinct().collect())
+    names = list(names)
+    unknown = F.concat(F.lit("No column for "), F.col("competition"))
+    checked = F.when(F.col("competition").isin(names), F.col("competition")).otherwise(
+        F.raise_error(unknown).cast("string"))
+    balance = balance.withColumn("competition", checked)
     return (
         balance.groupBy("matchweek")
         .pivot("competition", names)

@@ -17,6 +17,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 # turn the whole match into a corrupt record.
 _SIDES = _struct(home=TEXT, away=TEXT)
 
+# Field names and types of the feed.
 RAW_MATCH = _struct(
     id=LONG,
     competition=_struct(code=TEXT, name=TEXT),
@@ -64,6 +65,7 @@ METRICS = (
     "match_weekday",
 )
 
+# Columns of the normalized tables.
 COMPETITIONS = _struct(id=LONG, code=TEXT, name=TEXT)
 
 TEAMS = _struct(id=LONG, name=TEXT)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -75,6 +76,31 @@ def write_and_read(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Scratch tables of this application that have not been removed, in the order written.
+_kept: list[str] = []
+
+
 def materialize(rows: DataFrame, label: str) -> DataFrame:
-    """``write_and_read`` under a new path that stays."""
-    return write_and_read(rows, scratch_path(rows.sparkSession, label))
+    """``write_and_read`` under a new path that stays, unless it is written inside
+    ``temporary_tables``."""
+    path = scratch_path(rows.sparkSession, label)
+    table = write_and_read(rows, path)
+    table._scratch_path = path
+    _kept.append(path)
+    return table
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that ``materialize`` wrote meanwhile, but for those that were passed
+    to the yielded function: a result that has been written needs no others."""
+    start, stay = len(_kept), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        stay.add(table._scratch_path)
+        return table
+
+    yield keep
+    for path in [path for path in _kept[start:] if path not in stay]:
+        remove(spark, path)
+        _kept.remove(path)
