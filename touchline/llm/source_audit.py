@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.llm.exchange import press, unpress
-from touchline.llm.shared import Spans, materialize, mix, ship_package, slices
+from touchline.llm.shared import Spans, materialize, mix, ship_package, slices, text_bytes
 
 LEAST, TOP = 30, 50
 #: Bytes of the first level's prefixes; every level has twice the bytes of the one before.
@@ -49,7 +49,8 @@ TERMS, TILE = 8192, 128
 SMOOTH, SCALE = 5, 1000
 
 # What each byte becomes: letters in lower case, bytes beyond ASCII as they are, else a space.
-_LETTER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_LETTER = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)],
+                   np.uint8)
 _BLOCK = "block long, langs array<string>, sources array<string>, terms binary, ends binary, pairs binary"
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,27 +66,29 @@ class Numbers(dict):
 # --- blocks --------------------------------------------------------------------------
 
 
-def make_block(texts: list[bytes], langs: list[str], sources: list[str]) -> tuple:
+def make_block(texts: pa.Array, langs: list[str], sources: list[str]) -> tuple:
     """One block: (languages of groups, sources of groups, sorted terms with a zero byte
     after each, their ends, and per term and document: term, document, group, count)."""
-    groups, numbers = Numbers(), Numbers()
-    group = np.fromiter((groups[g] for g in zip(langs, sources)), np.int64, len(texts))
-    found, sizes = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        terms = text.translate(_LETTER).split()
-        sizes[k] = len(terms)
-        found.append(np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms)))
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    terms = list(numbers)
-    order = sorted(range(len(terms)), key=terms.__getitem__)
+    groups, n = Numbers(), len(texts)
+    group = np.fromiter((groups[g] for g in zip(langs, sources)), np.int64, n)
+    data, starts = text_bytes(texts)
+    plain = pa.LargeStringArray.from_buffers(n, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(_LETTER[data]))
+    split = pa.compute.ascii_split_whitespace(plain)
+    doc = np.repeat(np.arange(n), pa.compute.list_value_length(split).to_numpy())
+    found = split.flatten().dictionary_encode()
+    kinds, number = found.dictionary.cast(pa.large_binary()), found.indices.to_numpy()
+    order = pa.compute.array_sort_indices(kinds)
+    terms = kinds.take(order).to_pylist()
     rank = np.empty(len(terms), np.int64)
-    rank[order] = np.arange(len(terms))
-    term = rank[np.concatenate(found)] if found and len(terms) else np.zeros(0, np.int64)
-    pair, count = np.unique(term * max(len(texts), 1) + doc, return_counts=True)
-    term, doc = np.divmod(pair, max(len(texts), 1))
-    whole = b"\0".join([terms[k] for k in order] + [b""])
-    ends = np.cumsum([len(terms[k]) + 1 for k in order], dtype=np.int64)
-    return ([g[0] for g in groups], [g[1] for g in groups], whole, press(ends.astype("<i8")),
+    rank[order.to_numpy()] = np.arange(len(terms))
+    term = rank[number]
+    if terms and not terms[0]:  # what is before a first and after a last separator
+        terms, keep = terms[1:], term > 0
+        term, doc = term[keep] - 1, doc[keep]
+    pair, count = np.unique(term * max(n, 1) + doc, return_counts=True)
+    term, doc = np.divmod(pair, max(n, 1))
+    ends = np.cumsum([len(t) + 1 for t in terms], dtype=np.int64)
+    return ([g[0] for g in groups], [g[1] for g in groups], b"\0".join([*terms, b""]), press(ends.astype("<i8")),
             press(term.astype("<i4"), doc.astype("<i4"), group[doc].astype("<i4"), count.astype("<i8")))
 
 
@@ -102,7 +105,7 @@ def stage(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
             if held and (piece is None or size + n_bytes > BLOCK):
                 some = pa.Table.from_batches(held)
                 held, size = [], 0
-                texts = some.column("text").cast(pa.large_binary()).to_pylist()
+                texts = some.column("text").combine_chunks()
                 made = make_block(texts, some.column("lang").to_pylist(), some.column("source").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) | seq]), *(pa.array([m], t) for m, t in zip(made, (
@@ -258,23 +261,49 @@ def term_counts(blocks: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFra
     forwarded for each."""
     bitmap = kept.sparkSession.sparkContext.broadcast(survivors_bitmap(kept, bits))
 
-    def make(block: Block):
-        if not block.term.size:
-            return
-        size = len(block.langs)
-        key, place = np.unique(block.term.astype(np.int64) * size + block.group, return_inverse=True)
-        count = np.bincount(place, block.count).astype(np.int64)
-        term, group = np.divmod(key, size)
-        of_group = np.array([block.names.index(x) for x in block.langs], np.int64)
-        live = _alive(block.keys(of_group[group], term, None), bitmap.value)
-        term, group, count = term[live], group[live], count[live]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([block.langs[g] for g in group.tolist()], pa.string()),
-            pa.array([block.sources[g] for g in group.tolist()], pa.string()),
-            pa.array([block.raw[block.starts[t]:block.ends[t] - 1] for t in term.tolist()], pa.binary()),
-            pa.array(count)], ["lang", "source", "term", "count"])
+    def cells(batches):
+        """The blocks of a task together, so that it forwards a cell once."""
+        terms, groups, held, size = Numbers(), Numbers(), [], 0
+
+        def merged():
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([c for _, c in held])).astype(np.int64)
 
-    found = _each_block(blocks, make, "lang string, source string, term binary, count long")
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                if not block.term.size:
+                    continue
+                n = len(block.langs)
+                key, place = np.unique(block.term.astype(np.int64) * n + block.group, return_inverse=True)
+                count = np.bincount(place, block.count).astype(np.int64)
+                term, group = np.divmod(key, n)
+                names = {name: k for k, name in enumerate(block.names)}
+                of_group = np.array([names[x] for x in block.langs], np.int64)
+                live = _alive(block.keys(of_group[group], term, None), bitmap.value)
+                term, group, count = term[live], group[live], count[live]
+                number = np.array([groups[g] for g in zip(block.langs, block.sources)], np.int64)
+                own, place = np.unique(term, return_inverse=True)
+                known = np.array([terms[block.raw[a:b]] for a, b in zip(
+                    block.starts[own].tolist(), (block.ends[own] - 1).tolist())], np.int64)
+                held.append((known[place] << 24 | number[group], count))
+                size += count.size
+                if size > 3_000_000:
+                    held = [merged()]
+                    size = held[0][0].size
+        if not size:
+            return
+        keys, counts = merged()
+        term, group = keys >> 24, keys & 0xFFFFFF
+        words = pa.array(list(terms), pa.binary())
+        langs, sources = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+        for at in range(0, keys.size, 100_000):
+            here = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(pa.array(group[here])), sources.take(pa.array(group[here])),
+                 words.take(pa.array(term[here])), pa.array(counts[here])], ["lang", "source", "term", "count"])
+
+    found = blocks.mapInArrow(cells, "lang string, source string, term binary, count long")
     summed = found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
     return summed.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
 

@@ -41,9 +41,9 @@ from touchline.llm.source_audit import Numbers
 from touchline.llm.tokens import byte_level_table, encoder
 
 #: Text bytes in a block, and in a step of its making.
-BLOCK, STEP = 8 << 20, 1 << 20
+BLOCK, STEP = 6 << 20, 1 << 20
 #: Parts, and their characters, that a worker remembers; half of them are older ones.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
+REMEMBERED, REMEMBERED_CHARS = 240_000, 8 << 20
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PARTS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
