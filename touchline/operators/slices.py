@@ -33,7 +33,8 @@ def with_slices(rows: DataFrame, bits: int | None = None) -> DataFrame:
     return rows.withColumns({
         "month": F.coalesce(F.year(date) * 12 + F.month(date), F.lit(_NO_DATE)),
         "day": F.coalesce(F.unix_date(date), F.lit(_NO_DATE)),
-        "block": F.shiftright("match_id", BLOCK_BITS if bits is None else bits),
+        # Never null, so that no filter on it sets two readings of the same slices apart.
+        "block": F.coalesce(F.shiftright("match_id", BLOCK_BITS if bits is None else bits), F.lit(0)),
     })
 
 
