@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import random
 from collections import Counter
 
@@ -11,12 +12,31 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tests.llm.test_operators import BPE, SCHEMA, same, texts
+from tests.llm.test_operators import BPE, SCHEMA, WORDS, same, texts
 from touchline.llm import exact_dedup, source_audit, token_alignment, tokens
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+CLASHES = ["id", "rest", "mark", "fp", "words", "length", "prefix", "full", "digest", "chunk", "payload", "data", "part", "rank",
+           "ids", "block", "pair", "template", "start", "end", "alive", "plain", "kept", "component", "root"]
+
+
+@pytest.mark.parametrize("name, run", [
+    ("substring_dedup", lambda m, d: m.remove_repeats(d)), ("token_files", lambda m, d: m.token_file(d, WORDS)),
+    ("imatch", lambda m, d: m.edited_likeness(d, low=0.05, high=0.5)), ("bwt_dedup", lambda m, d: m.remove_repeats(d)),
+    ("suffix_quality", lambda m, d: m.quality(d)), ("simhash", lambda m, d: m.near_duplicates(d).drop("mark")),
+    ("license_scan", lambda m, d: m.scan(d)), ("packing", lambda m, d: m.pack(d, BPE).drop("sequence_id", "offset")),
+    ("token_alignment", lambda m, d: m.align(d, BPE, PIECES)), ("exact_dedup", lambda m, d: m.exact_duplicates(d, digest=True)),
+    ("byte_bpe", lambda m, d: m.encode_decode(d, m.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+                                              public_tokenizers.PATTERN))])
+def test_other_columns_change_nothing(spark, name, run):
+    module = importlib.import_module(f"touchline.llm.{name}")
+    plain = spark.createDataFrame([d for d in texts() if len(d[1] or "") < 500][:25], SCHEMA).coalesce(1)
+    named = plain.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)], F.lit("z").alias("a.b"))
+    assert sorted(map(repr, run(module, named).collect())) == sorted(map(repr, run(module, plain).collect()))
+
+
 # --- source audit --------------------------------------------------------------------
 
 AUDIT = "text string, lang string, source string, term string, prefix string, count long"
