@@ -43,7 +43,7 @@ WIDTH = 2
 #: Bits of the set of surviving prefixes: 4 MB, sent to all tasks.
 BITS = 1 << 25
 #: Text bytes in a block.
-BLOCK = 5 << 20
+BLOCK = 3 << 20
 #: Kept terms of a language that are compared together, and sources in a tile.
 TERMS, TILE = 8192, 128
 SMOOTH, SCALE = 5, 1000
@@ -82,7 +82,7 @@ def make_block(texts: pa.Array, langs: list[str], sources: list[str]) -> tuple:
     rank = np.empty(len(terms), np.int64)
     rank[order.to_numpy()] = np.arange(len(terms))
     term = rank[number]
-    del plain, split, found, number
+    del plain, split, found, number, data
     if terms and not terms[0]:  # what is before a first and after a last separator
         terms, keep = terms[1:], term > 0
         term, doc = term[keep] - 1, doc[keep]
@@ -113,6 +113,8 @@ def stage(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
                         pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())))],
                     ["block", "langs", "sources", "terms", "ends", "pairs"])
                 seq += 1
+                del some, texts, made
+                pa.default_memory_pool().release_unused()
             if piece is not None:
                 held.append(piece)
                 size += n_bytes
@@ -289,7 +291,7 @@ def term_counts(blocks: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFra
                     block.starts[own].tolist(), (block.ends[own] - 1).tolist())], np.int64)
                 held.append((known[place] << 24 | number[group], count))
                 size += count.size
-                if size > 1_000_000:
+                if size > 500_000:
                     held = [merged()]
                     size = held[0][0].size
         if not size:
