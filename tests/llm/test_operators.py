@@ -17,6 +17,7 @@ from tests.llm import brute
 from touchline.llm import (
     bwt_dedup, byte_bpe, imatch, license_scan, packing, quote_linking, simhash, substring_dedup,
     suffix_quality, token_files, tokens)
+from touchline.llm.exchange import press, unpress
 from touchline.llm.shared import Chunk, Spans, mix
 
 SCHEMA = "doc_id long, text string"
@@ -91,6 +92,15 @@ def test_wide_symbols_carry_long_repeats(spark):
     assert {r["id"]: r["n_removed"] for r in got.select("id", "n_removed").collect()} == {0: 0, 1: 3000}
 
 
+def test_substring_dedup_without_shared_symbols(spark):
+    """A chunk may share no wide symbol with any other: it has none to tell of."""
+    empty = press(np.zeros(0, "<u8"), np.zeros(0, "<i4"))
+    assert [(x.size, x.dtype.str) for x in unpress(empty, "<u8", "<i4")] == [(0, "<u8"), (0, "<i4")]
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(3)] + [(9, "few words"), (10, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).select("id", "n_words", "n_removed")
+    same(got, [(0, 40, 0), (1, 40, 0), (2, 40, 0), (9, 2, 0), (10, 0, 0)])
+
+
 def test_substring_dedup_over_many_chunks(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
     got = substring_dedup.remove_repeats(docs.repartition(8)).select("id", "n_words", "n_removed", sha("kept"))

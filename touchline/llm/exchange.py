@@ -94,7 +94,7 @@ def states(keys: np.ndarray, got: dict) -> np.ndarray:
 def press(*columns: np.ndarray) -> bytes:
     """Columns of one length, compressed byte plane by byte plane: sorted keys and ids
     that repeat take less room that way."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(c.size, -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(c.size, c.dtype.itemsize).T.tobytes() for c in columns]
     return zstandard.compress(b"".join(planes), 3)
 
 
