@@ -525,22 +525,31 @@ def test_license_labels_need_their_telling_words(spark):
 
 
 def test_license_scan(spark, none):
-    rows = [(1, "Released under the MIT License."), (2, "the  mit-license and CC by NC, cc BY nc"), (3, None), (4, ""),
+    rows = [(1, "Released under the MIT License."), (2, "under the  mit-license and CC by NC, cc BY nc"), (3, None), (4, ""),
             (None, "Apache License Version 2"), (5, "This work is licensed under the GNU General Public License, version 3."),
             (6, "this work is licensed under the general gnu\npublic"), (6, "no license"), (6, "no license"),
-            (7, "x " * 5000 + "the mit license"), (8, "the mit\nlicense the mit license")]
+            (7, "x " * 5000 + "under the mit license"), (8, "under the mit\nlicense under the mit license")]
     got = {}
     for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault(r["id"], []).append(tuple(r)[1:])
-    assert got[1] == [(5, 1, 2, 2, "mit", "mit", 1.0)]
-    assert got[2] == [(10, 3, 0, 7, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)]
+    assert got[1] == [(5, 1, 1, 1, "mit", "mit", 1.0)]
+    assert got[2] == [(11, 3, 0, 8, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)]
     assert got[3] == got[4] == [(0, 0, None, None, "", "", 0.0)]
     assert got[None][0][5] == "apache-2" and got[5] == [(12, 0, None, None, "", "gpl-3", 1.0)]
     assert sorted(x[:2] for x in got[6]) == [(2, 0), (2, 0), (9, 0)]
-    assert got[7][0][:4] == (5003, 1, 5000, 5000) and got[8][0][:4] == (6, 2, 0, 3)
+    assert got[7][0][:4] == (5004, 1, 5000, 5000) and got[8][0][:4] == (8, 2, 0, 4)
     assert license_scan.scan(none).collect() == []
 
 
+def test_base_phrases_are_those_of_the_contract(spark):
+    rows = [(1, "The MIT License (MIT)"), (2, "Under-the\nMIT License, the MIT license"), (3, "under the mit licenses"),
+            (4, "apache license, version 2 CC-BY-NC under the mit license"), (5, "éunder the mit license")]
+    got = license_scan.scan(spark.createDataFrame(rows, SCHEMA)).select(
+        "id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    same(got, [(1, 4, 0, None, None, ""), (2, 7, 1, 0, 0, "mit"), (3, 4, 0, None, None, ""),
+               (4, 11, 3, 0, 7, "apache-2,cc-by-nc,mit"), (5, 4, 0, None, None, "")])
+
+
 def test_license_join_is_exact(spark):
     draw = random.Random(2)
     vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
