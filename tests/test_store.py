@@ -3,6 +3,7 @@ and stored results that follow them; averages over known values."""
 
 import datetime as dt
 import json
+import re
 import threading
 
 import pytest
@@ -206,6 +207,22 @@ def test_stored_results_follow_the_store(spark, store, transformed, tmp_path, mo
     assert len(kept) == 2  # the last one and the one before
 
 
+def test_snapshots_are_chosen_without_a_shuffle(spark, transformed, tmp_path):
+    """A shuffle by league or by snapshot would give one task all rows of a league."""
+    base, target = str(tmp_path / "snapshots"), str(tmp_path / "merged")
+    for day in (1, 2):
+        for k, league in enumerate(("PL", "PD")):
+            snapshots.write_league_snapshot(
+                base, transformed(raw_match(k, code=league), raw_match(8 + day, code=league)),
+                dt.date(2026, 8, day), league)
+        got = merged.refresh_merged(spark, base, target, ("PL", "PD"), ("PL", "PD"))
+        assert sorted(r["id"] for r in rows(got.matches)) == [0, 1, 8 + day]
+    chosen = snapshots.latest_snapshots(spark, base)
+    for frame in (snapshots.read_snapshots(spark, base, "matches", chosen), got.teams, got.matches):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and not re.search(r"hashpartitioning\((league|code)#", plan.split("BroadcastExchange")[0])
+
+
 def test_refresh_merges_only_what_changed(spark, transformed, tmp_path):
     base, target = str(tmp_path / "snapshots"), str(tmp_path / "merged")
     order = ("PL", "PD", "SA")

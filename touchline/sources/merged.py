@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,16 +119,17 @@ def read_refreshed(spark: SparkSession, base: str, target: str,
                    order: Iterable[str] = LEAGUE_ORDER) -> MatchTables:
     """The merged tables of the last commit; an error when there are no matches."""
     _, parts = merged_parts(spark, target)
-    places = spark.createDataFrame(
-        [(p["league"], p[kind], kind) for p in parts.values() for kind in KINDS],
-        "league string, part string, kind string")
-
     def stored(kind: str) -> DataFrame:
         schema = T.StructType([*_STORED[kind].fields, T.StructField("part", T.StringType()),
                                T.StructField("league", T.StringType())])
         rows = spark.read.schema(schema).parquet(f"{target}/{kind}")
-        # One row per league: the other parts are pruned from the scan.
-        return rows.join(places.filter(F.col("kind") == kind).drop("kind"), ["league", "part"], "left_semi")
+        # A part holds one league or more. Other parts are pruned from the scan, and nothing is
+        # shuffled: by league, a task would get all rows of one.
+        leagues = {}
+        for place in parts.values():
+            leagues.setdefault(place[kind], []).append(place["league"])
+        return rows.where(reduce(or_, [
+            (F.col("part") == part) & F.col("league").isin(names) for part, names in leagues.items()]))
 
     chosen = _chosen(spark, parts.values())
     competitions = merge_competitions(rank_leagues(

@@ -81,9 +81,10 @@ def latest_snapshots(spark: SparkSession, base: str,
 
 def read_snapshots(spark: SparkSession, base: str, name: str, chosen: DataFrame) -> DataFrame:
     """A table's rows in the chosen snapshots (league, snapshot_date, batch), with ``league``."""
-    # One row per league: while that is small, Spark broadcasts it and prunes
-    # other snapshots from the scan.
-    rows = _read(spark, base, name).join(chosen, ["league", "snapshot_date", "batch"], "left_semi")
+    # One row per league. Spark does not know that it is so small, and a shuffle by snapshot
+    # would leave all rows of a league to one task.
+    rows = _read(spark, base, name).join(
+        F.broadcast(chosen), ["league", "snapshot_date", "batch"], "left_semi")
     return rows.drop("snapshot_date", "batch")
 
 
