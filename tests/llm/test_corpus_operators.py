@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import importlib
 import random
+import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -71,6 +74,35 @@ def test_source_audit(spark, monkeypatch, tile, terms, bits):
     assert any("x" * 5000 in w[3] for w in want) and any(w[0] == "yy" and w[4] == 0 for w in want)
 
 
+def test_blocks_are_sorted_and_small():
+    """Documents are numbered by language and group, so that a pass over a block has no sort
+    of entries by language; a group is stored once per document."""
+    rows = audit_rows()
+    made = source_audit.make_block(pa.array([r[0] for r in rows], pa.string()),
+                                   [r[1] or "" for r in rows], [r[2] or "" for r in rows])
+    block = source_audit.Block(dict(zip(("langs", "sources", "terms", "ends", "groups", "pairs"), made)))
+    assert block.of_doc.size == len(rows) and (np.diff(block.of_group[block.of_doc]) >= 0).all()
+    assert (np.diff(block.term.astype(np.int64) * len(rows) + block.doc) > 0).all()
+    words = [block.prefix(k, 1 << 20) for k in range(block.starts.size)]
+    assert words == sorted(words) and all(w.endswith(b"\0") and len(w) > 1 for w in words)
+    want = Counter((r[1] or "", r[2] or "", w) for r in rows for w in brute_terms(r[0]))
+    got = Counter()
+    for t, d, n in zip(block.term.tolist(), block.doc.tolist(), block.count.tolist()):
+        group = block.of_doc[d]
+        got[block.langs[group], block.sources[group], words[t][:-1].decode()] += n
+    assert got == want
+    some = np.arange(block.starts.size)
+    for width in (1, 2, 5):
+        assert block.prefixes(some, width).to_pylist() == [w[:width] for w in words]
+        number, first = block.prefix_groups(width)
+        assert [w[:width] for w in words] == [words[first[k]][:width] for k in number]
+
+
+def brute_terms(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+
 def test_source_audit_of_nothing(spark):
     assert source_audit.audit(spark.createDataFrame([], AUDIT)).collect() == []
 

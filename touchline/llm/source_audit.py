@@ -51,7 +51,8 @@ SMOOTH, SCALE = 5, 1000
 # What each byte becomes: letters in lower case, bytes beyond ASCII as they are, else a space.
 _LETTER = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)],
                    np.uint8)
-_BLOCK = "block long, langs array<string>, sources array<string>, terms binary, ends binary, pairs binary"
+_BLOCK = ("block long, langs array<string>, sources array<string>, terms binary, ends binary, groups binary, "
+          "pairs binary")
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -68,29 +69,34 @@ class Numbers(dict):
 
 def make_block(texts: pa.Array, langs: list[str], sources: list[str]) -> tuple:
     """One block: (languages of groups, sources of groups, sorted terms with a zero byte
-    after each, their ends, and per term and document: term, document, group, count)."""
-    groups, n = Numbers(), len(texts)
+    after each, their ends, the group of each document, and per term and document: term,
+    document, count). Documents are numbered by language and group, entries sorted."""
+    groups, names, n = Numbers(), Numbers(), len(texts)
     group = np.fromiter((groups[g] for g in zip(langs, sources)), np.int64, n)
+    by = np.lexsort((group, np.fromiter((names[x] for x in langs), np.int64, n)))
+    place = np.empty(n, np.int64)
+    place[by] = np.arange(n)
     data, starts = text_bytes(texts)
     plain = pa.LargeStringArray.from_buffers(n, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(_LETTER[data]))
     split = pa.compute.ascii_split_whitespace(plain)
-    doc = np.repeat(np.arange(n), pa.compute.list_value_length(split).to_numpy())
+    doc = np.repeat(place, pa.compute.list_value_length(split).to_numpy())
     found = split.flatten().dictionary_encode()
     kinds, number = found.dictionary.cast(pa.large_binary()), found.indices.to_numpy()
     order = pa.compute.array_sort_indices(kinds)
-    terms = kinds.take(order).to_pylist()
+    terms = kinds.take(order)
     rank = np.empty(len(terms), np.int64)
     rank[order.to_numpy()] = np.arange(len(terms))
     term = rank[number]
     del plain, split, found, number, data
-    if terms and not terms[0]:  # what is before a first and after a last separator
+    if len(terms) and not len(terms[0].as_py()):  # what is before a first and after a last separator
         terms, keep = terms[1:], term > 0
         term, doc = term[keep] - 1, doc[keep]
+    nothing, zero = (pa.scalar(x, pa.large_binary()) for x in (b"", b"\0"))
+    raw, starts = text_bytes(pa.compute.binary_join_element_wise(terms, nothing, zero))
     pair, count = np.unique(term * max(n, 1) + doc, return_counts=True)
     term, doc = np.divmod(pair, max(n, 1))
-    ends = np.cumsum([len(t) + 1 for t in terms], dtype=np.int64)
-    return ([g[0] for g in groups], [g[1] for g in groups], b"\0".join([*terms, b""]), press(ends.astype("<i8")),
-            press(term.astype("<i4"), doc.astype("<i4"), group[doc].astype("<i4"), count.astype("<i8")))
+    return ([g[0] for g in groups], [g[1] for g in groups], raw.tobytes(), press(starts[1:].astype("<i8")),
+            press(group[by].astype("<i4")), press(term.astype("<i4"), doc.astype("<i4"), count.astype("<i4")))
 
 
 def stage(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -110,8 +116,8 @@ def stage(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Dat
                 made = make_block(texts, some.column("lang").to_pylist(), some.column("source").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) | seq]), *(pa.array([m], t) for m, t in zip(made, (
-                        pa.list_(pa.string()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())))],
-                    ["block", "langs", "sources", "terms", "ends", "pairs"])
+                        pa.list_(pa.string()), pa.list_(pa.string()), *[pa.binary()] * 4)))],
+                    ["block", "langs", "sources", "terms", "ends", "groups", "pairs"])
                 seq += 1
                 del some, texts, made
                 pa.default_memory_pool().release_unused()
@@ -131,11 +137,12 @@ class Block:
         self.raw = row["terms"]
         self.ends, = unpress(row["ends"], "<i8")
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
-        self.term, self.doc, self.group, self.count = unpress(row["pairs"], "<i4", "<i4", "<i4", "<i8")
+        self.term, self.doc, self.count = unpress(row["pairs"], "<i4", "<i4", "<i4")
+        self.of_doc, = unpress(row["groups"], "<i4")
         names = Numbers()
-        of_group = np.array([names[x] for x in self.langs], np.int64)
+        self.of_group = np.array([names[x] for x in self.langs], np.int64)
         self.names = list(names)
-        self.lang = of_group[self.group] if self.group.size else np.zeros(0, np.int64)
+        self.lang = self.of_group[self.of_doc][self.doc]
         self.seeds = np.array([_seed(x) for x in self.names], np.uint64)
         self.spans = Spans(self.data)
 
@@ -144,8 +151,9 @@ class Block:
         end = self.ends[term] if width is None else np.minimum(self.starts[term] + width, self.ends[term])
         return mix(self.spans.of(self.starts[term], end) ^ self.seeds[lang])
 
-    def prefix_groups(self, width: int) -> np.ndarray:
-        """A number per term that terms with one prefix share; terms are sorted."""
+    def prefix_groups(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """A number per term that terms with one prefix share, and the first term of each
+        number; terms are sorted."""
         new = np.ones(self.starts.size, bool)
         size = self.ends - self.starts
         # Neighbours that agree so far; terms differ, so the shorter one ends with its zero.
@@ -156,12 +164,40 @@ class Block:
         if width > 64:
             at = np.array([k for k in at.tolist() if self.prefix(k - 1, width) == self.prefix(k, width)], np.int64)
         new[at] = False
-        return np.cumsum(new) - 1
+        return np.cumsum(new) - 1, np.flatnonzero(new)
+
+    def alive(self, lang: np.ndarray, term: np.ndarray, width: int, data: bytes) -> np.ndarray:
+        """Which entries' prefixes may have survived; each language's prefix is hashed once."""
+        group, first = self.prefix_groups(width)
+        code = lang * first.size + group[term]
+        if len(self.names) * first.size <= 4 * code.size:
+            seen = np.zeros(len(self.names) * first.size, bool)
+            seen[code] = True
+            codes, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
+        else:
+            codes, place = np.unique(code, return_inverse=True)
+        lang, group = np.divmod(codes, max(first.size, 1))
+        return _alive(self.keys(lang, first[group], width), data)[place]
+
+    def prefixes(self, term: np.ndarray, width: int) -> pa.Array:
+        offsets = np.concatenate([self.starts, self.ends[-1:]])
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), self.starts.size, [None, pa.py_buffer(offsets), pa.py_buffer(self.raw)])
+        return pa.compute.binary_slice(words.take(pa.array(term)), 0, width).cast(pa.binary())
 
     def prefix(self, term: int, width: int) -> bytes:
         return self.raw[self.starts[term]:min(self.starts[term] + width, self.ends[term])]
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Which entries differ from the one before in any column; the first one does."""
+    new = np.ones(columns[0].size, bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def _seed(text: str) -> np.uint64:
     data = np.frombuffer(text.encode(), np.uint8)
     return (Spans(data).of(np.array([0]), np.array([data.size])) * _ODD)[0]
@@ -190,28 +226,26 @@ def level(blocks: DataFrame, width: int, before) -> DataFrame:
     survived; a prefix that ends in a zero byte is a whole term."""
 
     def make(block: Block):
-        lang, term, doc = block.lang, block.term, block.doc
+        term, doc = block.term, block.doc
         if before is not None:
             # Terms that were whole at the level before are settled.
             longer = (block.ends - block.starts > width // 2)[term]
-            lang, term, doc = lang[longer], term[longer], doc[longer]
-            live = _alive(block.keys(lang, term, width // 2), before.value)
-            lang, term, doc = lang[live], term[live], doc[live]
+            lang, term, doc = block.lang[longer], term[longer], doc[longer]
+            live = block.alive(lang, term, width // 2, before.value)
+            term, doc = term[live], doc[live]
         if not term.size:
             return
-        group = block.prefix_groups(width)[term]
-        # One entry for each language, prefix and document, then one for each prefix.
-        order = np.lexsort((doc, group, lang))
-        lang, group, doc, term = lang[order], group[order], doc[order], term[order]
-        new = np.ones(term.size, bool)
-        new[1:] = (lang[1:] != lang[:-1]) | (group[1:] != group[:-1])
-        once = new.copy()
-        once[1:] |= doc[1:] != doc[:-1]
-        first = np.flatnonzero(new)
-        lang, term = lang[first], term[first]
+        group, heads = block.prefix_groups(width)
+        # One entry for each prefix and document, then one for each prefix and language:
+        # documents are numbered by language.
+        n = block.of_doc.size
+        key = np.sort(group[term] * n + doc)
+        group, doc = np.divmod(key, n)
+        lang = block.of_group[block.of_doc][doc]
+        once, first = changes(key), np.flatnonzero(changes(group, lang))
+        lang, term = lang[first], heads[group[first]]
         yield pa.RecordBatch.from_arrays([
-            pa.array([block.names[k] for k in lang.tolist()], pa.string()),
-            pa.array([block.prefix(t, width) for t in term.tolist()], pa.binary()),
+            pa.array(block.names, pa.string()).take(pa.array(lang)), block.prefixes(term, width),
             pa.array(block.keys(lang, term, width).view(np.int64)),
             pa.array(np.add.reduceat(once, first, dtype=np.int64))], ["lang", "prefix", "mark", "df"])
 
@@ -277,16 +311,20 @@ def term_counts(blocks: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFra
                 block = Block(row)
                 if not block.term.size:
                     continue
-                n = len(block.langs)
-                key, place = np.unique(block.term.astype(np.int64) * n + block.group, return_inverse=True)
-                count = np.bincount(place, block.count).astype(np.int64)
-                term, group = np.divmod(key, n)
-                names = {name: k for k, name in enumerate(block.names)}
-                of_group = np.array([names[x] for x in block.langs], np.int64)
-                live = _alive(block.keys(of_group[group], term, None), bitmap.value)
+                # Entries come by term, then by language, then by group.
+                term, group = block.term, block.of_doc[block.doc]
+                first = np.flatnonzero(changes(term, group))
+                count = np.add.reduceat(block.count, first, dtype=np.int64)
+                term, group = term[first], group[first]
+                lang = block.of_group[group]
+                new = changes(term, lang)
+                live = _alive(block.keys(lang[new], term[new], None), bitmap.value)[np.cumsum(new) - 1]
                 term, group, count = term[live], group[live], count[live]
+                if not term.size:
+                    continue
                 number = np.array([groups[g] for g in zip(block.langs, block.sources)], np.int64)
-                own, place = np.unique(term, return_inverse=True)
+                new = changes(term)
+                own, place = term[new], np.cumsum(new) - 1
                 known = np.array([terms[block.raw[a:b]] for a, b in zip(
                     block.starts[own].tolist(), (block.ends[own] - 1).tolist())], np.int64)
                 held.append((known[place] << 24 | number[group], count))
