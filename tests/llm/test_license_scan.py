@@ -35,6 +35,15 @@ def test_named_licenses_are_found(spark, tmp_path):
         (6, 0, None, None, "", "", 0.0, 0, None, None), (None, 1, 3, 3, "cc-by-nc", "cc-by-nc,mit", 1.0, 2, 0, 3)])
 
 
+def test_named_licenses_are_found_before_a_wrapped_notice(spark, tmp_path):
+    # Notice 5, of the GNU lesser license, lacks the word that tells it from others.
+    rows = [(32, "The MIT License (MIT)"), (32, "The MIT License (MIT)"), (59, "under the MIT license"), (5, "no license"),
+            (5, None), (None, "the mit license"), (3, "Apache License Version 2, the MIT License")]
+    found = beside_sql(spark, tmp_path, "op8_license_scan_wrapped", rows)
+    names = [r for r in found.collect() if r["doc_id"] == 32]
+    assert [(r["n_base"], r["labels"], r["score"], r["n_named"], r["first_named"]) for r in names] == [(0, "mit", 1.0, 1, 0)] * 2
+
+
 def test_base_phrases_hold_a_name_with_their_label():
     for phrase, label in license_scan.PHRASES.items():
         assert any(name in phrase and label == own for name, own in license_scan.NAMED.items())
