@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter, defaultdict
+
 import duckdb
 
 from tests.llm.test_operators import SCHEMA, same
@@ -47,3 +50,65 @@ def test_named_licenses_are_found_before_a_wrapped_notice(spark, tmp_path):
 def test_base_phrases_hold_a_name_with_their_label():
     for phrase, label in license_scan.PHRASES.items():
         assert any(name in phrase and label == own for name, own in license_scan.NAMED.items())
+
+
+SIDE_BY_SIDE = [
+    (1, "Licensed under the Apache License, Version 2.0. Licensed under the GNU Lesser General Public License.", "apache-2,lgpl"),
+    (2, "Licensed under a Creative Commons Attribution 4.0 International License.\n"
+        "Licensed under the GNU Lesser General Public License.", "cc-by,lgpl"),
+    (3, "Licensed under the Apache License, Version 2.0, or this work is licensed under the GNU General Public License version 3, "
+        "or licensed under a Creative Commons Attribution 4.0 International License.", "apache-2,cc-by,gpl-3"),
+    (4, "Distributed under the Boost Software License, Version 1.0. See accompanying file or copy at\n"
+        "licensed under the GNU Affero General Public License version 3", "agpl-3,bsl-1")]
+
+
+def test_notices_side_by_side_are_all_found(spark):
+    rows = [(k, around + text + around) for k, text, _ in SIDE_BY_SIDE for around in ("", "\n" + "x " * 500)]
+    got = Counter((r["id"], r["labels"]) for r in license_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter([(k, labels) for k, _, labels in SIDE_BY_SIDE] * 2)
+
+
+def test_each_copy_of_a_notice_is_a_match(spark):
+    rows = [(k, (text + " ") * 3) for k, (_, text) in enumerate(license_scan.TEMPLATES)]
+    found = license_scan.matches(spark.createDataFrame(rows, SCHEMA))
+    got = {r["id"]: r["count"] for r in found.groupBy("id").count().collect()}
+    assert got == {k: 3 for k in range(len(rows))}
+
+
+def plain_matches(text):
+    """The notices of a text, the best first; none overlaps a better one."""
+    words, windows = text.split(), []
+    for k, (label, notice) in enumerate(license_scan.TEMPLATES):
+        own, pairs = set(notice.split()), set(zip(notice.split(), notice.split()[1:]))
+        reach = int(len(notice.split()) / 0.8 + 1e-9)
+        for i, word in enumerate(words):
+            held = set(words[i:i + reach]) & own
+            if word in own and len(held) >= 0.8 * len(own) - 1e-9 and held >= set(license_scan.SIGNS[k]):
+                end = max(words.index(w, i) for w in held)
+                breaks = sum(p not in pairs for p in zip(words[i:end], words[i + 1:end + 1]))
+                windows.append(((len(held) / len(own), len(own), -k, -breaks, end - i), i, end))
+    kept = []
+    for rank, i, end in sorted(windows, key=lambda w: (*[-x for x in w[0]], w[1])):
+        # Equal ones that overlap stay both at first, then the first of them counts.
+        if not any(i <= e and s <= end and r > rank for r, s, e in kept):
+            kept.append((rank, i, end))
+    return {(-r[2], s, e, round(r[0], 9)) for r, s, e in kept
+            if not any(o[2] == r[2] and a < s <= b for o, a, b in kept)}
+
+
+def test_matches_are_those_of_a_plain_search(spark, tmp_path):
+    draw = random.Random(8)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    docs = []
+    for k in range(90):
+        some = []
+        for _ in range(draw.randint(1, 4)):
+            some += [w for w in draw.choice(license_scan.TEMPLATES)[1].split() if draw.random() < 0.95]
+            some += draw.choices(vocabulary + ["x"] * 60, k=draw.choice([0, 0, 1, 9]))
+        docs.append((k, " ".join(w + "\n" * (draw.random() < 0.2) for w in some)))
+    got = defaultdict(set)
+    for r in license_scan.matches(spark.createDataFrame(docs + docs[:5], SCHEMA)).collect():
+        got[r["id"]].add((r["template"], r["start"], r["end"], round(r["containment"], 9)))
+    assert {k: got[k] for k, _ in docs} == {k: plain_matches(text) for k, text in docs}
+    found = beside_sql(spark, tmp_path, "op8_license_scan", docs + docs[:5])
+    assert any("," in r["labels"] for r in found.collect())
